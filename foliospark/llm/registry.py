@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op8_packing": packing.op8_packing,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 

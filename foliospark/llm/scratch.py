@@ -32,8 +32,15 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it back. The shuffle files of the write go with its end."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
