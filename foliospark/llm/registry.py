@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, packing
+from . import bpe, exact_dedup, lm_score, near_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_bpe": bpe.op10_bpe,
