@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, near_dedup, packing
+from . import bpe, exact_dedup, lm_score, near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
