@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,13 @@ LIMIT = 1024
 END_ID = 0
 #: Pieces expected in one group.
 GROUP = 50_000
-#: Fixed value: the published split pattern of the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the published split pattern of the vocabulary, in the classes that `re` has; alike for texts of PLAIN.
+PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"""
 #: Texts of other bytes (controls, U+0080 to U+00BF, from U+0280) are encoded by the library in one piece.
 PLAIN = np.zeros(256, bool)
 PLAIN[[9, 10, 13, *range(32, 127), *range(128, 192), *range(0xC3, 0xCA)]] = True
-CACHE = 300_000
+#: Words that a worker remembers, and words handed to the library at once.
+CACHE, TOGETHER = 1_000_000, 200
 
 _encoders: dict[str, "WordCache"] = {}
 
@@ -44,14 +46,15 @@ class WordCache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import re
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
+        self.find = re.compile(PATTERN).findall
         self.ids: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -61,21 +64,31 @@ class WordCache:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.ids) > CACHE:
             self.ids.clear()
-        split = []
-        new: set[str] = set()
+        get = self.ids.get
+        split, parts, new = [], [], set()
         for text in texts:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            if PLAIN[raw].all() and not any(s in text for s in self.special):
+            found = None
+            if PLAIN[np.frombuffer(text.encode(), np.uint8)].all() and not any(s in text for s in self.special):
                 found = self.find(text)
-                new.update(w for w in found if w not in self.ids)
-                split.append(found)
+                have = list(map(get, found))
+                if None in have:
+                    new.update(compress(found, (h is None for h in have)))
+                parts.append(have)
             else:
-                split.append(None)
-        todo = list(new)
-        for w, e in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+                parts.append([self.whole(text)])
+            split.append(found)
+        self.learn(list(new))
+        for found, have in zip(split, parts, strict=True):
+            if found and None in have:
+                have[:] = [get(w) if h is None else h for w, h in zip(found, have, strict=True)]
+        return list(map(b"".join, parts))
+
+    def learn(self, words: list[str]) -> None:
+        lists = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for some, e in zip(lists, self.library.encode_batch(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
+            raw = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
+            self.ids |= {w: raw[a:b] for w, a, b in zip(some, cuts, cuts[1:], strict=False)}
 
 
 def encoder(path: str) -> WordCache:
