@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, near_dedup, packing, substring_dedup
+from . import bpe, exact_dedup, language_id, lm_score, matroska, near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_media_columns": matroska.op4_media_columns,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_lm_score": lm_score.op9_lm_score,
