@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, lm_score, matroska, near_dedup, packing, substring_dedup
+from . import bpe, exact_dedup, language_id, license_scan, lm_score, matroska, near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_language_id": language_id.op3_language_id,
         "op4_media_columns": matroska.op4_media_columns,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_lm_score": lm_score.op9_lm_score,
