@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, lm_score, matroska, near_dedup, packing, substring_dedup
+from . import bpe, exact_dedup, html_extract, language_id, license_scan, lm_score, matroska, near_dedup, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_media_columns": matroska.op4_media_columns,
         "op5_license_scan": license_scan.op5_license_scan,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_packing": packing.op8_packing,
         "op9_lm_score": lm_score.op9_lm_score,
