@@ -77,12 +77,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stored last). Empty table: empty result. Other columns are ignored.
     digest: a function from the normalised text to a key, SHA-256 unless given; a weak one costs time only.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
+    scratch = Scratch(docs.sparkSession, "exact")
+    placed = with_locator(docs, scratch, [id_col, text_col])
+    return decide(placed, scratch, id_col, text_col, digest, files_per_batch).drop("loc_file", "loc_row")
+
+
+def decide(placed: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", digest=None, files_per_batch: int = 1000) -> DataFrame:
+    """`exact_dedup` of rows with their places, which it returns as well."""
+    spark = placed.sparkSession
     strong = digest is None
     digest = digest or (lambda t: F.unhex(F.sha2(F.encode(t, "UTF-8"), 256)))
-    rows = with_locator(docs, scratch, [id_col, text_col])
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"), "loc_file", "loc_row")
+    rows = placed.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"), "loc_file", "loc_row")
     keyed = rows.withColumn("digest", digest(F.col("norm")))
     final = keyed_state(spark, keyed.select("digest", "id", "loc_file", "loc_row"), scratch, files_per_batch)
     total = final.agg(F.sum("n")).first()[0] or 0
@@ -121,14 +126,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("n").alias("group_size"),
         ((F.col("loc_file") == F.col("keep.loc_file")) & (F.col("loc_row") == F.col("keep.loc_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "loc_file",
+        "loc_row",
     )
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: the pipeline's stage."""
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep"), "text_sha256")
-    sha = F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256)
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (sha == F.col("text_sha256")), "left_semi")
+    scratch = Scratch(docs.sparkSession, "exact")
+    placed = with_locator(docs, scratch, docs.columns)
+    keep = decide(placed, scratch).filter("kept").select("loc_file", "loc_row")
+    return placed.join(keep, ["loc_file", "loc_row"], "left_semi").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

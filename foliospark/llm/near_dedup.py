@@ -214,6 +214,12 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stand for their component: the pipeline's stage. Rows without doc_id stay."""
+    gone = near_dedup(docs).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the component of every row of `documents`."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

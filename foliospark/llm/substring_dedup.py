@@ -366,7 +366,15 @@ def mark(length: int, together: int = TOGETHER):
 
 # --- 3: cut --------------------------------------------------------------------------------------------------------
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
+
+
+def whole_characters(part: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the characters of which every byte goes."""
+    head = (part & 0xC0) != 0x80
+    of = np.cumsum(head) - 1
+    all_gone = np.logical_and.reduceat(gone, np.flatnonzero(head))
+    return part[~all_gone[of]].tobytes().decode()
 
 
 def cut_text(parts: int, length: int, seed: int, with_bytes: bool):
@@ -391,7 +399,7 @@ def cut_text(parts: int, length: int, seed: int, with_bytes: bool):
         for r in np.flatnonzero(b.copy).tolist():
             if b.off[r + 1] - b.off[r] >= length:
                 gone[b.off[r] : b.off[r + 1]] = True
-        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+        out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")}
         for r in range(b.rows.num_rows):
             part, mask = b.data[b.off[r] : b.off[r + 1]], gone[b.off[r] : b.off[r + 1]]
             kept = part[~mask].tobytes() if mask.any() else part.tobytes()
@@ -400,15 +408,19 @@ def cut_text(parts: int, length: int, seed: int, with_bytes: bool):
             out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept if with_bytes else None)
-        types = {"kept_sha256": pa.string(), "kept": pa.binary()}
-        ids = b.rows["doc_id"] if "null_id" not in b.rows.column_names else pc.if_else(b.rows["null_id"], pa.scalar(None, pa.int64()), b.rows["doc_id"])
-        return pa.table({"doc_id": ids, **{k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}})
+            out["kept_text"].append((whole_characters(part, mask) if mask.any() else kept.decode()) if with_bytes else None)
+        types = {"kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
+        ids = pc.if_else(b.rows["null_id"], pa.scalar(None, pa.int64()), b.rows["doc_id"])
+        rest = {"rest": b.rows["rest"]} if "rest" in b.rows.column_names else {}
+        return pa.table({"doc_id": ids, **{k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}, **rest})
 
     return run
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, null unless with_bytes).
+def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text, and `carry` (columns of docs) as a struct `rest`.
+
+    kept has the remaining bytes; kept_text is the text without the characters that go whole. Both are null unless with_bytes.
 
     Texts are whole UTF-8 byte strings, null counts as empty; no match crosses documents. A byte goes when a string of
     `length` bytes over it also starts in a document with a smaller doc_id. Rows that share a doc_id are no reason for
@@ -419,10 +431,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
         raise ValueError("seed < length <= seed + 32")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    placed = with_locator(docs, scratch, ["doc_id", "text"])
+    placed = with_locator(docs, scratch, list(dict.fromkeys(("doc_id", "text", *carry))))
     rows = placed.select(
         F.xxhash64("loc_file", F.floor(F.col("loc_row") / BLOCK_ROWS)).alias("block"), "loc_row",
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *([F.struct(*carry).alias("rest")] if carry else []),
     )
     # whole copies: every one but the least doc_id goes; their rows are told to their blocks
     marked = scratch.table(rows.select("block", "loc_row", "doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")), "marked")
@@ -435,17 +448,26 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     sent = rows.select("block", "loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
     repeats = sent.groupBy("part").applyInArrow(find_repeats, REPEATS).withColumn("copies", F.lit(None).cast("array<long>"))
     told = scratch.table(repeats.unionByName(copies), "told")
-    by_block = rows.groupBy("block")
-    entries = by_block.cogroup(told.groupBy("block")).applyInArrow(send_entries(parts, length, seed), ENTRIES)
+    entries = rows.drop("rest").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_entries(parts, length, seed), ENTRIES)
     entries = scratch.table(entries, "entries")
     bits = scratch.table(entries.groupBy("part").applyInArrow(mark(length), BITS), "bits")
     scratch.drop("entries")
     both = told.withColumn("bits", F.lit(None).cast("binary")).unionByName(
         bits.select("block", F.lit(None).cast("long").alias("piece"), "part", F.lit(None).cast("binary").alias("repeats"), F.lit(None).cast("array<long>").alias("copies"), "bits")
     )
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(cut_text(parts, length, seed, with_bytes), RESULT)
+    result = RESULT + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else "")
+    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut_text(parts, length, seed, with_bytes), result)
+
+
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """`docs`, all rows and columns, with what stays of each text: the pipeline's stage. n_chars follows the text; a null text stays null."""
+    names = docs.columns
+    cut = substring_dedup(docs, with_bytes=True, carry=tuple(c for c in names if c != "n_chars") if "n_chars" in names else tuple(names))
+    text = F.when(F.col("rest.text").isNotNull(), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return cut.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in names])
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: what stays of every text of `documents`."""
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept")
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("kept", "kept_text")
