@@ -27,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import flat, mix, pack, pieces, prefix_hash, span_hash, unpack
+from .bytesets import BASE_INV, flat, mix, pack, pieces, powers, prefix_hash, span_hash, unpack
 from .scratch import Scratch, with_locator
 
 LENGTH, SEED = 50, 20
-BLOCK_ROWS, PART_BYTES = 512, 8 << 20
+BLOCK_ROWS, PART_BYTES = 512, 4 << 20
 #: Windows sorted at once in a task, unless a single anchor has more.
-TOGETHER = 400_000
+TOGETHER = 250_000
 KEY_BYTES = 6
 
 
@@ -47,20 +47,25 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int):
     if n < length:
         return empty, empty, empty, empty, empty.astype(np.uint64)
     h = prefix_hash(data)
-    at = np.arange(n - seed + 1)
-    g = mix(span_hash(h, at, at + seed))
-    low = (g & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    g = h[seed:] - h[: n + 1 - seed]
+    g *= powers(BASE_INV, n + 1)[: n + 1 - seed]
+    g = mix(g)
+    low = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
     have, want = 1, length - seed + 1
     while have < want:
         step = min(have, want - have)
         low = np.minimum(low[:-step], low[step:])
         have += step
-    text = np.searchsorted(off, np.arange(n - length + 1), "right") - 1 if len(off) > 2 else np.zeros(n - length + 1, np.int64)
-    start = np.flatnonzero(off[text + 1] - np.arange(n - length + 1) >= length)
+    inside = np.zeros(n + 1, np.int32)  # above zero where a window of its text starts
+    long_ = np.flatnonzero(np.diff(off) >= length)
+    inside[off[long_]] += 1
+    inside[off[long_ + 1] - length + 1] -= 1
+    start = np.flatnonzero(np.cumsum(inside[: n - length + 1]))
     if not len(start):
         return empty, empty, empty, empty, empty.astype(np.uint64)
     place = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = text[start]
+    text = np.searchsorted(off, start[np.flatnonzero(np.r_[True, np.diff(start) > 1])], "right") - 1  # of each run of starts
+    text = np.repeat(text, np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(start) > 1]), len(start)]))
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
     return text[new], start[new], np.diff(np.r_[new, len(start)]), place[new], g[place[new]]
 
@@ -232,11 +237,13 @@ def send_entries(parts: int, length: int, seed: int):
 # --- the suffix sort -----------------------------------------------------------------------------------------------
 
 
-def extension(h: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
-    """Length of the common prefix of the suffixes at x and y, up to limit: binary search over prefix hashes."""
-    common = np.zeros(len(x), np.int64)
-    todo = np.flatnonzero(span_hash(h, x, x + limit) != span_hash(h, y, y + limit))
-    common[:] = limit
+def extension(h: np.ndarray, x: np.ndarray, y: np.ndarray, differ: np.ndarray, limit: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at x and y, up to limit: binary search over prefix hashes.
+
+    differ: where the hashes of the whole `limit` bytes differ; elsewhere the prefix is common in full.
+    """
+    common = np.full(len(x), limit)
+    todo = np.flatnonzero(differ)
     got = np.zeros(len(todo), np.int64)
     step = 1 << (max(1, limit) - 1).bit_length()
     a, b = x[todo], y[todo]
@@ -260,6 +267,15 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, group: np.n
         return np.zeros(0, np.int64)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[first, n])
+    full = span_hash(h, starts, starts + limit)
+
+    def less(a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+        """Whether suffix a goes before suffix b."""
+        x, y = starts[a], starts[b]
+        common = extension(h, x, y, full[a] != full[b], limit)
+        k = np.minimum(common, limit - 1)
+        return np.where(common == limit, or_equal, data[x + k] < data[y + k])
+
     begin, end = np.repeat(first, sizes), np.repeat(first + sizes, sizes)
     rel = np.arange(n) - begin
     order = np.arange(n)
@@ -267,21 +283,22 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, group: np.n
     while run < sizes.max():
         side = rel // run
         low = begin + (side ^ 1) * run
-        live = np.flatnonzero((low < end) & (end - begin > run))
+        # two runs that are in order already stay: only the last of the one and the first of the other are compared
+        second = np.flatnonzero((side & 1 == 1) & (rel % run == 0))
+        second = second[~less(order[second - 1], order[second], np.ones(len(second), bool))]
+        moved = np.zeros(n, bool)
+        moved[second] = True
+        pairs = begin + (side | 1) * run  # where the second run of an element's pair begins
+        live = np.flatnonzero((pairs < end) & moved[np.minimum(pairs, n - 1)])
         lo, hi = low[live], np.minimum(low[live] + run, end[live])
         base = lo.copy()
         right = (side[live] & 1).astype(bool)
-        own = starts[order[live]]
         while True:  # how many of the other run go before: the smaller ones, for a right run also the equal ones
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) // 2
-            x, y = own[open_], starts[order[mid]]
-            common = extension(h, x, y, limit)
-            same = common == limit
-            k = np.minimum(common, limit - 1)
-            before = np.where(same, right[open_], data[y + k] < data[x + k])
+            before = less(order[mid], order[live[open_]], right[open_])
             lo[open_] = np.where(before, mid + 1, lo[open_])
             hi[open_] = np.where(before, hi[open_], mid)
         pair = begin[live] + (side[live] & ~1) * run
@@ -296,13 +313,16 @@ def suffix_sort(data: np.ndarray, h: np.ndarray, starts: np.ndarray, group: np.n
 def equal_runs(data: np.ndarray, h: np.ndarray, starts: np.ndarray, group: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """For the sorted suffixes, the number of the class of equal ones; verified byte by byte."""
     x, y = starts[order[:-1]], starts[order[1:]]
-    same = (group[order[1:]] == group[order[:-1]]) & (extension(h, x, y, limit) == limit)
+    full = span_hash(h, starts, starts + limit)[order]
+    same = (group[order[1:]] == group[order[:-1]]) & (full[1:] == full[:-1])
     at = np.flatnonzero(same)
+    step = 8 if limit >= 8 else 1
+    word = np.ndarray(max(0, len(data) - step + 1), f"<u{step}", np.ascontiguousarray(data), strides=(1,))  # the bytes at each place
     for a in range(0, len(at), 1 << 18):
         some = at[a : a + (1 << 18)]
         differ = np.zeros(len(some), bool)
-        for k in range(limit):
-            differ |= data[x[some] + k] != data[y[some] + k]
+        for k in [*range(0, limit - step, step), limit - step]:
+            differ |= word[x[some] + k] != word[y[some] + k]
         if differ.any():  # two strings with one hash: sort this group by its bytes
             bad = np.isin(group, np.unique(group[order[some[differ]]]))
             rows = np.flatnonzero(bad)
