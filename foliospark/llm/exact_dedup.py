@@ -45,7 +45,7 @@ def normalised(text):
 
 
 def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_per_batch: int) -> DataFrame:
-    """Runs the stream over `keys` (digest, id, loc_file, loc_row): digest, keep (id, loc_file, loc_row), n."""
+    """Runs the stream over `keys` (digest, id, __loc_file, __loc_row): digest, keep (id, __loc_file, __loc_row), n."""
     updates = scratch.path("updates")
     keys.write.option("compression", "zstd").parquet(scratch.path("keys"))
     with disk_state(spark):
@@ -54,7 +54,7 @@ def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_pe
             .option("maxFilesPerTrigger", files_per_batch)
             .parquet(scratch.path("keys"))
             .groupBy("digest")
-            .agg(F.max(F.struct("id", "loc_file", "loc_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+            .agg(F.max(F.struct("id", "__loc_file", "__loc_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
             .writeStream.outputMode("update")
             .option("checkpointLocation", scratch.path("state"))
             .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{updates}/batch={k}"))
@@ -63,7 +63,7 @@ def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_pe
         )
         query.awaitTermination()
     if spark.read.schema(keys.schema).parquet(scratch.path("keys")).isEmpty():
-        return spark.createDataFrame([], "digest binary, keep struct<id:bigint,loc_file:string,loc_row:bigint>, n bigint")
+        return spark.createDataFrame([], "digest binary, keep struct<id:bigint,__loc_file:string,__loc_row:bigint>, n bigint")
     # the state of a digest only grows, so its last update is its largest
     last = spark.read.parquet(updates).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
     return scratch.table(last, "final")
@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "exact")
     placed = with_locator(docs, scratch, [id_col, text_col])
-    return decide(placed, scratch, id_col, text_col, digest, files_per_batch).drop("loc_file", "loc_row")
+    return decide(placed, scratch, id_col, text_col, digest, files_per_batch).drop("__loc_file", "__loc_row")
 
 
 def decide(placed: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", digest=None, files_per_batch: int = 1000) -> DataFrame:
@@ -87,9 +87,9 @@ def decide(placed: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     spark = placed.sparkSession
     strong = digest is None
     digest = digest or (lambda t: F.unhex(F.sha2(F.encode(t, "UTF-8"), 256)))
-    rows = placed.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"), "loc_file", "loc_row")
+    rows = placed.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"), "__loc_file", "__loc_row")
     keyed = rows.withColumn("digest", digest(F.col("norm")))
-    final = keyed_state(spark, keyed.select("digest", "id", "loc_file", "loc_row"), scratch, files_per_batch)
+    final = keyed_state(spark, keyed.select("digest", "id", "__loc_file", "__loc_row"), scratch, files_per_batch)
     total = final.agg(F.sum("n")).first()[0] or 0
     multi = final.filter("n > 1")
     heavy = F.broadcast(multi.filter(F.col("n") * HEAVY > total).select("digest", F.lit(SALTS).alias("salts")))
@@ -98,36 +98,36 @@ def decide(placed: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         """A heavy digest's rows are dealt over SALTS tasks."""
         return df.join(heavy, "digest", "left").withColumn("salt", salt(F.coalesce("salts", F.lit(1)))).drop("salts")
 
-    one = lambda n: F.pmod(F.xxhash64("loc_file", "loc_row"), n).cast("int")
+    one = lambda n: F.pmod(F.xxhash64("__loc_file", "__loc_row"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     hits = salted(keyed, one).join(salted(multi, each).hint("shuffle_hash"), ["digest", "salt"])
-    hits = scratch.table(hits.withColumn("winner", (F.col("loc_file") == F.col("keep.loc_file")) & (F.col("loc_row") == F.col("keep.loc_row"))), "hits")
+    hits = scratch.table(hits.withColumn("winner", (F.col("__loc_file") == F.col("keep.__loc_file")) & (F.col("__loc_row") == F.col("keep.__loc_row"))), "hits")
     winners = salted(hits.filter("winner").select("digest", F.col("norm").alias("bytes_there")), each)
     differ = hits.filter("NOT winner").join(winners.hint("shuffle_hash"), ["digest", "salt"]).filter("norm <> bytes_there").select("digest").distinct()
     differ = scratch.table(differ, "differ")
 
-    keys = spark.read.schema(keyed.select("digest", "id", "loc_file", "loc_row").schema).parquet(scratch.path("keys"))
+    keys = spark.read.schema(keyed.select("digest", "id", "__loc_file", "__loc_row").schema).parquet(scratch.path("keys"))
     if differ.isEmpty():
         scratch.drop("hits")
         true = keys.join(final, "digest")
     else:  # digests that collide: group by full bytes
-        wrong = hits.join(differ, "digest", "left_semi").select("digest", "norm", "id", "loc_file", "loc_row")
-        again = wrong.groupBy("digest", "norm").agg(F.max(F.struct("id", "loc_file", "loc_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        fixed = wrong.join(again, ["digest", "norm"]).select("digest", "id", "loc_file", "loc_row", "keep", "n")
+        wrong = hits.join(differ, "digest", "left_semi").select("digest", "norm", "id", "__loc_file", "__loc_row")
+        again = wrong.groupBy("digest", "norm").agg(F.max(F.struct("id", "__loc_file", "__loc_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        fixed = wrong.join(again, ["digest", "norm"]).select("digest", "id", "__loc_file", "__loc_row", "keep", "n")
         true = keys.join(differ, "digest", "left_anti").join(final, "digest").unionByName(fixed)
     if strong:
         true = true.withColumn("sha", F.lower(F.hex("digest")))
     else:
-        sha = rows.select("loc_file", "loc_row", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"))
-        true = true.join(sha, ["loc_file", "loc_row"])
+        sha = rows.select("__loc_file", "__loc_row", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"))
+        true = true.join(sha, ["__loc_file", "__loc_row"])
     return true.select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        ((F.col("loc_file") == F.col("keep.loc_file")) & (F.col("loc_row") == F.col("keep.loc_row"))).alias("kept"),
+        ((F.col("__loc_file") == F.col("keep.__loc_file")) & (F.col("__loc_row") == F.col("keep.__loc_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
-        "loc_file",
-        "loc_row",
+        "__loc_file",
+        "__loc_row",
     )
 
 
@@ -135,8 +135,8 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: the pipeline's stage."""
     scratch = Scratch(docs.sparkSession, "exact")
     placed = with_locator(docs, scratch, docs.columns)
-    keep = decide(placed, scratch).filter("kept").select("loc_file", "loc_row")
-    return placed.join(keep, ["loc_file", "loc_row"], "left_semi").select(*docs.columns)
+    keep = decide(placed, scratch).filter("kept").select("__loc_file", "__loc_row")
+    return placed.join(keep, ["__loc_file", "__loc_row"], "left_semi").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

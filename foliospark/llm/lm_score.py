@@ -67,7 +67,7 @@ RETURN = "block long, piece long, part int, uni_n binary, bi_n binary, n long, v
 
 
 def send(parts: int):
-    """From rows (block, loc_row, held, text) in stored order to the keys of each part. A run of a block's rows in one task is a piece."""
+    """From rows (block, __loc_row, held, text) in stored order to the keys of each part. A run of a block's rows in one task is a piece."""
 
     def one(block, piece, batches):
         table = pa.concat_tables(batches)
@@ -102,7 +102,7 @@ def send(parts: int):
                     yield from one(now, piece, held)
                     held = []
                 if not held:
-                    now, piece = int(block[a]), batch.column("loc_row")[a].as_py()
+                    now, piece = int(block[a]), batch.column("__loc_row")[a].as_py()
                 held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
         if held:
             yield from one(now, piece, held)
@@ -153,8 +153,8 @@ def look_up(n_all: int, v_all: int, parts: int):
     floor = 0.5 * (v_all + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("loc_row")
-        at = left["loc_row"].to_numpy()
+        left = left.sort_by("__loc_row")
+        at = left["__loc_row"].to_numpy()
         got = {}
         for piece, part, u, b in zip(*(right[c].to_pylist() for c in ("piece", "part", "uni_n", "bi_n")), strict=True):
             got.setdefault(piece, {})[part] = (u, b)
@@ -217,6 +217,8 @@ def weights(cells: np.ndarray, n: np.ndarray, v_all: int, rounds: int = EM_ROUND
         have = np.flatnonzero(~empty[1:]) + 1
         for b in np.flatnonzero(empty[1:]) + 1:
             out[b] = out[have[np.abs(have - b).argmin()]]
+    if not v_all:
+        out[:] = (0, 0, 1)  # nothing was learned
     out[:, 2] = np.maximum(out[:, 2], 1e-9)  # no token has probability zero
     return out / out.sum(1, keepdims=True)
 
@@ -250,12 +252,12 @@ def lm_score(docs: DataFrame, held_out=None, part_bytes: int = PART_BYTES) -> Da
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     rows = with_locator(docs, scratch, ["doc_id", "text"]).select(
-        F.xxhash64("loc_file", F.floor(F.col("loc_row") / BLOCK_ROWS)).alias("block"), "loc_row",
+        F.xxhash64("__loc_file", F.floor(F.col("__loc_row") / BLOCK_ROWS)).alias("block"), "__loc_row",
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(16, size // part_bytes))
-    sent = rows.select("block", "loc_row", "held", "text").mapInArrow(send(parts), FORWARD)
+    sent = rows.select("block", "__loc_row", "held", "text").mapInArrow(send(parts), FORWARD)
     totals = scratch.table(sent.groupBy("part").applyInArrow(total, RETURN), "totals")
     n_all, v_all = (int(x or 0) for x in totals.filter("piece = -1").agg(F.sum("n"), F.sum("v")).first())
     counts = totals.filter("piece >= 0").select("block", "piece", "part", "uni_n", "bi_n")

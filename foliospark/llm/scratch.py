@@ -53,13 +53,13 @@ class Scratch:
 
 
 def with_locator(docs: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
-    """`columns` of `docs` with `loc_file` and `loc_row`, the place of the row in its stored file.
+    """`columns` of `docs` with `__loc_file` and `__loc_row`, the place of the row in its stored file.
 
     A plain scan of Parquet files has them already; any other plan is written once to the shared folder.
     Two readings give the same places, whatever the splits.
     """
     try:
-        place = [F.col("_metadata.file_path").alias("loc_file"), F.col("_metadata.row_index").alias("loc_row")]
+        place = [F.col("_metadata.file_path").alias("__loc_file"), F.col("_metadata.row_index").alias("__loc_row")]
         out = docs.select(*columns, *place)
         out.schema  # noqa: B018  analysis fails where the plan has no file source
         return out
@@ -67,4 +67,4 @@ def with_locator(docs: DataFrame, scratch: Scratch, columns: list[str]) -> DataF
         if "_metadata" not in str(e):
             raise
     stored = scratch.table(docs.select(*columns), "input")
-    return stored.select(*columns, F.col("_metadata.file_path").alias("loc_file"), F.col("_metadata.row_index").alias("loc_row"))
+    return stored.select(*columns, F.col("_metadata.file_path").alias("__loc_file"), F.col("_metadata.row_index").alias("__loc_row"))

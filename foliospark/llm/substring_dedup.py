@@ -105,7 +105,7 @@ def by_piece(work):
                     yield from work(now, piece, pa.concat_tables(held)).to_batches()
                     held = []
                 if not held:
-                    now, piece = int(block[a]), batch.column("loc_row")[a].as_py()
+                    now, piece = int(block[a]), batch.column("__loc_row")[a].as_py()
                 held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
         if held:
             yield from work(now, piece, pa.concat_tables(held)).to_batches()
@@ -175,9 +175,9 @@ class Block:
     """A block's rows in stored order, its anchor runs and which of them repeat. Two readings give the same."""
 
     def __init__(self, left: pa.Table, right: pa.Table, parts: int, length: int, seed: int):
-        self.rows = left.sort_by("loc_row")
+        self.rows = left.sort_by("__loc_row")
         self.length = length
-        at = self.rows["loc_row"].to_numpy()
+        at = self.rows["__loc_row"].to_numpy()
         got: dict[int, dict[int, bytes]] = {}
         copies: list[int] = []
         for piece, part, bits, rows in zip(*(right[c].to_pylist() for c in ("piece", "part", "repeats", "copies")), strict=True):
@@ -453,19 +453,19 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     scratch = Scratch(spark, "substring")
     placed = with_locator(docs, scratch, list(dict.fromkeys(("doc_id", "text", *carry))))
     rows = placed.select(
-        F.xxhash64("loc_file", F.floor(F.col("loc_row") / BLOCK_ROWS)).alias("block"), "loc_row",
+        F.xxhash64("__loc_file", F.floor(F.col("__loc_row") / BLOCK_ROWS)).alias("block"), "__loc_row",
         F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *([F.struct(*carry).alias("rest")] if carry else []),
     )
     # whole copies: every one but the least doc_id goes; their rows are told to their blocks
-    marked = scratch.table(rows.select("block", "loc_row", "doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")), "marked")
+    marked = scratch.table(rows.select("block", "__loc_row", "doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")), "marked")
     total = marked.agg(F.sum("size")).first()[0] or 0
     parts = int(max(16, total // part_bytes))
     least = marked.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = marked.join(least, "sha").filter("doc_id > least").groupBy("block").agg(F.collect_list("loc_row").alias("copies"))  # at most BLOCK_ROWS each
+    copies = marked.join(least, "sha").filter("doc_id > least").groupBy("block").agg(F.collect_list("__loc_row").alias("copies"))  # at most BLOCK_ROWS each
     copies = copies.select("block", F.lit(None).cast("long").alias("piece"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("repeats"), "copies")
 
-    sent = rows.select("block", "loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
+    sent = rows.select("block", "__loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
     repeats = sent.groupBy("part").applyInArrow(find_repeats, REPEATS).withColumn("copies", F.lit(None).cast("array<long>"))
     told = scratch.table(repeats.unionByName(copies), "told")
     entries = rows.drop("rest").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_entries(parts, length, seed), ENTRIES)
