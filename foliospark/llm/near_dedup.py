@@ -2,15 +2,18 @@
 
 Texts with the same shingle set are one class. Each class has a signature of K coordinates; every (coordinate, value)
 pair is a token with a posting list of classes. Two sets of similarity 0.75 agree in at least T of the K coordinates
-(all but 2 of a million such pairs), so this is a T-occurrence join:
-
-* prefix: a class whose tokens are ordered from rare to frequent needs postings for all but its last T-1 tokens only;
-  a passage that thousands of documents share stays out of the lists unless it makes up most of a document;
-* skip: a list links its members through one leader first; later rounds skip pairs that a chain of confirmed links
-  already joins, and pairs whose sizes or collision counts can't reach the threshold;
-* every pair that survives is confirmed by the sizes of intersection and union of the full sets.
-
-The last round takes every pair of one list that lies in different components, so no link is lost to a cap.
+(all but a few of a million such pairs), so this is a T-occurrence join:
+
+* prefix: a class whose tokens are ordered from rare to frequent needs postings for all but its last T-1 tokens only,
+  and none if fewer than T of its tokens are shared at all; a passage that thousands of documents share stays out of
+  the lists unless it makes up half of a document;
+* skip: a list first links its members through one leader. Then only pairs that no chain of confirmed links joins
+  count: a list names for each class the other components in it that have a member of enough collisions, and each
+  such class meets the members of that component once, whatever the number of lists they share;
+* collisions are counted on one-bit coordinates (BITS of them), and what passes the match threshold is confirmed by the
+  sizes of intersection and union of the full sets.
+
+Lists and components are cut into cells of bounded size, so neither is ever in one task as a whole.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +30,18 @@ from .bytesets import LOWER, flat, mix, pieces, words
 from .scratch import Scratch
 
 WIDTH, PERCENT = 5, 75
-K, T = 32, 12
-#: Another round of leaders goes first while so many times more pairs than postings are left.
-LEADER_ROUNDS, MANY = 3, 8
+K, T = 64, 32
+#: One-bit coordinates for counting collisions, and how many of them two sets of similarity 0.75 agree in at least
+#: (448 expected, a deviation of 7.5, so all but one of a million pairs).
+BITS, AGREE = 512, 408
+#: Most classes of a list or component on one side of a cell.
+CELL = 2048
 
 _rng = np.random.Generator(np.random.PCG64(75))
 SEEDS = _rng.integers(0, 1 << 64, K, dtype=np.uint64)[:, None]
 ODD = (_rng.integers(0, 1 << 64, K, dtype=np.uint64) | np.uint64(1))[:, None]
+BIT_SEEDS = _rng.integers(0, 1 << 64, BITS, dtype=np.uint64)[:, None]
+BIT_ODD = (_rng.integers(0, 1 << 64, BITS, dtype=np.uint64) | np.uint64(1))[:, None]
 STEP = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WIDTH)]
 
 
@@ -61,11 +70,22 @@ def set_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def least(s: np.ndarray, seeds: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The least hash of the set under each of the functions."""
+    out = np.full((len(seeds), 1), np.iinfo(np.uint64).max, np.uint64)
+    step = max(64, (1 << 17) // len(seeds))
+    for a in range(0, len(s), step):
+        out = np.minimum(out, ((s[a : a + step] ^ seeds) * odd).min(1, keepdims=True))
+    return out.ravel()
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    out = np.full((K, 1), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(s), 4096):
-        out = np.minimum(out, ((s[a : a + 4096] ^ SEEDS) * ODD).min(1, keepdims=True))
-    return out.ravel().view(np.int64)
+    return least(s, SEEDS, ODD).view(np.int64)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """One bit of each of BITS coordinates, as 64-bit integers."""
+    return np.packbits((mix(least(s, BIT_SEEDS, BIT_ODD)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
 def sign(it):
@@ -82,37 +102,122 @@ def sign(it):
 
 
 def full_sets(it):
-    """(class, text) to (class, n, members); a text that isn't the class's own is left out."""
+    """(class, text) to (class, n, sketch, members); a text that isn't the class's own is left out."""
     with np.errstate(over="ignore"):
         for batch in it:
             sets = shingle_sets(batch.column("text")) if batch.num_rows else []
             own = [(c, s) for c, s in zip(batch.column("class").to_pylist(), sets, strict=True) if set_key(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["class", "members"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([c for c, _ in own], pa.binary()), pa.array([len(s) for _, s in own], pa.int64()),
+                    pa.array([sketch(s) for _, s in own], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s in own], pa.binary()),
+                ],
+                names=["class", "n", "sketch", "members"],
+            )
+
+
+def linked_sets(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets (sorted) have the similarity."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def confirm(percent: int):
     def run(it):
         for batch in it:
-            keep = []
-            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [linked_sets(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
 
+def signs(column) -> np.ndarray:
+    """A row of +1 and -1 for each sketch: their product is twice the agreeing coordinates less BITS."""
+    raw = np.asarray(pc.list_flatten(column)).view(np.uint8).reshape(-1, BITS // 8)
+    return np.unpackbits(raw, axis=1).astype(np.float32) * 2 - 1
+
+
+def near(signs_a, n_a, signs_b, n_b, percent: int) -> np.ndarray:
+    """Agreeing coordinates of every pair, 0 where they or the sizes rule a link out."""
+    agree = (signs_a @ signs_b.T + BITS) / 2
+    few = (agree < AGREE) | (100 * np.minimum(n_a[:, None], n_b[None, :]) < percent * np.maximum(n_a[:, None], n_b[None, :]))
+    agree[few] = 0
+    return agree
+
+
+def meet(percent: int):
+    """One cell of a list: for each class the other components in which it has a class of enough collisions.
+
+    Of two components the smaller one's classes are named, so a large component isn't sent around.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        one, two = table["cell_i"][0].as_py(), table["cell_j"][0].as_py()
+        side = table["own"].to_numpy()
+        rows = np.flatnonzero(side == one)
+        cols = np.flatnonzero(side == two)
+        bits, n = signs(table["sketch"].combine_chunks()), table["n"].to_numpy()
+        coded = pc.dictionary_encode(table["comp"].combine_chunks())
+        comp, names, size = coded.indices.to_numpy(), coded.dictionary.to_pylist(), table["members"].to_numpy()
+        of_comp = np.zeros(len(names), np.int64)
+        of_comp[comp] = size
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=lambda c: (of_comp[c], names[c]))] = np.arange(len(names))
+        rank = place[comp]
+        found = set()
+        for a in range(0, len(rows), 256):
+            some = rows[a : a + 256]
+            agree = near(bits[some], n[some], bits[cols], n[cols], percent)
+            agree[comp[some][:, None] == comp[cols][None, :]] = 0
+            i, j = np.nonzero(agree)
+            x, y = some[i], cols[j]
+            x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+            head = np.full(len(names), -1)
+            head[comp[y]] = y  # any member names the component
+            found.update(zip(x.tolist(), head[comp[y]].tolist(), strict=True))
+        classes, comps = table["class"], table["comp"]
+        x, y = [p for p, _ in found], [p for _, p in found]
+        return pa.table({"class": classes.take(pa.array(x, pa.int64())), "comp": comps.take(pa.array(y, pa.int64()))})
+
+    return run
+
+
+def visit(percent: int):
+    """One cell of a component: each visiting class is linked with the first member, by collisions, that is confirmed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        guest = table["guest"].to_numpy(zero_copy_only=False)
+        hosts, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
+        bits, n = signs(table["sketch"].combine_chunks()), table["n"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"].combine_chunks()]
+        out = []
+        for a in range(0, len(guests), 256):
+            some = guests[a : a + 256]
+            agree = near(bits[some], n[some], bits[hosts], n[hosts], percent)
+            for k, row in zip(some.tolist(), agree, strict=True):
+                order = np.argsort(-row, kind="stable")
+                for m in hosts[order[: int((row > 0).sum())]].tolist():
+                    if linked_sets(sets[k], sets[m], percent):
+                        out.append((k, m))
+                        break
+        classes = table["class"]
+        return pa.table({"a": classes.take(pa.array([k for k, _ in out], pa.int64())), "b": classes.take(pa.array([m for _, m in out], pa.int64()))})
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, comp) for every node of links (a, b): comp is the least node of its component.
 
-    Large-star and small-star in turn: each node's neighbours are tied to the least of them, until nothing changes.
+    Large-star and small-star in turn: each node's neighbours are tied to the least of them, until only stars are left.
     """
     edges = scratch.table(links.select("a", "b").filter("a <> b"), f"{name}-0")
-    seen, k = None, 0
+    k = 0
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -120,14 +225,14 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = scratch.table(large, f"{name}-{k}-large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select("u", "v", "m").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         k += 1
         edges = scratch.table(small.select("e.*").filter("a <> b").distinct(), f"{name}-{k}")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}-{k - 1}", f"{name}-{k - 1}-large")
-        if now == seen:
+        # stars: every node points to one other, which points nowhere
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 OR (out = 1 AND in = 1)").isEmpty():
             break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct())
 
 
@@ -143,49 +248,51 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(frequent, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= T)
     postings = scratch.table(shared.select("class", F.explode(F.slice("t", F.lit(1), F.size("t") - (T - 1))).alias("x")).select("class", F.col("x.token").alias("token")), "postings")
-    involved = postings.select("class").distinct().join(classes, "class")
-    known = scratch.table(involved.select("class", "n", "sig", "rep"), "known")
-    texts = rows.join(known.select("class", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select("class", "text")
-    sets = scratch.table(texts.mapInArrow(full_sets, "class binary, members binary").dropDuplicates(["class"]), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ends = [known.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-        enough = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= T
-        near = pairs.join(ends[0], "a").join(ends[1], "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & enough).select("a", "b")
-        near = scratch.table(near, f"near-{name}")
-        full = near.join(sets.select(F.col("class").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("set_b")), "b")
-        return scratch.table(full.mapInArrow(confirm(percent), "a binary, b binary"), f"links-{name}")
-
-    links, comp = None, None
-    for k in range(LEADER_ROUNDS + 1):
-        if comp is None:
-            lists = postings.withColumn("comp", F.col("class"))
-        else:
-            lists = postings.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        by_comp = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-        open_ = by_comp.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("m", "comp")).alias("main")).filter("comps > 1")
-        open_ = scratch.table(open_, f"open-{k}")
-        left, size = open_.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("same")) / 2), F.sum("m")).first()
-        if not left:
-            break
-        lists = scratch.table(lists.join(open_.select("token", F.col("main.comp").alias("main")), "token"), f"lists-{k}")
-        last = k == LEADER_ROUNDS or left <= MANY * size
-        if last:
-            # one side lies outside the list's largest component, so its inner pairs are never formed
-            out = lists.filter("comp <> main").select("token", F.col("class").alias("x"), F.col("comp").alias("comp_x"))
-            every = lists.select("token", F.col("class").alias("y"), F.col("comp").alias("comp_y"))
-            pairs = out.join(every, "token").filter("comp_x <> comp_y")
-        else:
-            head = F.min if k % 2 == 0 else F.max
-            heads = lists.groupBy("token").agg(head(F.struct(F.xxhash64("class", F.lit(k)), "class")).alias("h")).select("token", F.col("h.class").alias("y"))
-            pairs = lists.select("token", F.col("class").alias("x"), "comp").join(heads, "token").filter("x <> y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = confirmed(pairs, str(k))
-        links = new if links is None else links.union(new)
-        comp = components(links, scratch, f"comp-{k}")
-        if last:
-            break
-    return signed, classes, comp
+    texts = rows.join(postings.select("class").distinct().join(classes, "class").select("class", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select("class", "text")
+    sets = scratch.table(texts.mapInArrow(full_sets, "class binary, n long, sketch array<long>, members binary").dropDuplicates(["class"]), "sets")
+    known = sets.select("class", "n", "sketch")
+
+    # each list ties its members to one of them
+    heads = postings.groupBy("token").agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", F.col("h.class").alias("b"))
+    pairs = postings.select("token", F.col("class").alias("a")).join(heads, "token").filter("a <> b").select("a", "b").distinct()
+    ends = [known.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = pairs.join(ends[0], "a").join(ends[1], "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (BITS - differ >= AGREE)).select("a", "b")
+    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("set_b")), "b")
+    links = scratch.table(full.mapInArrow(confirm(percent), "a binary, b binary"), "links-0")
+    if links.isEmpty():
+        comp = known.select(F.col("class").alias("node"), F.col("class").alias("comp"))
+    else:
+        comp = components(links, scratch, "comp-0")
+        comp = known.select(F.col("class").alias("node")).join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    comp = scratch.table(comp.join(sizes, "comp").join(known.withColumnRenamed("class", "node"), "node"), "comp")
+
+    # classes of different components that share a list
+    lists = postings.groupBy("class").agg(F.collect_list("token").alias("tokens")).join(comp.withColumnRenamed("node", "class"), "class")
+    lists = lists.select("class", "comp", "members", "n", "sketch", F.explode("tokens").alias("token"))
+    open_ = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
+    lists = lists.join(open_, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
+    lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    lists = lists.select("token", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "own", "class", "comp", "members", "n", "sketch")
+    visits = lists.groupBy("token", "cell_i", "cell_j").applyInArrow(meet(percent), "class binary, comp binary").distinct()
+    visits = scratch.table(visits, "visits")
+
+    # they meet the members of that component, in cells
+    guests = visits.groupBy("comp").agg(F.count(F.lit(1)).alias("guests")).join(sizes, "comp")
+    guests = guests.select("comp", F.ceil(F.col("guests") / CELL).cast("int").alias("columns"), F.ceil(F.col("members") / CELL).cast("int").alias("rows"))
+    guests = scratch.table(guests, "guests")
+    of = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hosts = comp.select("comp", F.col("node").alias("class")).join(guests, "comp").withColumn("i", of("rows")).withColumn("j", each("columns")).select("comp", "i", "j", "class", F.lit(False).alias("guest"))
+    come = visits.select("comp", "class").join(guests, "comp").withColumn("j", of("columns")).withColumn("i", each("rows")).select("comp", "i", "j", "class", F.lit(True).alias("guest"))
+    cells = hosts.unionByName(come).join(sets, "class")
+    more = scratch.table(cells.groupBy("comp", "i", "j").applyInArrow(visit(percent), "a binary, b binary"), "links-1")
+    if not more.isEmpty():
+        links = links.union(more)
+    elif links.isEmpty():
+        return signed, classes, None
+    return signed, classes, components(links, scratch, "comp-1")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -200,7 +307,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     signed, classes, comp = linked(docs, percent, scratch)
     if comp is not None:
-        comp = scratch.table(comp, "comp")
+        comp = scratch.table(comp, "labels")
         tied = comp.withColumnRenamed("node", "class").join(classes.select("class", "rep"), "class")
         least = tied.groupBy("comp").agg(F.min("rep").alias("component_id"))
         groups = tied.join(least, "comp").select("class", "component_id")

@@ -94,10 +94,10 @@ def test_near_against_brute_force(docs, rows):
     assert len(set(comp.values())) < len(comp) - 30
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_chain_and_large_group(spark, monkeypatch, rounds):
-    """A chain whose ends don't link, and a group of near copies of one text: components hold whichever leader comes first."""
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", rounds)
+@pytest.mark.parametrize("cell", [5, 2048])
+def test_near_chain_and_large_group(spark, monkeypatch, cell):
+    """A chain whose ends don't link, and a group of near copies of one text: components hold whichever leader comes first, in cells of any size."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
     rows = []
