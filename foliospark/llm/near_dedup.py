@@ -148,10 +148,27 @@ def near(signs_a, n_a, signs_b, n_b, percent: int) -> np.ndarray:
     return agree
 
 
+def shared_before(tokens, token: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Whether two classes share a list of a smaller token, for rows times cols: that list is where they meet."""
+    values, owner = np.asarray(pc.list_flatten(tokens)), np.asarray(pc.list_parent_indices(tokens))
+    low = values < token
+    _, code, n = np.unique(values[low], return_inverse=True, return_counts=True)
+    owner, code = owner[low][n[code] > 1], code[n[code] > 1]
+    _, code = np.unique(code, return_inverse=True)
+    out = np.zeros((len(rows), len(cols)), bool)
+    for a in range(0, int(code.max()) + 1 if len(code) else 0, 1024):
+        some = (code >= a) & (code < a + 1024)
+        has = np.zeros((len(tokens), 1024), np.float32)
+        has[owner[some], code[some] - a] = 1
+        out |= has[rows] @ has[cols].T > 0
+    return out
+
+
 def meet(percent: int):
     """One cell of a list: for each class the other components in which it has a class of enough collisions.
 
-    Of two components the smaller one's classes are named, so a large component isn't sent around.
+    Of two components the smaller one's classes are named, so a large component isn't sent around. Two classes meet in
+    the first of their common lists only.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -169,10 +186,13 @@ def meet(percent: int):
         place[sorted(range(len(names)), key=lambda c: (of_comp[c], names[c]))] = np.arange(len(names))
         rank = place[comp]
         found = set()
+        token, tokens = table["token"][0].as_py(), table["tokens"].combine_chunks()
         for a in range(0, len(rows), 256):
             some = rows[a : a + 256]
             agree = near(bits[some], n[some], bits[cols], n[cols], percent)
             agree[comp[some][:, None] == comp[cols][None, :]] = 0
+            if agree.any():
+                agree[shared_before(tokens, token, some, cols)] = 0
             i, j = np.nonzero(agree)
             x, y = some[i], cols[j]
             x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
@@ -270,11 +290,11 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
 
     # classes of different components that share a list
     lists = postings.groupBy("class").agg(F.collect_list("token").alias("tokens")).join(comp.withColumnRenamed("node", "class"), "class")
-    lists = lists.select("class", "comp", "members", "n", "sketch", F.explode("tokens").alias("token"))
+    lists = lists.select("class", "comp", "members", "n", "sketch", "tokens", F.explode("tokens").alias("token"))
     open_ = lists.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("token", F.ceil(F.col("m") / CELL).cast("int").alias("cells"))
     lists = lists.join(open_, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("cells")).cast("int"))
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    lists = lists.select("token", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "own", "class", "comp", "members", "n", "sketch")
+    lists = lists.select("token", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "own", "class", "comp", "members", "n", "sketch", "tokens")
     visits = lists.groupBy("token", "cell_i", "cell_j").applyInArrow(meet(percent), "class binary, comp binary").distinct()
     visits = scratch.table(visits, "visits")
 
