@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯＀-￯]"
 
@@ -75,7 +76,7 @@ def string_hash(text: str) -> int:
     return abs(h - (1 << 32) if h >> 31 else h)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def hash_of(c: pd.Series) -> pd.Series:
     return c.map(string_hash)
 

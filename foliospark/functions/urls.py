@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, quote_plus, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Query parameters that only track. Names in any case; PREFIXES by their beginning; HOSTS on one host only.
 TRACKING = {
@@ -65,12 +66,12 @@ def title_key(title: str | None) -> str | None:
     return key or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(url: pd.Series) -> pd.Series:
     return url.map(canonical_url)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_hash(title: pd.Series) -> pd.Series:
     return title.map(lambda t: (k := title_key(t)) and short_hash(k))
 

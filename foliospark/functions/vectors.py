@@ -40,7 +40,7 @@ def from_blob(c: pd.Series) -> pd.Series:
     return c.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_blob(c: pd.Series) -> pd.Series:
     return c.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 

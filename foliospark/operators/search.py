@@ -158,7 +158,8 @@ def full_text(docs: DataFrame, query: str, id_col: str = "id", text_col: str = "
     """id and BM25 score of the texts that have every term of the query."""
     terms = sorted(set(query.lower().split()))
     words = docs.select(F.col(id_col).alias("id"), F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
-    counts = [F.size(F.filter("words", lambda w, t=t: w == t)).alias(f"tf{k}") for k, t in enumerate(terms)]
+    times = lambda term: F.size(F.filter("words", lambda w: w == F.lit(term)))
+    counts = [times(t).alias(f"tf{k}") for k, t in enumerate(terms)]
     rows = words.select("id", F.size("words").alias("len"), *counts)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     part = lambda k: F.log(1 + (F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5)) * F.col(f"tf{k}") * (k1 + 1) / (F.col(f"tf{k}") + k1 * (1 - b + b * F.col("len") / F.col("mean")))

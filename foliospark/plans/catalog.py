@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import queries_library, queries_recommend
+
 
 def queries() -> dict:
-    return {}
+    return queries_library.Q | queries_recommend.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_library.S | queries_recommend.S
