@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -18,77 +17,170 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytesets import mix, prefix_hash, span_hash
 from .scratch import Scratch
 
 LIMIT = 1024
 END_ID = 0
 #: Pieces expected in one group.
 GROUP = 50_000
-#: Fixed value: the published split pattern of the vocabulary, in the classes that `re` has; alike for texts of PLAIN.
-PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"""
 #: Texts of other bytes (controls, U+0080 to U+00BF, from U+0280) are encoded by the library in one piece.
 PLAIN = np.zeros(256, bool)
 PLAIN[[9, 10, 13, *range(32, 127), *range(128, 192), *range(0xC3, 0xCA)]] = True
+#: Classes of the vocabulary's published split pattern: letters 0, digits 1, white space 2, other signs 3.
+CLASS = np.full(256, 3, np.uint8)
+CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 0
+CLASS[48:58] = 1
+CLASS[[9, 10, 13, 32]] = 2
+#: An apostrophe before these letters can begin a word of its own: such texts go to the library whole as well.
+SHORT_FORMS = np.zeros(256, bool)
+SHORT_FORMS[list(b"stmdrvl")] = True
 #: Words that a worker remembers, and words handed to the library at once.
 CACHE, TOGETHER = 1_000_000, 200
 
 _encoders: dict[str, "WordCache"] = {}
 
 
+def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the words of the split pattern start, for texts of PLAIN without short forms.
+
+    A word is a run of one class, with one space before it. White space before a word leaves its last character: a space
+    goes to the word, another one stays alone.
+    """
+    cls = CLASS[data]
+    signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the multiplication and division signs
+    cls[signs] = cls[signs + 1] = 3
+    first = np.zeros(len(data) + 1, bool)
+    first[off] = True
+    first = first[:-1]
+    run = first.copy()
+    run[1:] |= cls[1:] != cls[:-1]
+    space = cls == 2
+    start = run & space
+    word = run & ~space
+    before = np.flatnonzero(word & ~first) - 1
+    start[before[space[before]]] = True
+    joined = np.zeros(len(data), bool)
+    joined[before[data[before] == 32] + 1] = True
+    return np.flatnonzero(start | (word & ~joined))
+
+
+class HashIndex:
+    """Numbers of 64-bit keys, by open addressing in numpy; look-ups and additions take whole arrays."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, (2 * most - 1).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros(1 << self.bits, np.int32)
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 for new ones."""
+        out = np.full(len(h), -1, np.int32)
+        todo, place = np.arange(len(h)), self._place(h)
+        while len(todo):
+            there = self.keys[place]
+            hit = there == h[todo]
+            out[todo[hit]] = self.values[place[hit]]
+            more = ~hit & (there != 0)
+            todo, place = todo[more], (place[more] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, values: np.ndarray) -> None:
+        """New keys, each once and not zero."""
+        todo, place = np.arange(len(h)), self._place(h)
+        while len(todo):
+            free = np.flatnonzero(self.keys[place] == 0)
+            at, pick = np.unique(place[free], return_index=True)
+            won = free[pick]
+            self.keys[at], self.values[at] = h[todo[won]], values[todo[won]]
+            more = np.ones(len(todo), bool)
+            more[won] = False
+            todo, place = todo[more], place[more]
+            place = np.where(self.keys[place] != 0, (place + 1) & ((1 << self.bits) - 1), place)
+
+
 class WordCache:
     """Token ids of whole texts by the tokenizers library, each distinct word of a task encoded once.
 
     The vocabulary's split pattern cuts a text into words that encode alike wherever they stand, so ids are looked up
-    by word. Texts outside PLAIN, or with a special token's string, go to the library whole.
+    by word (by 64-bit hashes of bytes and length). Texts that the numpy form of the pattern doesn't cover go to the
+    library whole.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.find = re.compile(PATTERN).findall
-        self.ids: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index = HashIndex(CACHE + CACHE // 4)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.ends = np.zeros(1 << 16, np.int64)  # ends[k]: where the ids of word k - 1 end
+        self.words = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, words: list[str], keys: np.ndarray) -> None:
+        at = self.ends[self.words]
+        for a in range(0, len(words), TOGETHER * 64):
+            some = words[a : a + TOGETHER * 64]
+            lists = [some[i : i + TOGETHER] for i in range(0, len(some), TOGETHER)]
+            for k, e in enumerate(self.library.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                ends = at + np.searchsorted(np.array(e.word_ids), np.arange(1, len(lists[k]) + 1))
+                if at + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
+                if self.words + len(ends) >= len(self.ends):
+                    self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(ends)), np.int64)])
+                self.ids[at : at + len(ids)] = ids
+                self.ends[self.words + 1 : self.words + 1 + len(ends)] = ends
+                self.words += len(ends)
+                at += len(ids)
+        self.index.add(keys, np.arange(self.words - len(words), self.words, dtype=np.int32))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-        get = self.ids.get
-        split, parts, new = [], [], set()
-        for text in texts:
-            found = None
-            if PLAIN[np.frombuffer(text.encode(), np.uint8)].all() and not any(s in text for s in self.special):
-                found = self.find(text)
-                have = list(map(get, found))
-                if None in have:
-                    new.update(compress(found, (h is None for h in have)))
-                parts.append(have)
-            else:
-                parts.append([self.whole(text)])
-            split.append(found)
-        self.learn(list(new))
-        for found, have in zip(split, parts, strict=True):
-            if found and None in have:
-                have[:] = [get(w) if h is None else h for w, h in zip(found, have, strict=True)]
-        return list(map(b"".join, parts))
-
-    def learn(self, words: list[str]) -> None:
-        lists = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for some, e in zip(lists, self.library.encode_batch(lists, is_pretokenized=True, add_special_tokens=False), strict=True):
-            raw = np.array(e.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
-            self.ids |= {w: raw[a:b] for w, a, b in zip(some, cuts, cuts[1:], strict=False)}
+        if self.words > CACHE:
+            self.clear()
+        raw = [t.encode() for t in texts]
+        plain = []
+        for r in raw:
+            b = np.frombuffer(r, np.uint8)
+            quote = np.flatnonzero(b[:-1] == 39)
+            plain.append(bool(len(b)) and PLAIN[b].all() and not SHORT_FORMS[b[quote + 1]].any() and not any(s in r for s in self.special))
+        own = [r for r, p in zip(raw, plain, strict=True) if p]
+        if own:
+            data = np.frombuffer(b"".join(own), np.uint8)
+            off = np.concatenate([[0], np.cumsum([len(r) for r in own])])
+            start = word_starts(data, off)
+            end = np.append(start[1:], len(data))
+            h = prefix_hash(data)
+            key = mix(span_hash(h, start, end) + (end - start).astype(np.uint64)) | np.uint64(1)
+            word = self.index.find(key)
+            new = np.flatnonzero(word < 0)
+            if len(new):
+                keys, where = np.unique(key[new], return_index=True)
+                some = new[where]
+                text = data.tobytes()
+                self.learn([text[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)], keys)
+                word[new] = self.index.find(key[new])
+            size = self.ends[word + 1] - self.ends[word]
+            total = np.concatenate([[0], np.cumsum(size)])
+            ids = self.ids[np.repeat(self.ends[word] - total[:-1], size) + np.arange(total[-1])].tobytes()
+            cut = (4 * total[np.searchsorted(start, off)]).tolist()
+            found = iter([ids[a:b] for a, b in zip(cut, cut[1:], strict=False)])
+        return [next(found) if p else self.whole(t) if t else b"" for t, p in zip(texts, plain, strict=True)]
 
 
 def encoder(path: str) -> WordCache:
