@@ -67,7 +67,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int):
     text = np.searchsorted(off, start[np.flatnonzero(np.r_[True, np.diff(start) > 1])], "right") - 1  # of each run of starts
     text = np.repeat(text, np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(start) > 1]), len(start)]))
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-    return text[new], start[new], np.diff(np.r_[new, len(start)]), place[new], g[place[new]]
+    # least hashes lie close to zero: mixed again, they fall evenly into the parts
+    return text[new], start[new], np.diff(np.r_[new, len(start)]), place[new], mix(g[place[new]] + np.uint64(SEED))
 
 
 def scan(column, length: int, seed: int):
@@ -369,10 +370,23 @@ def mark(length: int, together: int = TOGETHER):
             start = (np.cumsum(size[some]) - size[some])[own] + step
             anchor = np.cumsum(np.r_[0, (g[some][1:] != g[some][:-1]).astype(np.int64)])[own]
             group = anchor * 256 + (lead[some][own] - step)
-            by_group = np.lexsort((np.arange(len(group)), group))
-            own, step, start, group = own[by_group], step[by_group], start[by_group], group[by_group]
-            sorted_ = suffix_sort(text, h, start, group, length)
-            cls = equal_runs(text, h, start, group, sorted_, length)
+            # a window whose hash no other has needs no place in the order; equal hashes are one entry of the sort
+            key = mix(span_hash(h, start, start + length) ^ mix(group.astype(np.uint64)))
+            by_key = np.argsort(key)
+            key = key[by_key]
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            many = np.diff(np.r_[head, len(key)])
+            head, many = head[many > 1], many[many > 1]
+            if not len(head):
+                continue
+            one = by_key[head]
+            by_group = np.argsort(group[one], kind="stable")
+            order_ = by_group[suffix_sort(text, h, start[one[by_group]], group[one[by_group]], length)]
+            head, many = head[order_], many[order_]
+            sorted_ = by_key[np.repeat(head - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            place = np.arange(len(sorted_))
+            cls = equal_runs(text, h, start[sorted_], group[sorted_], place, length)
+            sorted_ = sorted_[place]
             docs = ids[some][own[sorted_]]
             heads = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
             least = np.minimum.reduceat(docs, heads)[cls]
