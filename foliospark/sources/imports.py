@@ -35,7 +35,7 @@ def filled(c: str | Column) -> Column:
 
 
 def split_tags(c: Column, sign: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sign), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), sign), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def seconds(c: Column, form: str | None = None) -> Column:
@@ -191,12 +191,13 @@ def read_import(spark: SparkSession, source: str, path: str) -> DataFrame:
 def merge_by_url(rows: DataFrame, order: str = "addDate") -> DataFrame:
     """One row per URL: tags and paths united, the earliest date, notes joined, archived if one is, the first title. Texts stay apart."""
     links, rest = rows.filter("url IS NOT NULL"), rows.filter("url IS NULL")
-    placed = links.withColumn("n", F.monotonically_increasing_id())
+    empty = {"tags": NO_TAGS, "paths": NO_PATHS, "listExternalIds": NO_TAGS}
+    placed = links.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in empty.items()}).withColumn("n", F.monotonically_increasing_id())
     seq = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda s: s[c])
     merged = placed.groupBy("url").agg(
         F.min_by("title", F.when(F.col("title").isNotNull(), F.col("n"))).alias("title"), F.min_by("contentType", "n").alias("contentType"), F.min_by("text", "n").alias("text"),
         F.array_distinct(F.flatten(seq("tags"))).alias("tags"), F.min("addDate").alias("addDate"), F.nullif(F.array_join(F.array_distinct(seq("notes")), "\n---\n"), F.lit("")).alias("notes"),
-        F.bool_or("archived").alias("archived"), F.flatten(seq("paths")).alias("paths"), F.array_distinct(F.flatten(seq("listExternalIds"))).alias("listExternalIds"),
+        F.bool_or("archived").alias("archived"), F.flatten(seq("paths")).alias("paths"), F.nullif(F.array_distinct(F.flatten(seq("listExternalIds"))), F.array().cast(NO_TAGS)).alias("listExternalIds"),
     )
     return merged.select(*rows.columns).unionByName(rest)
 
