@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -87,15 +88,137 @@ def jitter_minutes(c: Column, period: int = 60) -> Column:
 
 
 def page_signals(html: Column, host: Column) -> dict[str, Column]:
-    """Length of the text, links to other hosts for each 1000 characters, and advertising scripts of a page."""
+    """Length of the text, links to other hosts for each paragraph, and advertising scripts of a page."""
     text = F.length(html_text(html))
-    links = hrefs(html)
     own = F.concat(F.lit("://"), host)
-    out = F.size(F.filter(links, lambda x: x.rlike(r"^https?://") & ~F.contains(x, own)))
+    out = F.size(F.filter(hrefs(html), lambda x: x.rlike(r"^https?://") & ~F.contains(x, own)))
+    paragraphs = F.greatest(F.regexp_count(html, F.lit(r"(?i)<p\b")), F.lit(1))
     ads = F.regexp_count(html, F.lit(r"(?i)<script\b[^>]*(?:doubleclick|googlesyndication|adservice|taboola|outbrain)"))
-    return {"text_length": text, "outbound": out, "outbound_per_1000": out * 1000.0 / F.greatest(text, F.lit(1)), "ad_scripts": ads}
+    return {"text_length": text, "outbound": out, "outbound_ratio": out / paragraphs, "ad_scripts": ads}
 
 
-def quality_reason(text_length: Column, ratio: Column, ads: Column, least: int = 400, most_ratio: float = 20.0, most_ads: int = 8) -> Column:
+def quality_reason(text_length: Column, ratio: Column, ads: Column, least: int = 400, most_ratio: float = 2.5, most_ads: int = 20) -> Column:
     """Why a page isn't worth reading; null if nothing speaks against it."""
     return F.when(text_length < least, "short").when(ratio > most_ratio, "links").when(ads > most_ads, "ads")
+
+
+def on_list(host: Column, hosts: list[str]) -> Column:
+    """Whether a host or a domain above it is listed."""
+    low = F.lower(host)
+    return F.exists(F.array(*[F.lit(h) for h in hosts]).cast("array<string>"), lambda h: (low == h) | low.endswith(F.concat(F.lit("."), h)))
+
+
+def screen(host: Column, recent: Column, reason: Column, hosts: list[str]) -> Column:
+    """First reason against a domain: listed, fewer than three articles in the window, then the page's own."""
+    return F.coalesce(F.when(on_list(host, hosts), "blocked"), F.when(recent < 3, "inactive"), reason)
+
+
+def embedding_text(title: Column, summary: Column, body: Column) -> Column:
+    """Title, summary and body in paragraphs, white space unified; the body is shorter where a fifth is CJK. Null without any text."""
+    clean = lambda c, n: F.nullif(F.rtrim(F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), 1, n)), F.lit(""))
+    whole = F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " "))
+    dense = cjk_count(whole) >= F.length(whole) * 0.2
+    parts = [clean(title, 300), clean(summary, 600), F.when((F.length(whole) > 0) & dense, clean(whole, 1200)).otherwise(clean(whole, 1500))]
+    return F.nullif(F.concat_ws("\n\n", *parts), F.lit(""))
+
+
+def is_challenge(title: Column, html: Column, titles: list[str], markers: list[str], most: int = 20_000) -> Column:
+    """A bot check that came with status 200: an exact title, or a marker in a page of a check's size."""
+    small = F.length(html) <= most
+    marked = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(html), m))
+    return F.coalesce(F.lower(F.trim(title)).isin(titles), F.lit(False)) | F.coalesce(small & marked, F.lit(False))
+
+
+def preferred(render: Column, probe: Column, blocked: Column) -> Column:
+    """The rendered value, or the probe's where the render was blocked; the other fills gaps. Empty counts as none."""
+    r, p = F.nullif(render, F.lit("")), F.nullif(probe, F.lit(""))
+    return F.when(blocked, F.coalesce(p, r)).otherwise(F.coalesce(r, p))
+
+
+def chunk_problems(source: Column, out: Column, to_cjk: bool) -> Column:
+    """What is wrong with a translated piece: the same words again, the old language, other tags."""
+    prose = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style|code|pre|kbd)[^>]*>.*?</\1>", " "), r"<[^>]+>", " "), r"\s+", " "))
+    share = lambda c: cjk_count(c) / F.greatest(F.length(F.regexp_replace(c, r"\s", "")), F.lit(1))
+    a, b = prose(source), prose(out)
+    tags = lambda c: F.regexp_count(c, F.lit(r"<[^>]+>"))
+    echo = (F.length(a) > 100) & (a == b)
+    old = F.lit(to_cjk) & (F.length(a) > 200) & (share(a) < 0.1) & (share(b) < 0.05)
+    return F.array_compact(F.array(F.when(echo, "echo").when(old, "language"), F.when(F.abs(tags(source) - tags(out)) > 2, "tags")))
+
+
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)\s*([a-zA-Z0-9-]*)[^>]*?(/?)>", re.S)
+
+
+def html_pieces(html: str, most: int) -> list[str]:
+    """Pieces of about `most` characters that add up to the input; cuts fall between elements, or after a tag inside large ones."""
+    cuts, depth = [0], 0
+    for m in MARKUP.finditer(html):
+        if m[2] and m[1]:
+            depth = max(0, depth - 1)
+        elif m[2] and not m[3] and m[2].lower() not in VOID:
+            depth += 1
+        if not depth:
+            cuts.append(m.end())
+    cuts.append(len(html))
+    out: list[str] = []
+    held = ""
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = html[a:b]
+        if held and len(held) + len(part) > most:
+            out.append(held)
+            held = ""
+        if len(part) <= most:
+            held += part
+            continue
+        while part:
+            end = min(most, len(part))
+            if end < len(part):
+                before = part.rfind(">", 0, end + 1)
+                after = part.find(">", end)
+                end = before + 1 if before > 0 else after + 1 if after >= 0 else len(part)
+            out.append(part[:end])
+            part = part[end:]
+    return [*out, held] if held else out
+
+
+def robots_allow(rules: str, agent: str, path: str) -> bool:
+    """Whether a robots file lets an agent fetch a path: the longest matching rule of the agent's group, or of *, wins; allow on a tie."""
+    groups: dict[str, list[tuple[bool, str]]] = {}
+    current: list[str] = []
+    heads = False
+    for line in rules.splitlines():
+        name, colon, value = line.split("#", 1)[0].partition(":")
+        name, value = name.strip().lower(), value.strip()
+        if not colon:
+            continue
+        if name == "user-agent":
+            current = [*current, value.lower()] if heads else [value.lower()]
+            groups.setdefault(value.lower(), [])
+        elif name in ("allow", "disallow") and value:
+            for a in current:
+                groups[a].append((name == "allow", value))
+        heads = name == "user-agent"
+    own = groups.get(agent.lower(), groups.get("*", []))
+    best = max(((len(p), ok) for ok, p in own if path.startswith(p)), default=(0, True))
+    return best[1]
+
+
+def salvaged_objects(raw: str) -> list[dict]:
+    """All JSON objects that a garbled answer holds whole, inner ones before the outer."""
+    found, starts, quoted, skip = [], [], False, False
+    for i, ch in enumerate(raw):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = ch == "\\", ch != '"'
+        elif ch == '"':
+            quoted = True
+        elif ch == "{":
+            starts.append(i)
+        elif ch == "}" and starts:
+            try:
+                found.append(json.loads(raw[starts.pop() : i + 1]))
+            except ValueError:
+                continue
+    return found

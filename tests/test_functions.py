@@ -66,7 +66,7 @@ def test_text_columns(spark):
 def test_page_signals(spark):
     page = '<p>' + "word " * 200 + '</p><a href="https://other.com/x">x</a><a href="https://me.com/y">y</a><script src="https://x.doubleclick.net/a.js"></script>'
     s = text.page_signals(F.col("h"), F.lit("me.com"))
-    r = spark.createDataFrame([(page,)], "h string").select(*[c.alias(k) for k, c in s.items()]).withColumn("why", text.quality_reason(F.col("text_length"), F.col("outbound_per_1000"), F.col("ad_scripts"))).first()
+    r = spark.createDataFrame([(page,)], "h string").select(*[c.alias(k) for k, c in s.items()]).withColumn("why", text.quality_reason(F.col("text_length"), F.col("outbound_ratio"), F.col("ad_scripts"))).first()
     assert r.outbound == 1 and r.ad_scripts == 1 and r.text_length > 900 and r.why is None
 
 
@@ -86,3 +86,27 @@ def test_vectors(spark):
     assert top == sorted(m, key=lambda i: (-(m[i] @ q), i))[:5]
     c = {r.g: r.centroid for r in vectors.centroids(df, "g").collect()}
     assert np.allclose(c[1], np.mean([m[i] for i, _, g in rows if g == 1], 0))
+
+
+def test_screening_and_metadata(spark):
+    df = spark.createDataFrame([("blog.bad.com", 9, None), ("good.com", 2, None), ("good.com", 3, "short"), ("notbad.com", 3, None)], "h string, n long, why string")
+    assert [r.s for r in df.select(text.screen(F.col("h"), F.col("n"), F.col("why"), ["bad.com"]).alias("s")).collect()] == ["blocked", "inactive", "short", None]
+    meta = spark.createDataFrame([("a", "b", False), ("", "b", False), ("a", "b", True), ("a", None, True)], "r string, p string, x boolean")
+    assert [r.m for r in meta.select(text.preferred(F.col("r"), F.col("p"), F.col("x")).alias("m")).collect()] == ["a", "b", "b", "a"]
+    page = spark.createDataFrame([("Just a moment...", ""), ("Real", "<p>cf-challenge</p>"), ("Real", "x" * 30_000 + "cf-challenge"), (None, None)], "t string, h string")
+    assert [r.c for r in page.select(text.is_challenge(F.col("t"), F.col("h"), ["just a moment..."], ["cf-challenge"]).alias("c")).collect()] == [True, True, False, False]
+    emb = spark.createDataFrame([("T", " a  b ", "漢" * 2000), (None, None, "x" * 2000), (None, " ", None)], "t string, s string, b string").select(text.embedding_text(F.col("t"), F.col("s"), F.col("b")).alias("e")).collect()
+    assert emb[0].e == "T\n\na b\n\n" + "漢" * 1200 and len(emb[1].e) == 1500 and emb[2].e is None
+    long = "word " * 60
+    pieces = spark.createDataFrame([(f"<p>{long}</p>", f"<p>{long}</p>"), (f"<p>{long}</p>", "<p>漢字</p>"), (f"<p>{long}</p>", "<b><i><u>漢</u></i></b>")], "a string, b string").select(text.chunk_problems(F.col("a"), F.col("b"), True).alias("p")).collect()
+    assert [r.p for r in pieces] == [["echo"], [], ["tags"]]
+
+
+def test_sequential_text_rules():
+    html = "<p>one</p><div><p>two</p><br><p>three is longer</p></div>text<!-- c --><p>x</p>"
+    for most in (1, 8, 20, 30, 1000):
+        assert "".join(text.html_pieces(html, most)) == html
+    assert text.html_pieces(html, 1000) == [html] and text.html_pieces("", 5) == [] and max(map(len, text.html_pieces(html, 40))) <= 60
+    rules = "User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: a\nUser-agent: b\nDisallow: /\nAllow: /x # note\nnonsense\n"
+    assert text.robots_allow(rules, "c", "/private/open/1") and not text.robots_allow(rules, "c", "/private/1") and text.robots_allow(rules, "B", "/x/y") and not text.robots_allow(rules, "a", "/y") and text.robots_allow("", "a", "/")
+    assert text.salvaged_objects('noise {"id": 1, "t": "a}b"} {"id": 2, "x": {"y": 3}} {broken} {"id": 4') == [{"id": 1, "t": "a}b"}, {"y": 3}, {"id": 2, "x": {"y": 3}}]
