@@ -97,8 +97,7 @@ def canonical_builtin(column: Column) -> Column:
 
 def host_as_written(column: Column) -> Column:
     """What stands between the scheme and the next slash, with port, www. and case."""
-    after = F.when(F.instr(column, "://") > 0, F.expr("1")).isNotNull()
-    return F.when(after, F.substring_index(F.substring_index(column, "://", -1), "/", 1)).otherwise(F.substring_index(column, "/", 1))
+    return F.when(F.instr(column, "://") > 0, F.substring_index(F.substring_index(column, "://", -1), "/", 1)).otherwise(F.substring_index(column, "/", 1))
 
 
 def light(column: Column) -> Column:

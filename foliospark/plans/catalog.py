@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import queries_library, queries_recommend
+from . import queries_library, queries_maintain, queries_recommend
 
 
 def queries() -> dict:
-    return queries_library.Q | queries_recommend.Q
+    return queries_library.Q | queries_recommend.Q | queries_maintain.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_library.S | queries_recommend.S
+    return queries_library.S | queries_recommend.S | queries_maintain.S
