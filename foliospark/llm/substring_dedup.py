@@ -459,10 +459,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     Texts are whole UTF-8 byte strings, null counts as empty; no match crosses documents. A byte goes when a string of
     `length` bytes over it also starts in a document with a smaller doc_id. Rows that share a doc_id are no reason for
     each other to lose bytes. A null doc_id counts as larger than any other and stays null. Empty table: empty result.
-    Other columns are ignored. seed < length <= seed + 32.
+    Other columns are ignored. seed < length <= seed + 31.
     """
-    if not seed < length <= seed + 32:
-        raise ValueError("seed < length <= seed + 32")
+    if not seed < length <= seed + 31:
+        raise ValueError("seed < length <= seed + 31")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     placed = with_locator(docs, scratch, list(dict.fromkeys(("doc_id", "text", *carry))))
