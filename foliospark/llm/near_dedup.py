@@ -336,9 +336,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     else:
         groups = classes.filter("copies > 1").select("class", F.col("rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "class").join(groups, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
-    )
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = scratch.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
+    scratch.drop_all_but("result", "input")
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.names: list[str] = []
         self.root = f"{shared_root(spark)}/foliospark/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -34,6 +35,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back. The shuffle files of the write go with its end."""
         path = self.path(name)
+        self.names.append(name)
         key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = self.spark.conf.get(key, None)
         self.spark.conf.set(key, "true")
@@ -51,6 +53,9 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
 
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(n for n in self.names if n not in names))
+
 
 def with_locator(docs: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
     """`columns` of `docs` with `__loc_file` and `__loc_row`, the place of the row in its stored file.
