@@ -105,6 +105,7 @@ def decide(placed: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     winners = salted(hits.filter("winner").select("digest", F.col("norm").alias("bytes_there")), each)
     differ = hits.filter("NOT winner").join(winners.hint("shuffle_hash"), ["digest", "salt"]).filter("norm <> bytes_there").select("digest").distinct()
     differ = scratch.table(differ, "differ")
+    scratch.drop("updates", "state")
 
     keys = spark.read.schema(keyed.select("digest", "id", "__loc_file", "__loc_row").schema).parquet(scratch.path("keys"))
     if differ.isEmpty():
