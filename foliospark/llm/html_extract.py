@@ -44,7 +44,8 @@ BAD = {
     "copyright", "disclaimer", "toolbar", "paywall", "teaser", "outbrain", "taboola", "skip", "hidden",
 }
 GOOD = {"article", "content", "main", "post", "entry", "story", "body", "text", "prose"}
-HEADER = {"header", "topbar", "site-header"}
+HEADER = {"header", "topbar"}
+BESIDE = {"has", "with", "no", "without", "is"}
 
 TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -83,7 +84,9 @@ def element_odds(tag: str, raw: str, parent: Element) -> float:
             return NEVER
         if attributes.get("role", "").lower() in ROLES:
             return NEVER
-        names = {n.lower() for k in ("class", "id") for n in NAMES(attributes.get(k, ""))}
+        # "has-sidebar" and the like tell what stands beside an element, not what it is
+        words = [[n.lower() for n in NAMES(w)] for k in ("class", "id") for w in attributes.get(k, "").split()]
+        names = {n for w in words if w and w[0] not in BESIDE for n in w}
         if names:
             good = names & GOOD
             if names & BAD and tag not in ("article", "main"):

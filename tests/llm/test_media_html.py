@@ -104,6 +104,12 @@ def test_pages_without_an_article():
     assert html_extract.main_text(body % (text, text)) == (text + text).strip().replace(". T", ". T")
 
 
+def test_names_of_what_stands_beside():
+    page = '<div class="layout has-sidebar no-ads"><div class="post-content with-comments"><p>%s</p></div><div class="post-comments"><p>%s</p></div></div>'
+    text = "This is a sentence of the text. " * 5
+    assert html_extract.main_text(page % (text, "A reader says something here. " * 5)) == text.strip()
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<script>x", "<!-- open", "<html></html>", "</p></p>", "&", "<a><a><a>"])
 def test_odd_pages(page):
     assert html_extract.main_text(page) in ("", "<", "&")
