@@ -111,9 +111,9 @@ def _(t):
     return R.delayed_events(shown, later).select("impressionId", "type", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
 
 
-@query("a23_arm_counts", "SELECT user_id AS arm, count(*) FILTER (value > 5) AS examined, count(*) FILTER (value > 5 AND event_type = 'purchase') AS positive, 1.0 + count(*) FILTER (value > 5 AND event_type = 'purchase') AS alpha, 4.0 + count(*) FILTER (value > 5) - count(*) FILTER (value > 5 AND event_type = 'purchase') AS beta FROM events GROUP BY 1")
+@query("a23_arm_counts", "SELECT user_id AS arm, count(*) FILTER (value > 5) AS examined, count(*) FILTER (value > 5 AND event_type = 'purchase') AS positive, CAST(1 + count(*) FILTER (value > 5 AND event_type = 'purchase') AS DOUBLE) AS alpha, CAST(4 + count(*) FILTER (value > 5) - count(*) FILTER (value > 5 AND event_type = 'purchase') AS DOUBLE) AS beta FROM events GROUP BY 1")
 def _(t):
-    return R.arm_counts(t.events.select(F.col("user_id").alias("arm"), (F.col("value") > 5).alias("examined"), (F.col("event_type") == "purchase").alias("positive")), "arm").select("arm", "examined", "positive", F.col("alpha").cast("decimal(21,1)").alias("alpha"), F.col("beta").cast("decimal(22,1)").alias("beta"))
+    return R.arm_counts(t.events.select(F.col("user_id").alias("arm"), (F.col("value") > 5).alias("examined"), (F.col("event_type") == "purchase").alias("positive")), "arm")
 
 
 ARMS = "SELECT user_id, 1.0 + count(*) FILTER (event_type = 'purchase') AS a, 4.0 + count(*) FILTER (event_type <> 'purchase') AS b FROM events GROUP BY 1"
