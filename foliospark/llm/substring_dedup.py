@@ -482,6 +482,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     sent = rows.select("block", "__loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
     repeats = sent.groupBy("part").applyInArrow(find_repeats, REPEATS).withColumn("copies", F.lit(None).cast("array<long>"))
     told = scratch.table(repeats.unionByName(copies), "told")
+    scratch.drop("marked")
     entries = rows.drop("rest").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_entries(parts, length, seed), ENTRIES)
     entries = scratch.table(entries, "entries")
     bits = scratch.table(entries.groupBy("part").applyInArrow(mark(length), BITS), "bits")
