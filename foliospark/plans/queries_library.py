@@ -511,7 +511,7 @@ def _(t):
 
 @query("f14_escape", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages")
 def _(t):
-    return t.pages.select("page_id", text.escape_html(F.substring("html", 1, 300)).alias("html"))
+    return t.pages.select("page_id", text.escape_html(F.col("html")).alias("html"))
 
 
 @query("f15_hrefs", "SELECT page_id, len(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS n FROM pages")
