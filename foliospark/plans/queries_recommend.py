@@ -106,7 +106,7 @@ def _(t):
 @query("j11_delayed_events", """SELECT i.event_id AS impressionId, e.event_type AS type, CAST(epoch_us(min(e.ts)) AS BIGINT) AS at FROM events i JOIN events e ON e.user_id = i.user_id AND e.ts >= i.ts AND e.ts < i.ts + INTERVAL 7 DAY
     WHERE i.event_type = 'view' AND e.event_type <> 'view' AND i.event_id % 5 = 0 GROUP BY 1, 2""")
 def _(t):
-    shown = t.events.filter("event_type = 'view' AND event_id % 5 = 0").select(F.col("event_id").alias("impressionId"), F.col("user_id").alias("itemId"), F.col("ts").alias("shownAt"))
+    shown = t.events.filter("event_type = 'view'").select(F.col("event_id").alias("impressionId"), F.col("user_id").alias("itemId"), F.col("ts").alias("shownAt"))
     later = t.events.filter("event_type <> 'view'").select(F.col("user_id").alias("itemId"), F.col("event_type").alias("type"), F.col("ts").alias("at"))
     return R.delayed_events(shown, later).select("impressionId", "type", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
 

@@ -28,3 +28,29 @@ def test_escape_whole_pages(run):
             h = h.replace(sign, name)
         want.append((i, h))
     assert run("f14_escape", pages=pd.DataFrame({"page_id": range(3), "url": "u", "html": html})) == want
+
+
+def events(n=300):
+    """Events of twelve users, a few hours apart."""
+    kind = ["view", "click", "purchase", "signup", "error"]
+    rows = [(i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=5 * i + i % 3), i * i % 12, kind[(i * 7 + i // 11) % 5], float(i), "{}") for i in range(n)]
+    return pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+
+
+def test_labels_of_all_events(run):
+    e, kinds = events(), {}
+    for r in e.itertuples():
+        kinds.setdefault(r.user_id, set()).add(r.event_type)
+    want = sorted((u, "click" in k and not k & {"purchase", "signup"}) for u, k in kinds.items())
+    assert run("r16_labels", events=e) == want
+
+
+def test_delayed_events_of_all_views(run):
+    e, first = events(), {}
+    for i in e[e.event_type == "view"].itertuples():
+        for r in e[(e.event_type != "view") & (e.user_id == i.user_id)].itertuples():
+            if i.ts <= r.ts < i.ts + pd.Timedelta(days=7):
+                key, at = (i.event_id, r.event_type), r.ts.value // 1000
+                first[key] = min(first.get(key, at), at)
+    assert any(i % 5 for i, _ in first)
+    assert run("j11_delayed_events", events=e) == sorted((*k, at) for k, at in first.items())
