@@ -231,8 +231,7 @@ def _(t):
 
 @query("j02_three_way", "SELECT b.userId, t.name, count(*) AS n FROM tags t JOIN tags_on o ON o.tagId = t.id JOIN bookmarks b ON b.id = o.bookmarkId WHERE t.id < 50 GROUP BY 1, 2", "tags", "tags_on", "bookmarks")
 def _(t):
-    few = t.tags.filter("id < 50")
-    return few.join(t.tags_on, few["id"] == F.col("tagId")).drop("id").join(t.bookmarks.select("id", "userId"), F.col("id") == F.col("bookmarkId")).groupBy("userId", "name").agg(F.count(F.lit(1)).alias("n"))
+    return t.tags.join(t.tags_on, F.col("id") == F.col("tagId")).drop("id").join(t.bookmarks.select("id", "userId"), F.col("id") == F.col("bookmarkId")).groupBy("userId", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j03_left_keeps_unused", "SELECT t.id, count(o.bookmarkId) AS n FROM tags t LEFT JOIN tags_on o ON o.tagId = t.id AND o.attachedBy = 'ai' GROUP BY 1", "tags", "tags_on")
@@ -250,7 +249,7 @@ def _(t):
     LEFT JOIN (SELECT bookmarkId, string_agg(name, '|' ORDER BY name) AS tags FROM (SELECT DISTINCT bookmarkId, tagId FROM tags_on) d JOIN tags ON id = d.tagId GROUP BY 1) t ON t.bookmarkId = b.id
     LEFT JOIN (SELECT bookmarkId, count(*) AS n FROM in_lists GROUP BY 1) l ON l.bookmarkId = b.id WHERE b.id < 2000""", "bookmarks", "tags", "tags_on", "in_lists")
 def _(t):
-    docs = A.documents(t.bookmarks.filter("id < 2000"), t.tags, t.tags_on, t.in_lists)
+    docs = A.documents(t.bookmarks, t.tags, t.tags_on, t.in_lists)
     return docs.select("id", F.array_join(F.sort_array(F.transform("tags", lambda x: x["name"])), "|").alias("tags"), F.size("lists").cast("long").alias("lists"))
 
 
@@ -277,8 +276,8 @@ def _(t):
 
 @query("j10_two_keys", "SELECT o.bookmarkId, o.tagId, m.listId FROM tags_on o LEFT JOIN in_lists m ON m.bookmarkId = o.bookmarkId AND m.listId = o.tagId WHERE o.tagId < 100", "tags_on", "in_lists")
 def _(t):
-    few, m = t.tags_on.filter("tagId < 100"), t.in_lists.withColumnRenamed("bookmarkId", "b")
-    return few.join(m, (F.col("b") == F.col("bookmarkId")) & (F.col("listId") == F.col("tagId")), "left").select("bookmarkId", "tagId", "listId")
+    m = t.in_lists.withColumnRenamed("bookmarkId", "b")
+    return t.tags_on.join(m, (F.col("b") == F.col("bookmarkId")) & (F.col("listId") == F.col("tagId")), "left").select("bookmarkId", "tagId", "listId")
 
 
 @query("j12_ranking_input", "SELECT e.vec_id, p.url, s.s_name AS source FROM embeddings e LEFT JOIN pages p ON p.page_id = e.vec_id LEFT JOIN supplier s ON s.s_suppkey = e.label")
@@ -311,8 +310,7 @@ def _(t):
 
 @query("u05_merge_ignore_conflicts", "SELECT DISTINCT bookmarkId, CASE WHEN tagId IN (1, 2, 3, 4) THEN 1 ELSE tagId END AS tagId FROM tags_on WHERE tagId < 10", "tags_on")
 def _(t):
-    few = t.tags_on.filter("tagId < 10")
-    return few.select("bookmarkId", F.when(F.col("tagId").isin(1, 2, 3, 4), 1).otherwise(F.col("tagId")).alias("tagId")).dropDuplicates(["bookmarkId", "tagId"])
+    return t.tags_on.select("bookmarkId", F.when(F.col("tagId").isin(1, 2, 3, 4), 1).otherwise(F.col("tagId")).alias("tagId")).dropDuplicates(["bookmarkId", "tagId"])
 
 
 # --- sort, pages, windows

@@ -41,13 +41,13 @@ def host(c="url"):
 @query("d02_merge_tags", "SELECT bookmarkId, CASE WHEN tagId BETWEEN 2 AND 20 THEN 1 ELSE tagId END AS tagId, max(attachedBy) AS attachedBy FROM tags_on WHERE tagId < 60 GROUP BY 1, 2", "tags_on")
 def _(t):
     mapping = t.tags.filter("id BETWEEN 2 AND 20").select(F.col("id").alias("source"), F.lit(1).cast("long").alias("target"))
-    return M.merge_tags(t.tags, t.tags_on.filter("tagId < 60"), mapping)[1]
+    return M.merge_tags(t.tags, t.tags_on, mapping)[1]
 
 
 @query("d04_merge_lists", "SELECT DISTINCT bookmarkId, CASE WHEN listId IN (2, 3) THEN 1 ELSE listId END AS listId FROM in_lists WHERE listId < 9", "in_lists")
 def _(t):
     ids = t.lists.filter("id IN (2, 3)").select(F.col("id").alias("old"), F.lit(1).cast("long").alias("new"))
-    return M.remap(t.in_lists.filter("listId < 9"), ids, "listId").select("bookmarkId", "listId").distinct()
+    return M.remap(t.in_lists, ids, "listId").select("bookmarkId", "listId").distinct()
 
 
 @query("d05_archived_sessions", f"SELECT userId AS id, count(*) FILTER (type = 'link') AS link, count(*) FILTER (type = 'text') AS text, count(*) FILTER (type = 'asset') AS asset FROM bookmarks GROUP BY 1 HAVING max(createdAt) <= {NOW_SQL} - INTERVAL 30 DAY", "bookmarks")

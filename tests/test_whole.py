@@ -15,7 +15,7 @@ def run(spark, tmp_path):
     def rows(name, **tables):
         for table, df in tables.items():
             df.to_parquet(tmp_path / f"{table}.parquet", coerce_timestamps="us")
-        return sorted(tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+        return sorted((tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()), key=lambda r: [(x is None, x) for x in r])
 
     return rows
 
@@ -54,3 +54,42 @@ def test_delayed_events_of_all_views(run):
                 first[key] = min(first.get(key, at), at)
     assert any(i % 5 for i, _ in first)
     assert run("j11_delayed_events", events=e) == sorted((*k, at) for k, at in first.items())
+
+
+def library():
+    """Forty bookmarks of four users, tags and lists on them; ids lie far apart."""
+    ids, tags, lists = [1 + 131 * i for i in range(40)], [*range(1, 25), 60, 99, 100, 750], [1, 2, 3, 8, 9, 100, 750]
+    return {
+        "orders": pd.DataFrame([(b, i % 4, pd.Timestamp("1995-01-01"), "F", "5-LOW", 1.0) for i, b in enumerate(ids)], columns=["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"]),
+        "part": pd.DataFrame({"p_partkey": tags, "p_name": [f"tag {i % 20}" for i in range(len(tags))]}),
+        "supplier": pd.DataFrame({"s_suppkey": lists, "s_name": [f"list {i}" for i in lists]}),
+        "lineitem": pd.DataFrame([(ids[i * 7 % 38], tags[(i * i + i // 3) % len(tags)], lists[i * 5 % len(lists)], "ANR"[i % 3]) for i in range(200)], columns=["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"]),
+    }
+
+
+@pytest.mark.parametrize("name", ["j02_three_way", "j05_nested_documents", "j10_two_keys", "u05_merge_ignore_conflicts", "d02_merge_tags", "d04_merge_lists"])
+def test_whole_library(run, name):
+    t = library()
+    users, names = dict(t["orders"][["o_orderkey", "o_custkey"]].values), dict(t["part"].values)
+    on = [(b, k, "ai" if f == "A" else "human") for b, k, _, f in t["lineitem"].values]
+    inside = {(b, m) for b, _, m, _ in t["lineitem"].values}
+    if name == "j02_three_way":
+        want = pd.Series([(users[b], names[k]) for b, k, _ in on]).value_counts()
+        want = [(*x, n) for x, n in want.items()]
+    elif name == "j05_nested_documents":
+        want = [(b, "|".join(sorted(names[k] for k in {k for o, k, _ in on if o == b})), sum(o == b for o, _ in inside)) for b in users]
+    elif name == "j10_two_keys":
+        got = run(name, **t)
+        assert sorted(x[:2] for x in got) == sorted(x[:2] for x in on) and all(m == (k if (b, k) in inside else None) for b, k, m in got)
+        return
+    elif name == "u05_merge_ignore_conflicts":
+        want = {(b, 1 if k in (1, 2, 3, 4) else k) for b, k, _ in on}
+    elif name == "d02_merge_tags":
+        want = {}
+        for b, k, by in on:
+            key = (b, 1 if 2 <= k <= 20 else k)
+            want[key] = max(by, want.get(key, ""))
+        want = [(*k, by) for k, by in want.items()]
+    else:
+        want = {(b, 1 if m in (2, 3) else m) for b, m in inside}
+    assert run(name, **t) == sorted(want)
