@@ -1,14 +1,18 @@
 """License scans (op5): passages of a text compared with licence templates by the Dice coefficient of word bigrams.
 
-Passages are the lines, the paragraphs (runs of lines without a blank one) and the whole text. Both sides are
-normalised: lower case, punctuation dropped, copyright lines dropped, white space unified. A template of b bigrams can
-reach a score of t only against passages of t/(2-t) b to (2-t)/t b bigrams; other templates are not compared.
+Passages are the lines, the paragraphs (runs of lines without a blank one), the whole text and all other runs of
+consecutive lines, blank ones skipped. Both sides are normalised: lower case, punctuation dropped, copyright phrases
+dropped, white space unified. A template of b bigrams can reach a score of t only against passages of t/(2-t) b to
+(2-t)/t b bigrams, of which at most 2b (1-t)/t are not its own; other templates are not compared. Of runs that overlap,
+the best counts.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter, OrderedDict
+from importlib.resources import files
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -88,9 +92,14 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "Proprietary": ["All rights reserved."],
 }
+#: The complete texts; they come first, so that a list ends with its own texts.
+for _file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+    TEMPLATES[_file.name.removesuffix(".txt")].insert(0, _file.read_text(encoding="utf-8"))
 
-WORDS = re.compile(r"[^\W_]+").findall
-COPYRIGHT = re.compile(r"^\W*(?:copyright\b|\(c\)|©).*$", re.I | re.M)
+WORD = re.compile(r"[^\W_]+")
+WORDS = WORD.findall
+#: From the mark to the end of the sentence or line; a bare "copyright" can be prose.
+COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright[ \t]*(?:\(c\)|©|(?=[<\[]?(?:19|20)\d\d))|\(c\)[ \t]*(?:copyright\b|(?=(?:19|20)\d\d))|©)[^\n]*?(?:[.;](?=[ \t]+\S)|$)", re.I | re.M)
 
 
 class Template(NamedTuple):
@@ -113,6 +122,10 @@ class Scanner:
         self.templates = sorted((Template(name, frozenset(bigrams(COPYRIGHT.sub("", t)))) for name, texts in templates.items() for t in texts), key=lambda t: (len(t.grams), t.name))
         self.sizes = [len(t.grams) for t in self.templates]
         self.known = frozenset().union(*(t.grams for t in self.templates))
+        self.owners: dict = {}
+        for k, t in enumerate(self.templates):
+            for g in t.grams:
+                self.owners.setdefault(g, []).append(k)
 
     def best(self, grams: set) -> tuple[str, float] | None:
         """Licence and score of the best template at or above the threshold; the first by name of equal ones."""
@@ -126,9 +139,26 @@ class Scanner:
         score, name = min(found, default=(0.0, ""))
         return (name, -score) if -score >= t - 1e-12 else None
 
+    def kept(self, line: str) -> tuple[int, list[str]]:
+        """Start and words of what follows the copyright phrase: the end of the line that matches best, else the next sentence."""
+        tokens = [(m.start(), m.group().lower()) for m in WORD.finditer(line)]
+        words, grams, found = [w for _, w in tokens], set(), []
+        most = max(self.sizes, default=0) * (2 - self.threshold) / self.threshold
+        for k in range(len(words) - 2, -1, -1):
+            grams.add((words[k], words[k + 1]))
+            if len(grams) > most:
+                break
+            if (words[k], words[k + 1]) in self.known and (hit := self.best(grams)):
+                found.append((-hit[1], k))
+        past = COPYRIGHT.match(line).end()
+        k = min(found)[1] if found else next((k for k, (at, _) in enumerate(tokens) if at >= past), len(tokens))
+        return (tokens[k][0] if k < len(tokens) else 0), words[k:]
+
     def scan(self, text: str) -> list[tuple[str, int, int, str, float]]:
-        """(kind, start, end, licence, score) of every line, paragraph of several lines and text of several lines that matches."""
+        """(kind, start, end, licence, score) of every line, paragraph of several lines and text of several lines that matches, and of the best other runs."""
         out: list[tuple] = []
+        spans: list[tuple] = []
+        lines: list[tuple] = []
         whole = Passage()
         paragraph = Passage()
         at, several = 0, False
@@ -136,16 +166,23 @@ class Scanner:
         def close(p: Passage, kind: str) -> None:
             if p.lines > 1 and (found := self.best(p.grams)):
                 out.append((kind, p.start, p.end, *found))
+                spans.append((p.first, p.first + p.lines - 1))
 
         for line, low in zip(text.split("\n"), text.lower().split("\n"), strict=True):
-            end = at + len(line)
-            words = [] if COPYRIGHT.match(line) else WORDS(low)
+            end, start = at + len(line), at
+            if COPYRIGHT.match(line):
+                skip, words = self.kept(line)
+                start += skip
+            else:
+                words = WORDS(low)
             if words:
                 grams = set(zip(words, words[1:], strict=False))
                 if grams & self.known and (found := self.best(grams)):
-                    out.append(("line", at, end, *found))
-                whole.add(words, grams, at, end)
-                paragraph.add(words, grams, at, end)
+                    out.append(("line", start, end, *found))
+                    spans.append((len(lines), len(lines)))
+                whole.add(words, grams, start, end, len(lines))
+                paragraph.add(words, grams, start, end, len(lines))
+                lines.append((start, end, words, grams))
             elif not line.strip() and paragraph.lines:
                 close(paragraph, "paragraph")
                 paragraph, several = Passage(), True
@@ -153,7 +190,65 @@ class Scanner:
         if several:  # a text of one paragraph is compared once
             close(paragraph, "paragraph")
         close(whole, "text")
-        return out
+        return out + self.runs(lines, whole.grams, out, spans) if len(lines) > 1 else out
+
+    def runs(self, lines: list[tuple], every: set, out: list[tuple], spans: list[tuple]) -> list[tuple]:
+        """The best runs of lines that don't overlap. A passage of `out` with the same licence, or over half of the words, stands for runs that score no better."""
+        t = self.threshold
+        counts = Counter(k for g in every & self.known for k in self.owners[g])
+        able = {k for k, n in counts.items() if n >= self.sizes[k] * t / (2 - t) - 1e-9}
+        if not able:
+            return []
+        matches: dict[tuple[int, int], tuple[float, str]] = {}
+        seen: OrderedDict = OrderedDict()  # bigrams from a line on with the line that completes them first, the nearest last
+        for i in range(len(lines) - 1, -1, -1):
+            own = list(lines[i][3])
+            across = [(lines[i][2][-1], lines[i + 1][2][0])] if i + 1 < len(lines) else []
+            for k, g in [(i + 1, g) for g in across] + [(i, g) for g in own]:
+                seen[g] = k
+                seen.move_to_end(g)
+            # a run that begins or ends with a line without bigrams of the template is worse than the one without that line
+            for x in {x for g in own + across for x in self.owners.get(g, ()) if x in able}:
+                self.ends(i, seen, self.templates[x], matches)
+        taken = [(-score, start, end, name, False) for (_, _, _, name, score), (start, end) in zip(out, spans, strict=True)]
+        order = sorted(taken + [(score, *run, name, True) for run, (score, name) in matches.items()], key=lambda r: (r[0], r[4], r[2] - r[1], r[1], r[3]))
+        sums = [0]
+        for x in lines:
+            sums.append(sums[-1] + len(x[2]))
+        used, covered, found = bytearray(len(lines)), {}, []
+        any_licence = bytearray(len(lines))
+        for score, start, end, name, new in order:
+            mine = covered.setdefault(name, bytearray(len(lines)))
+            if new:
+                if used.find(1, start, end + 1) >= 0 or mine.find(1, start, end + 1) >= 0:
+                    continue
+                if 2 * sum(sums[k + 1] - sums[k] for k in range(start, end + 1) if any_licence[k]) >= sums[end + 1] - sums[start]:
+                    continue
+                found.append(("run", lines[start][0], lines[end][1], name, -score))
+                used[start : end + 1] = b"\1" * (end + 1 - start)
+            else:
+                mine[start : end + 1] = any_licence[start : end + 1] = b"\1" * (end + 1 - start)
+        return found
+
+    def ends(self, start: int, seen: OrderedDict, template: Template, matches: dict) -> None:
+        """Enters the runs from a line on that match a template, under (first, last line) with the best of their templates."""
+        b, t, n, shared, last, fresh = len(template.grams), self.threshold, 0, 0, start, False
+
+        def enter() -> None:
+            score = -2 * shared / (n + b)
+            if fresh and last > start and -score >= t - 1e-12:
+                matches[start, last] = min((score, template.name), matches.get((start, last), (0.0, "")))
+
+        for g, at in reversed(seen.items()):
+            if at != last:
+                enter()
+                last, fresh = at, False
+            n += 1
+            if g in template.grams:
+                shared, fresh = shared + 1, True
+            elif n - shared > 2 * b * (1 - t) / t + 1e-9:
+                return
+        enter()
 
 
 class Passage:
@@ -161,14 +256,14 @@ class Passage:
 
     def __init__(self):
         self.grams: set = set()
-        self.lines, self.start, self.end, self.last = 0, 0, 0, None
+        self.lines, self.first, self.start, self.end, self.last = 0, 0, 0, 0, None
 
-    def add(self, words: list[str], grams: set, start: int, end: int) -> None:
+    def add(self, words: list[str], grams: set, start: int, end: int, line: int) -> None:
         self.grams |= grams
         if self.last is not None:
             self.grams.add((self.last, words[0]))
         else:
-            self.start = start
+            self.start, self.first = start, line
         self.last, self.end = words[-1], end
         self.lines += 1
 
