@@ -529,8 +529,8 @@ def _(t):
 
 @query("f21_token_estimate", "SELECT doc_id, CAST(ceil(length(text) * 0.35 - 1e-9) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]')")
 def _(t):
-    docs = t.raw("documents").filter(text.cjk_count(F.col("text")) == 0)
-    return docs.select("doc_id", F.ceil(F.length("text") * F.lit(0.35) - 1e-9).alias("tokens"))
+    n = text.cjk_count(F.col("text"))
+    return t.raw("documents").select("doc_id", F.ceil(n * F.lit(1.5) + (F.length("text") - n) * F.lit(0.35) - 1e-9).alias("tokens"))
 
 
 @query("f01_canonical_url")

@@ -211,7 +211,7 @@ def _(t):
 
 @query("f24_cjk_share", "SELECT doc_id, CAST(0 AS BIGINT) AS n FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]')")
 def _(t):
-    return t.raw("documents").select("doc_id", text.cjk_count(F.col("text")).cast("long").alias("n")).filter("n = 0")
+    return t.raw("documents").select("doc_id", text.cjk_count(F.col("text")).cast("long").alias("n"))
 
 
 @query("f25_html_pieces", "SELECT page_id, length(html) AS n FROM pages")

@@ -93,3 +93,13 @@ def test_whole_library(run, name):
     else:
         want = {(b, 1 if m in (2, 3) else m) for b, m in inside}
     assert run(name, **t) == sorted(want)
+
+
+def test_cjk_documents(run):
+    texts = ["plain words", "漢字 and words", "ひらがなカタカナ", "한국어 글", "", "ﾊﾝｶｸ 𠀋 é"]
+    ranges = [(0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0xFF00, 0xFFEF)]
+    n = [sum(any(a <= ord(c) <= b for a, b in ranges) for c in x) for x in texts]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    assert n[1:4] == [2, 8, 4] and run("f24_cjk_share", documents=docs) == list(enumerate(n))
+    # in hundredths, as whole numbers: 150 for a CJK character, 35 for any other
+    assert run("f21_token_estimate", documents=docs) == [(i, -(-(150 * k + 35 * (len(x) - k)) // 100)) for i, (x, k) in enumerate(zip(texts, n, strict=True))]
