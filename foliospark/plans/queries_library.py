@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
@@ -501,10 +502,9 @@ def _(t):
 
 @query("f11_edit_distance", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 def _(t):
-    n = t.raw("nation")
-    a = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("a"), "n_regionkey")
-    b = n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("b"), "n_regionkey")
-    return a.join(b, "n_regionkey").filter("ka < kb").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
+    rows = t.user_tags.select("userId", "id", text.tag_key(F.col("name")).alias("a"))
+    after = rows.withColumn("b", F.lead("a").over(Window.partitionBy("userId").orderBy("a", "id"))).filter("b IS NOT NULL")
+    return after.select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
 
 
 @query("f14_escape", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages")

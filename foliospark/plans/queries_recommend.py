@@ -201,7 +201,7 @@ def _(t):
 
 @query("wf11_close_tags")
 def _(t):
-    return R.close_tags(t.raw("nation").select(F.col("n_regionkey").cast("long").alias("userId"), F.col("n_nationkey").cast("long").alias("id"), text.tag_key(F.col("n_name")).alias("key")))
+    return R.close_tags(t.user_tags.select("userId", "id", text.tag_key(F.col("name")).alias("key")))
 
 
 def hits(t):

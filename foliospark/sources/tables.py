@@ -42,6 +42,12 @@ class Tables:
     def tags_on(self) -> DataFrame:
         return self.raw("lineitem").select(F.col("l_orderkey").alias("bookmarkId"), F.col("l_partkey").alias("tagId"), F.when(F.col("l_returnflag") == "A", "ai").otherwise("human").alias("attachedBy"))
 
+    @cached_property
+    def user_tags(self) -> DataFrame:
+        """The tags that each user has on a bookmark, each once."""
+        used = self.tags_on.select("bookmarkId", "tagId").join(self.bookmarks.select(F.col("id").alias("bookmarkId"), "userId"), "bookmarkId")
+        return used.select("userId", F.col("tagId").alias("id")).distinct().join(self.tags, "id")
+
     @cached_property
     def lists(self) -> DataFrame:
         return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("manual").alias("type"), F.lit(None).cast("string").alias("query"))

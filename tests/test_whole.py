@@ -103,3 +103,40 @@ def test_cjk_documents(run):
     assert n[1:4] == [2, 8, 4] and run("f24_cjk_share", documents=docs) == list(enumerate(n))
     # in hundredths, as whole numbers: 150 for a CJK character, 35 for any other
     assert run("f21_token_estimate", documents=docs) == [(i, -(-(150 * k + 35 * (len(x) - k)) // 100)) for i, (x, k) in enumerate(zip(texts, n, strict=True))]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def users_tags():
+    """The library with other names, and the (key, id) of each user's tags in order."""
+    t = library()
+    t["part"]["p_name"] = [["Re act", "re-acts", "reactor", "rust", "rusty", "Rus-t"][i % 6] + "x" * (i // 12) for i in range(len(t["part"]))]
+    users, names, tags = dict(t["orders"][["o_orderkey", "o_custkey"]].values), dict(t["part"].values), {}
+    for b, k in t["lineitem"][["l_orderkey", "l_partkey"]].values:
+        tags.setdefault(users[b], set()).add((names[k].lower().replace(" ", "").replace("-", ""), k))
+    return t, {u: sorted(x) for u, x in tags.items()}
+
+
+def test_close_tags_of_the_library(run):
+    t, tags = users_tags()
+    want = []
+    for u, rows in tags.items():
+        head = None
+        for r in rows:
+            head = r if head is None or distance(head[0], r[0]) > 1 else head
+            want.append((u, r[1], head[1]))
+    assert len(tags) == 4 and any(i != h for _, i, h in want)
+    assert run("wf11_close_tags", **t) == sorted(want)
+
+
+def test_edit_distance_of_neighbours(run):
+    t, tags = users_tags()
+    want = [(x[0], y[0], distance(x[0], y[0])) for rows in tags.values() for x, y in zip(rows, rows[1:], strict=False)]
+    assert run("f11_edit_distance", **t) == sorted(want)
