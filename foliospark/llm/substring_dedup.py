@@ -3,8 +3,8 @@
 Every window of LENGTH bytes has one anchor, the leftmost least SEED-gram hash inside it, so equal windows have equal
 anchors at the same offset. The corpus exchanges anchors only:
 
-1. blocks (runs of stored rows) send the distinct anchors to parts (ranges of anchor hashes); a part returns which
-   anchors more than one document has;
+1. blocks (runs of stored rows of similar length, bounded in bytes) send the distinct anchors to parts (ranges of anchor
+   hashes); a part returns which anchors more than one document has;
 2. blocks send, for those anchors, the bytes around them (once per block for equal ones, with the least doc_id); a
    part sorts the suffixes that start at the windows, and equal neighbours in the suffix array give the least
    document of each window; it returns one bit per window;
@@ -14,6 +14,9 @@ The suffix sort is a mergesort whose comparisons are logarithmic: prefix polynom
 common extension of two suffixes, and neighbours that count as equal are verified byte by byte.
 
 Copies of a whole text are not sent: all but the one with the least doc_id go without a window being looked at.
+
+A message holds the keys of one block for one part, so there are at most as many messages as keys, and only parts that
+a block has keys for are visited. The numbers of parts and tasks follow the size of the text.
 """
 
 from __future__ import annotations
@@ -23,15 +26,19 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import BASE_INV, flat, mix, pack, pieces, powers, prefix_hash, span_hash, unpack
+from .exchange import block_columns, by_piece, part_runs, unzipped, zipped
+from .memory import lean_groups
 from .scratch import Scratch, with_locator
 
 LENGTH, SEED = 50, 20
-BLOCK_ROWS, PART_BYTES = 512, 4 << 20
+#: Most bytes of a block of several rows, and text for one part and for one task.
+BLOCK_BYTES, PART_BYTES, TASK_BYTES = 16 << 20, 16 << 20, 16 << 20
+#: Bytes scanned at once.
+PIECE = 1 << 18
 #: Windows sorted at once in a task, unless a single anchor has more.
 TOGETHER = 250_000
 KEY_BYTES = 6
@@ -41,11 +48,12 @@ KEY_BYTES = 6
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int):
-    """Runs of windows with a common anchor: text index, first window start, number of windows, anchor place and hash."""
+    """Runs of windows with a common anchor: text index, first window start, number of windows, anchor place and hash, hash of the context."""
     n = len(data)
     empty = np.zeros(0, np.int64)
+    none = (empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
     if n < length:
-        return empty, empty, empty, empty, empty.astype(np.uint64)
+        return none
     h = prefix_hash(data)
     g = h[seed:] - h[: n + 1 - seed]
     g *= powers(BASE_INV, n + 1)[: n + 1 - seed]
@@ -62,66 +70,44 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, seed: int):
     inside[off[long_ + 1] - length + 1] -= 1
     start = np.flatnonzero(np.cumsum(inside[: n - length + 1]))
     if not len(start):
-        return empty, empty, empty, empty, empty.astype(np.uint64)
+        return none
     place = (low[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     text = np.searchsorted(off, start[np.flatnonzero(np.r_[True, np.diff(start) > 1])], "right") - 1  # of each run of starts
     text = np.repeat(text, np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(start) > 1]), len(start)]))
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
+    first, count = start[new], np.diff(np.r_[new, len(start)])
     # least hashes lie close to zero: mixed again, they fall evenly into the parts
-    return text[new], start[new], np.diff(np.r_[new, len(start)]), place[new], mix(g[place[new]] + np.uint64(SEED))
+    return text[new], first, count, place[new], mix(g[place[new]] + np.uint64(SEED)), mix(span_hash(h, first, first + count + length - 1))
 
 
 def scan(column, length: int, seed: int):
-    """Anchor runs of all texts of a column, in text order, with places relative to the whole buffer."""
+    """Anchor runs of all texts of a column, in text order, with places relative to the whole buffer.
+
+    A text of over PIECE bytes is scanned in pieces that overlap by a window less a byte; a run can end at their seam.
+    """
     data, off = flat(column)
     out = []
-    for i, j in pieces(off):
-        t, s, m, p, g = anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], length, seed)
-        out.append((t + i, s + off[i], m, p + off[i], g))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)]
-    return data, off, *cols
-
 
-def part_cuts(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    def add(a: int, b: int, edges: np.ndarray, first: int) -> None:
+        t, s, m, p, g, c = anchors(data[a:b], edges, length, seed)
+        out.append(((t + first).astype(np.int32), (s + a).astype(np.int32), m.astype(np.uint8), (p + a).astype(np.int32), g, c))
+
+    for i, j in pieces(off, PIECE):
+        if off[j] - off[i] <= PIECE or j > i + 1:
+            add(int(off[i]), int(off[j]), off[i : j + 1] - off[i], i)
+        else:
+            for a in range(int(off[i]), int(off[j]) - length + 1, PIECE):
+                b = min(int(off[j]), a + PIECE + length - 1)
+                add(a, b, np.array([0, b - a]), i)
+    types = (np.int32, np.int32, np.uint8, np.int32, np.uint64, np.uint64)
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, t) for t in types]
+    return data, off, *cols
 
 
 def short_keys(g: np.ndarray) -> np.ndarray:
     return g >> np.uint64(64 - 8 * KEY_BYTES)
 
 
-def by_piece(work):
-    """A mapInArrow function that calls work(block, piece, table) on each run of a block's rows in a task."""
-
-    def run(it):
-        now, held, piece = None, [], None
-        for batch in it:
-            block = batch.column("block").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if held and block[a] != now:
-                    yield from work(now, piece, pa.concat_tables(held)).to_batches()
-                    held = []
-                if not held:
-                    now, piece = int(block[a]), batch.column("__loc_row")[a].as_py()
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if held:
-            yield from work(now, piece, pa.concat_tables(held)).to_batches()
-
-    return run
-
-
-def zipped(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def unzipped(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
-
-
 # --- 1: which anchors repeat ---------------------------------------------------------------------------------------
 
 ANCHORS = "part int, block long, piece long, keys binary, several binary"
@@ -130,20 +116,18 @@ REPEATS = "block long, piece long, part int, repeats binary"
 
 def send_anchors(parts: int, length: int, seed: int):
     def work(block, piece, table):
-        _, _, text, _, _, _, g = scan(table["text"], length, seed)
+        _, _, text, _, _, _, g, _ = scan(table["text"], length, seed)
         ids = table["doc_id"].to_numpy()[text] if len(text) else np.zeros(0, np.int64)
         order = np.lexsort((ids, g))
         g, ids = short_keys(g[order]), ids[order]
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
         keys = g[first]
         several = ids[first] != ids[np.r_[first[1:], len(g)] - 1] if len(g) else np.zeros(0, bool)
-        cut = part_cuts(keys, 8 * KEY_BYTES, parts)
-        rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
+        rows = part_runs(keys, 8 * KEY_BYTES, parts)
         return pa.table(
             {
-                "part": pa.array(rows, pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "piece": pa.array([piece] * len(rows), pa.int64()),
-                "keys": pa.array([pack(keys[cut[p] : cut[p + 1]], KEY_BYTES) for p in rows], pa.binary()),
-                "several": pa.array([np.packbits(several[cut[p] : cut[p + 1]]).tobytes() for p in rows], pa.binary()),
+                "part": pa.array([p for p, _, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "piece": pa.array([piece] * len(rows), pa.int64()),
+                "keys": pa.array([pack(keys[a:z], KEY_BYTES) for _, a, z in rows], pa.binary()), "several": pa.array([np.packbits(several[a:z]).tobytes() for _, a, z in rows], pa.binary()),
             }
         )
 
@@ -151,7 +135,7 @@ def send_anchors(parts: int, length: int, seed: int):
 
 
 def find_repeats(table: pa.Table) -> pa.Table:
-    """One bit per sent key: more than one document has it. Pieces hold different rows; rows of one doc_id count as well."""
+    """One bit per sent key: more than one document can have it. Pieces hold different rows, so a key of two pieces counts."""
     blobs = table["keys"].to_pylist()
     lens = [len(b) // KEY_BYTES for b in blobs]
     _, at, n = np.unique(np.concatenate([unpack(b, KEY_BYTES) for b in blobs]), return_inverse=True, return_counts=True)
@@ -172,6 +156,17 @@ ENTRIES = "part int, block long, n int, entries binary"
 BITS = "block long, part int, bits binary"
 
 
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[x : x + size] and data[y : y + size] are equal, for each pair."""
+    same = np.ones(len(x), bool)
+    step = 8 if len(size) and size.min() >= 8 else 1
+    word = np.ndarray(max(0, len(data) - step + 1), f"<u{step}", np.ascontiguousarray(data), strides=(1,))  # the bytes at each place
+    for k in range(0, int(size.max()) if len(size) else 0, step):
+        at = np.minimum(k, size - step)
+        same &= word[x + at] == word[y + at]
+    return same
+
+
 class Block:
     """A block's rows in stored order, its anchor runs and which of them repeat. Two readings give the same."""
 
@@ -180,59 +175,65 @@ class Block:
         self.length = length
         at = self.rows["__loc_row"].to_numpy()
         got: dict[int, dict[int, bytes]] = {}
-        copies: list[int] = []
-        for piece, part, bits, rows in zip(*(right[c].to_pylist() for c in ("piece", "part", "repeats", "copies")), strict=True):
-            if rows is None:
+        least: dict[bytes, int] = {}
+        for piece, part, bits, copies in zip(*(right[c].to_pylist() for c in ("piece", "part", "repeats", "copies")), strict=True):
+            if copies is None:
                 got.setdefault(piece, {})[part] = bits
             else:
-                copies += rows
-        self.copy = np.isin(at, copies)
-        self.data, self.off, self.text, self.start, self.count, self.place, g = scan(self.rows["text"], length, seed)
+                least |= {c["sha"]: c["least"] for c in copies}
+        self.ids = self.rows["doc_id"].to_numpy()
+        self.data, self.off, text, start, count, place, g, same = scan(self.rows["text"], length, seed)
+        self.copy = np.zeros(len(at), bool)
+        if least:
+            for r, (a, z) in enumerate(zip(self.off.tolist(), self.off[1:].tolist(), strict=False)):
+                self.copy[r] = self.ids[r] > least.get(hashlib.sha256(self.data[a:z]).digest(), self.ids[r])
         keys = short_keys(g)
         repeats = np.zeros(len(keys), bool)
         starts = sorted(got)
         cuts = [*np.searchsorted(at, starts).tolist(), len(at)]
         for piece, a, z in zip(starts, cuts, cuts[1:], strict=False):
-            lo, hi = np.searchsorted(self.text, [a, z])
+            lo, hi = np.searchsorted(text, [a, z])
             own, inverse = np.unique(keys[lo:hi], return_inverse=True)
-            cut = part_cuts(own, 8 * KEY_BYTES, parts)
             flags = np.zeros(len(own), bool)
-            for part, bits in got[piece].items():
-                flags[cut[part] : cut[part + 1]] = np.unpackbits(np.frombuffer(unzipped(bits), np.uint8), count=cut[part + 1] - cut[part]).astype(bool)
+            for part, i, j in part_runs(own, 8 * KEY_BYTES, parts):
+                flags[i:j] = np.unpackbits(np.frombuffer(unzipped(got[piece][part]), np.uint8), count=j - i).astype(bool)
             repeats[lo:hi] = flags[inverse]
-        repeats &= ~self.copy[self.text] if len(self.text) else repeats
-        self.text, self.start, self.count, self.place, self.g = (x[repeats] for x in (self.text, self.start, self.count, self.place, g))
-        self.ids = self.rows["doc_id"].to_numpy()
+        repeats &= ~self.copy[text] if len(text) else repeats
+        self.text, self.start, self.count, self.place, self.g, same = (x[repeats] for x in (text, start, count, place, g, same))
+        del text, start, count, place, g, keys
         # equal contexts of a block are one entry, with the least doc_id
-        end = self.start + self.count + length - 1
-        h = prefix_hash(self.data)
-        same = mix(span_hash(h, self.start, end)) if len(self.start) else np.zeros(0, np.uint64)
-        order = np.lexsort((self.ids[self.text] if len(self.text) else self.text, same, self.place - self.start, self.count, self.g))
-        cols = [x[order] for x in (self.g, self.count, self.place - self.start, same)]
-        new = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], 0)]) if len(order) else np.zeros(0, np.int64)
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(order)]))
+        lead = self.place - self.start
+        order = np.lexsort((self.ids[self.text] if len(self.text) else self.text, same, lead, self.count, self.g))
+        new = np.ones(len(order), bool)
+        if len(order):
+            new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in (self.g, self.count, lead, same)], 0)
+            at = np.flatnonzero(~new)
+            for a in range(0, len(at), 1 << 18):  # one hash and other bytes: an entry of its own
+                some = at[a : a + (1 << 18)]
+                size = self.count[order[some]].astype(np.int64) + length - 1
+                new[some] = ~same_bytes(self.data, self.start[order[some - 1]], self.start[order[some]], size)
+        self.entry = np.empty(len(order), np.int32)
+        self.entry[order] = np.cumsum(new) - 1
         self.head = order[new]  # the run that stands for each entry
-        self.cut = part_cuts(self.g[self.head], 64, parts)
+        self.parts = part_runs(self.g[self.head], 64, parts)
 
 
 def send_entries(parts: int, length: int, seed: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left, right, parts, length, seed)
         out: dict[str, list] = {"part": [], "n": [], "entries": []}
-        for p in range(parts):
-            own = b.head[b.cut[p] : b.cut[p + 1]]
-            if len(own):
-                size = b.count[own] + length - 1
-                at = np.repeat(b.start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                cols = [b.g[own].astype("<u8"), b.ids[b.text[own]].astype("<i8"), b.count[own].astype("<u1"), (b.place[own] - b.start[own]).astype("<u1"), b.data[at]]
-                out["part"].append(p)
-                out["n"].append(len(own))
-                out["entries"].append(zipped(b"".join(np.ascontiguousarray(c).tobytes() for c in cols)))
+        for p, i, j in b.parts:
+            own = b.head[i:j]
+            size = b.count[own].astype(np.int64) + length - 1
+            at = np.repeat(b.start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            cols = [b.g[own].astype("<u8"), b.ids[b.text[own]].astype("<i8"), b.count[own].astype("<u1"), (b.place[own] - b.start[own]).astype("<u1"), b.data[at]]
+            out["part"].append(p)
+            out["n"].append(len(own))
+            out["entries"].append(zipped(b"".join(np.ascontiguousarray(c).tobytes() for c in cols)))
         n = len(out["part"])
         return pa.table({"part": pa.array(out["part"], pa.int32()), "block": pa.array([left["block"][0].as_py()] * n if left.num_rows else [], pa.int64()), "n": pa.array(out["n"], pa.int32()), "entries": pa.array(out["entries"], pa.binary())})
 
-    return run
+    return lean_groups(run)
 
 
 # --- the suffix sort -----------------------------------------------------------------------------------------------
@@ -370,23 +371,17 @@ def mark(length: int, together: int = TOGETHER):
             start = (np.cumsum(size[some]) - size[some])[own] + step
             anchor = np.cumsum(np.r_[0, (g[some][1:] != g[some][:-1]).astype(np.int64)])[own]
             group = anchor * 256 + (lead[some][own] - step)
-            # a window whose hash no other has needs no place in the order; equal hashes are one entry of the sort
+            # a window whose hash no other has equals none: it needs no place in the order
             key = mix(span_hash(h, start, start + length) ^ mix(group.astype(np.uint64)))
             by_key = np.argsort(key)
-            key = key[by_key]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            many = np.diff(np.r_[head, len(key)])
-            head, many = head[many > 1], many[many > 1]
-            if not len(head):
+            twin = key[by_key[1:]] == key[by_key[:-1]]
+            rest = by_key[np.r_[False, twin] | np.r_[twin, False]]
+            if not len(rest):
                 continue
-            one = by_key[head]
-            by_group = np.argsort(group[one], kind="stable")
-            order_ = by_group[suffix_sort(text, h, start[one[by_group]], group[one[by_group]], length)]
-            head, many = head[order_], many[order_]
-            sorted_ = by_key[np.repeat(head - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-            place = np.arange(len(sorted_))
-            cls = equal_runs(text, h, start[sorted_], group[sorted_], place, length)
-            sorted_ = sorted_[place]
+            rest = rest[np.argsort(group[rest], kind="stable")]
+            place = suffix_sort(text, h, start[rest], group[rest], length)
+            cls = equal_runs(text, h, start[rest], group[rest], place, length)
+            sorted_ = rest[place]
             docs = ids[some][own[sorted_]]
             heads = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
             least = np.minimum.reduceat(docs, heads)[cls]
@@ -395,7 +390,7 @@ def mark(length: int, together: int = TOGETHER):
         ends = np.cumsum(table["n"].to_numpy())
         return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([zipped(bits[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), table["n"].to_pylist(), strict=True)], pa.binary())})
 
-    return run
+    return lean_groups(run)
 
 
 # --- 3: cut --------------------------------------------------------------------------------------------------------
@@ -403,58 +398,70 @@ def mark(length: int, together: int = TOGETHER):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string"
 
 
-def whole_characters(part: np.ndarray, gone: np.ndarray) -> str:
+def whole_characters(part: np.ndarray, gone: np.ndarray) -> bytes:
     """The text without the characters of which every byte goes."""
     head = (part & 0xC0) != 0x80
     of = np.cumsum(head) - 1
     all_gone = np.logical_and.reduceat(gone, np.flatnonzero(head))
-    return part[~all_gone[of]].tobytes().decode()
+    return part[~all_gone[of]].tobytes()
 
 
-def cut_text(parts: int, length: int, seed: int, with_bytes: bool):
+def cut_text(parts: int, length: int, seed: int, with_bytes: bool, with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left, right.filter(pc.is_null(right["bits"])).drop_columns("bits"), parts, length, seed)
         got = {p: x for p, x in zip(right["part"].to_pylist(), right["bits"].to_pylist(), strict=True) if x is not None}
         bits = np.zeros(len(b.head), np.uint32)
-        for p, x in got.items():
-            bits[b.cut[p] : b.cut[p + 1]] = np.frombuffer(unzipped(x), "<u4")
+        for p, i, j in b.parts:
+            bits[i:j] = np.frombuffer(unzipped(got[p]), "<u4")
         # an entry's bits hold for its least document; a larger document of the block loses every window of the entry
         own = bits[b.entry]
         larger = b.ids[b.text] > b.ids[b.text[b.head]][b.entry] if len(b.entry) else np.zeros(0, bool)
         own[larger] = 0xFFFFFFFF
-        n = np.repeat(np.arange(len(b.start)), b.count)
-        step = np.arange(len(n)) - np.repeat(np.cumsum(b.count) - b.count, b.count)
-        hit = (own[n] >> step.astype(np.uint32)) & 1 == 1
-        at = b.start[n[hit]] + step[hit]
-        edge = np.zeros(len(b.data) + 1, np.int32)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        begins = np.zeros(len(b.data), bool)  # where a window that goes begins
+        for a in range(0, len(own), 1 << 15):
+            masks = np.unpackbits(own[a : a + (1 << 15)].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+            masks[np.arange(32)[None, :] >= b.count[a : a + (1 << 15), None]] = 0
+            run_, step = np.nonzero(masks)
+            begins[b.start[a + run_] + step] = True
         for r in np.flatnonzero(b.copy).tolist():
-            if b.off[r + 1] - b.off[r] >= length:
-                gone[b.off[r] : b.off[r + 1]] = True
+            begins[b.off[r] : max(b.off[r], b.off[r + 1] - length + 1)] = True
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")}
-        for r in range(b.rows.num_rows):
-            part, mask = b.data[b.off[r] : b.off[r + 1]], gone[b.off[r] : b.off[r + 1]]
-            kept = part[~mask].tobytes() if mask.any() else part.tobytes()
+        for r, (a, z) in enumerate(zip(b.off.tolist(), b.off[1:].tolist(), strict=False)):
+            part, spans = b.data[a:z], 0
+            kept = text = part.tobytes()
+            at = np.flatnonzero(begins[a:z])
+            if len(at):
+                cut = np.flatnonzero(np.r_[True, np.diff(at) > length])
+                spans = len(cut)
+                gone = np.zeros(len(part), bool)
+                for i, j in zip(at[cut].tolist(), at[np.r_[cut[1:], len(at)] - 1].tolist(), strict=True):
+                    gone[i : j + length] = True
+                kept = part[~gone].tobytes()
+                text = whole_characters(part, gone) if with_text else b""
             out["n_bytes"].append(len(part))
             out["n_removed"].append(len(part) - len(kept))
-            out["n_spans"].append(int(mask[:1].sum() + (mask[1:] & ~mask[:-1]).sum()))
+            out["n_spans"].append(spans)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept if with_bytes else None)
-            out["kept_text"].append((whole_characters(part, mask) if mask.any() else kept.decode()) if with_bytes else None)
+            out["kept_text"].append(text if with_text else None)
         types = {"kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
         ids = pc.if_else(b.rows["null_id"], pa.scalar(None, pa.int64()), b.rows["doc_id"])
-        rest = {"rest": b.rows["rest"]} if "rest" in b.rows.column_names else {}
+        rest = {}
+        if "rest" in b.rows.column_names:  # its fields can be null in the result
+            own_ = b.rows["rest"].combine_chunks()
+            rest["rest"] = pa.StructArray.from_arrays(own_.flatten(), fields=[f.with_nullable(True) for f in own_.type])
         return pa.table({"doc_id": ids, **{k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}, **rest})
 
-    return run
+    return lean_groups(run)
 
 
-def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, part_bytes: int = PART_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, with_text: bool = False, part_bytes: int | None = None, task_bytes: int | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text, and `carry` (columns of docs) as a struct `rest`.
 
-    kept has the remaining bytes; kept_text is the text without the characters that go whole. Both are null unless with_bytes.
+    kept (with_bytes) has the remaining bytes; kept_text (with_text) is the text without the characters that go whole.
+    part_bytes, task_bytes: text for one part of the keys and for one task of the exchange.
 
     Texts are whole UTF-8 byte strings, null counts as empty; no match crosses documents. A byte goes when a string of
     `length` bytes over it also starts in a document with a smaller doc_id. Rows that share a doc_id are no reason for
@@ -466,39 +473,43 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     placed = with_locator(docs, scratch, list(dict.fromkeys(("doc_id", "text", *carry))))
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = placed.select(
-        F.xxhash64("__loc_file", F.floor(F.col("__loc_row") / BLOCK_ROWS)).alias("block"), "__loc_row",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("doc_id").isNull().alias("null_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        *([F.struct(*carry).alias("rest")] if carry else []),
+        *block_columns(F.octet_length(text), BLOCK_BYTES), "__loc_row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"),
+        F.col("doc_id").isNull().alias("null_id"), text.alias("text"), *([F.struct(*carry).alias("rest")] if carry else []),
     )
-    # whole copies: every one but the least doc_id goes; their rows are told to their blocks
-    marked = scratch.table(rows.select("block", "__loc_row", "doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")), "marked")
+    # whole copies: every one but the least doc_id goes; a block is told a digest once
+    marked = scratch.table(rows.select("block", "doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha")), "marked")
     total = marked.agg(F.sum("size")).first()[0] or 0
-    parts = int(max(16, total // part_bytes))
-    least = marked.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = marked.join(least, "sha").filter("doc_id > least").groupBy("block").agg(F.collect_list("__loc_row").alias("copies"))  # at most BLOCK_ROWS each
+    parts, tasks = (int(max(8, total // size)) for size in (part_bytes or PART_BYTES, task_bytes or TASK_BYTES))
+    least = marked.groupBy("sha").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("sha", "least")
+    copies = marked.select("block", "sha").distinct().join(least, "sha").groupBy("block").agg(F.collect_list(F.struct("sha", "least")).alias("copies"))
     copies = copies.select("block", F.lit(None).cast("long").alias("piece"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("repeats"), "copies")
 
-    sent = rows.select("block", "__loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
-    repeats = sent.groupBy("part").applyInArrow(find_repeats, REPEATS).withColumn("copies", F.lit(None).cast("array<long>"))
+    by_part = lambda df: df.repartition(parts, "part").groupBy("part")
+    by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
+    sent = rows.select("window", "block", "__loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
+    repeats = by_part(sent).applyInArrow(lean_groups(find_repeats), REPEATS).withColumn("copies", F.lit(None).cast(copies.schema["copies"].dataType))
     told = scratch.table(repeats.unionByName(copies), "told")
     scratch.drop("marked")
-    entries = rows.drop("rest").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_entries(parts, length, seed), ENTRIES)
+    entries = by_block(rows.select("block", "__loc_row", "doc_id", "text")).cogroup(by_block(told)).applyInArrow(send_entries(parts, length, seed), ENTRIES)
     entries = scratch.table(entries, "entries")
-    bits = scratch.table(entries.groupBy("part").applyInArrow(mark(length), BITS), "bits")
+    bits = scratch.table(by_part(entries).applyInArrow(mark(length), BITS), "bits")
     scratch.drop("entries")
     both = told.withColumn("bits", F.lit(None).cast("binary")).unionByName(
-        bits.select("block", F.lit(None).cast("long").alias("piece"), "part", F.lit(None).cast("binary").alias("repeats"), F.lit(None).cast("array<long>").alias("copies"), "bits")
+        bits.select("block", F.lit(None).cast("long").alias("piece"), "part", F.lit(None).cast("binary").alias("repeats"), F.lit(None).cast(copies.schema["copies"].dataType).alias("copies"), "bits")
     )
     result = RESULT + (f", rest {rows.schema['rest'].dataType.simpleString()}" if carry else "")
-    return rows.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut_text(parts, length, seed, with_bytes), result)
+    return by_block(rows.drop("window")).cogroup(by_block(both)).applyInArrow(cut_text(parts, length, seed, with_bytes, with_text), result)
 
 
 def cut_rows(docs: DataFrame) -> DataFrame:
     """`docs`, all rows and columns, with what stays of each text: the pipeline's stage. n_chars follows the text; a null text stays null."""
     names = docs.columns
-    cut = substring_dedup(docs, with_bytes=True, carry=tuple(c for c in names if c != "n_chars") if "n_chars" in names else tuple(names))
-    text = F.when(F.col("rest.text").isNotNull(), F.col("kept_text"))
+    flag = next(c for c in ("no_text", *(f"no_text_{k}" for k in range(len(names)))) if c not in names)
+    own = [c for c in names if c not in ("text", "n_chars")]
+    cut = substring_dedup(docs.withColumn(flag, F.col("text").isNull()), with_text=True, carry=(*own, flag))
+    text = F.when(~F.col(f"rest.{flag}"), F.col("kept_text"))
     new = {"text": text, "n_chars": F.length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return cut.select(*[(new[c] if c in new else F.col(f"rest.`{c}`")).alias(c) for c in names])
 
