@@ -1,7 +1,14 @@
-"""Whole-batch text arithmetic in numpy: flat byte buffers, words, polynomial prefix hashes."""
+"""Whole-batch text arithmetic in numpy: flat byte buffers, words and their keyed hashes, polynomial prefix hashes.
+
+The polynomial hashes are linear modulo 2**64, so texts with equal ones can be written down; whoever uses them compares
+bytes where they are equal. Words are told apart by a keyed hash (SipHash-1-3) instead: with a key that is drawn for a
+run, nobody can choose words that collide, and with the fixed KEY it takes some 2**32 trials to find a pair.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +21,14 @@ MIX_2 = np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
+#: The four words of state that SipHash starts from, and the rotations of its round.
+SIP_STATE = tuple(int.from_bytes(x, "big") for x in (b"somepseu", b"dorandom", b"lygenera", b"tedbytes"))
+#: The key where hashes must be the same in every run (signatures).
+KEY = (0x0706050403020100, 0x0F0E0D0C0B0A0908)
+#: Words over so many bytes are hashed by BLAKE2b under the same key.
+LONG_WORD = 256
+TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
+
 TABLE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 64, 256, dtype=np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -83,8 +98,67 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (h[end] - h[start]) * powers(BASE_INV, len(h))[start]
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word (maximal run without white space) and the number of words of each value."""
+def new_key() -> tuple[int, int]:
+    """A key for one run, for the driver to draw: retried tasks must have the same."""
+    raw = os.urandom(16)
+    return int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:], "little")
+
+
+def sip_round(v: list[np.ndarray]) -> None:
+    def turn(x: np.ndarray, bits: int) -> np.ndarray:
+        high = x << np.uint64(bits)
+        high |= x >> np.uint64(64 - bits)
+        return high
+
+    a, b, c, d = v
+    a = a + b
+    b = turn(b, 13) ^ a
+    a = turn(a, 32)
+    c = c + d
+    d = turn(d, 16) ^ c
+    a = a + d
+    d = turn(d, 21) ^ a
+    c = c + b
+    b = turn(b, 17) ^ c
+    c = turn(c, 32)
+    v[:] = [a, b, c, d]
+
+
+def keyed_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """SipHash-1-3 of each data[start:end], eight bytes of all of them at a time."""
+    out = np.empty(len(start), np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the bytes at each place
+    for at in range(0, len(start), 1 << 14):  # what fits the cache
+        first, size = start[at : at + (1 << 14)], (end - start)[at : at + (1 << 14)]
+        v = [np.full(len(first), x ^ key[k % 2], np.uint64) for k, x in enumerate(SIP_STATE)]
+        whole = np.where(size > LONG_WORD, 0, size >> 3)
+        for k in range(int(whole.max()) if len(whole) else 0):
+            live = np.flatnonzero(whole > k)
+            block = eight[first[live] + 8 * k]
+            own = [x[live] for x in v]
+            own[3] ^= block
+            sip_round(own)
+            own[0] ^= block
+            for x, y in zip(v, own, strict=True):
+                x[live] = y
+        block = eight[first + 8 * whole] & TAIL[size & 7]
+        block |= size.astype(np.uint64) << np.uint64(56)
+        v[3] = v[3] ^ block
+        sip_round(v)
+        v[0] ^= block
+        v[2] ^= np.uint64(0xFF)
+        for _ in range(3):
+            sip_round(v)
+        out[at : at + (1 << 14)] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    secret = b"".join(k.to_bytes(8, "little") for k in key)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=secret).digest(), "little")
+    return out
+
+
+def words(data: np.ndarray, off: np.ndarray, key: tuple[int, int] = KEY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keyed hash, start and end of every word (maximal run without white space) and the number of words of each value."""
     if len(data) == 0:
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e, e, np.zeros(len(off) - 1, np.int64)
@@ -100,9 +174,8 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     after[:-1] = m[1:]
     after[first[1:]] = False
     start, end = np.flatnonzero(m & ~before), np.flatnonzero(m & ~after) + 1
-    h = mix(span_hash(prefix_hash(data), start, end) + (end - start).astype(np.uint64))
     at = np.searchsorted(start, off)
-    return h, start, end, np.diff(at)
+    return keyed_hash(data, start, end, key), start, end, np.diff(at)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:

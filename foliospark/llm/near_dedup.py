@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, flat, mix, pieces, words
+from .memory import lean, lean_groups, slices
 from .scratch import Scratch
 
 WIDTH, PERCENT = 5, 75
@@ -34,34 +35,37 @@ K, T = 64, 32
 #: One-bit coordinates for counting collisions, and how many of them two sets of similarity 0.75 agree in at least
 #: (448 expected, a deviation of 7.5, so all but one of a million pairs).
 BITS, AGREE = 512, 408
-#: Most classes of a list or component on one side of a cell.
-CELL = 2048
+#: Most classes of a list or component on one side of a cell, and shingles of the classes there.
+CELL, CELL_SHINGLES = 2048, 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(75))
 SEEDS = _rng.integers(0, 1 << 64, K, dtype=np.uint64)[:, None]
 ODD = (_rng.integers(0, 1 << 64, K, dtype=np.uint64) | np.uint64(1))[:, None]
 BIT_SEEDS = _rng.integers(0, 1 << 64, BITS, dtype=np.uint64)[:, None]
 BIT_ODD = (_rng.integers(0, 1 << 64, BITS, dtype=np.uint64) | np.uint64(1))[:, None]
-STEP = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(WIDTH)]
+
+
+def chain(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words from each first one on. Word after word is mixed in, so that no sum of word hashes stands for another."""
+    x = np.full(len(first), size, np.uint64)
+    for k in range(size):
+        x = mix(x ^ h[first + k])
+    return x
 
 
 def shingle_sets(column):
     """The sorted distinct 64-bit shingle hashes of each text."""
     data, off = flat(column)
-    for i, j in pieces(off):
+    for i, j in pieces(off, 1 << 18):
         h, _, _, n = words(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i])
-        full = np.zeros(max(0, len(h) - WIDTH + 1), np.uint64)
-        for k in range(WIDTH):
-            full += h[k : k + len(full)] * STEP[k]
-        full = mix(full)
+        full = np.concatenate([chain(h, np.arange(a, min(a + (1 << 14), len(h) - WIDTH + 1)), WIDTH) for a in range(0, len(h) - WIDTH + 1, 1 << 14)] or [np.zeros(0, np.uint64)])
         end = 0
         for size in n.tolist():
             start, end = end, end + size
             if size >= WIDTH:
                 yield np.unique(full[start : end - WIDTH + 1])
             elif size:
-                whole = sum((h[start + k] * STEP[k] for k in range(size)), np.uint64(size))
-                yield mix(np.array([whole], np.uint64))
+                yield chain(h, np.array([start]), size)
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -88,10 +92,11 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((mix(least(s, BIT_SEEDS, BIT_ODD)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
 
 
+@lean
 def sign(it):
-    with np.errstate(over="ignore"):
-        for batch in it:
-            sets = list(shingle_sets(batch.column("text"))) if batch.num_rows else []
+    for whole in it:
+        for batch in slices(whole, "text"):
+            sets = list(shingle_sets(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -101,11 +106,12 @@ def sign(it):
             )
 
 
+@lean
 def full_sets(it):
     """(class, text) to (class, n, sketch, members); a text that isn't the class's own is left out."""
-    with np.errstate(over="ignore"):
-        for batch in it:
-            sets = shingle_sets(batch.column("text")) if batch.num_rows else []
+    for whole in it:
+        for batch in slices(whole, "text"):
+            sets = shingle_sets(batch.column("text"))
             own = [(c, s) for c, s in zip(batch.column("class").to_pylist(), sets, strict=True) if set_key(s) == c]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -131,7 +137,7 @@ def confirm(percent: int):
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def signs(column) -> np.ndarray:
@@ -203,7 +209,7 @@ def meet(percent: int):
         x, y = [p for p, _ in found], [p for _, p in found]
         return pa.table({"class": classes.take(pa.array(x, pa.int64())), "comp": comps.take(pa.array(y, pa.int64()))})
 
-    return run
+    return lean_groups(run)
 
 
 def visit(percent: int):
@@ -228,7 +234,7 @@ def visit(percent: int):
         classes = table["class"]
         return pa.table({"a": classes.take(pa.array([k for k, _ in out], pa.int64())), "b": classes.take(pa.array([m for _, m in out], pa.int64()))})
 
-    return run
+    return lean_groups(run)
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -299,15 +305,17 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
     visits = scratch.table(visits, "visits")
 
     # they meet the members of that component, in cells
-    guests = visits.groupBy("comp").agg(F.count(F.lit(1)).alias("guests")).join(sizes, "comp")
-    guests = guests.select("comp", F.ceil(F.col("guests") / CELL).cast("int").alias("columns"), F.ceil(F.col("members") / CELL).cast("int").alias("rows"))
+    members = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("host_n"))
+    guests = visits.join(known.select("class", "n"), "class").groupBy("comp").agg(F.count(F.lit(1)).alias("guests"), F.sum("n").alias("guest_n")).join(members, "comp")
+    cells = lambda rows, n: F.ceil(F.greatest(F.col(rows) / CELL, F.col(n) / CELL_SHINGLES)).cast("int")
+    guests = guests.select("comp", cells("guests", "guest_n").alias("columns"), cells("hosts", "host_n").alias("rows"))
     guests = scratch.table(guests, "guests")
     of = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hosts = comp.select("comp", F.col("node").alias("class")).join(guests, "comp").withColumn("i", of("rows")).withColumn("j", each("columns")).select("comp", "i", "j", "class", F.lit(False).alias("guest"))
     come = visits.select("comp", "class").join(guests, "comp").withColumn("j", of("columns")).withColumn("i", each("rows")).select("comp", "i", "j", "class", F.lit(True).alias("guest"))
-    cells = hosts.unionByName(come).join(sets, "class")
-    more = scratch.table(cells.groupBy("comp", "i", "j").applyInArrow(visit(percent), "a binary, b binary"), "links-1")
+    met = hosts.unionByName(come).join(sets, "class")
+    more = scratch.table(met.groupBy("comp", "i", "j").applyInArrow(visit(percent), "a binary, b binary"), "links-1")
     if not more.isEmpty():
         links = links.union(more)
     elif links.isEmpty():
