@@ -7,34 +7,36 @@ occurrence deleted, so every training document serves as held-out data for the r
 Counts are exchanged between blocks (runs of stored rows) and parts (ranges of key hashes): a block sends the sorted
 distinct keys of each part once, with its own training counts; a part sums them and returns the totals in the same
 order. A frequent word is one entry per block, so no part is hot. Keys are hashes of 64 bits (words) and 56 bits
-(bigrams); the number of parts follows the size of the text.
+(bigrams) under a secret key that is drawn for each run, so no text can be written for words to share one; the numbers
+of parts and tasks follow the size of the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import LOWER, flat, mix, pack, pieces, unpack, words
+from .bytesets import KEY, LOWER, flat, mix, new_key, pack, pieces, unpack, words
+from .exchange import block_columns, by_piece, part_runs, unzipped, zipped
+from .memory import lean, lean_groups
 from .scratch import Scratch, with_locator
 
-#: Rows in a block, and bytes of text for one part.
-BLOCK_ROWS, PART_BYTES = 512, 16 << 20
+#: Most bytes of a block of several rows, and text for one part and for one task.
+BLOCK_BYTES, PART_BYTES, TASK_BYTES = 8 << 20, 16 << 20, 16 << 20
 #: Buckets of the context's frequency (by powers of two), and steps of a probability ratio in the EM table (a quarter of a decade).
 BUCKETS, STEPS = 16, 48
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)  # fixed values: hashes of the two marks
 EM_ROUNDS = 60
 
 
-def tokens(column) -> tuple[np.ndarray, np.ndarray]:
+def tokens(column, key: tuple[int, int] = KEY) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then one end mark per text) and the number of tokens of each text."""
     data, off = flat(column)
     out, sizes = [], []
-    for i, j in pieces(off):
-        h, _, _, n = words(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i])
+    for i, j in pieces(off, 1 << 18):
+        h, _, _, n = words(LOWER[data[off[i] : off[j]]], off[i : j + 1] - off[i], key)
         out.append(np.insert(h, np.cumsum(n), END))
         sizes.append(n + 1)
     return (np.concatenate(out), np.concatenate(sizes)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -49,65 +51,38 @@ def bigrams(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def counts_blob(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, "<u8").tobytes())
+    return zipped(np.ascontiguousarray(a, "<u8").tobytes())
 
 
 def counts_of(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u8").astype(np.int64)
-
-
-def part_cuts(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where each part's keys begin among sorted keys of so many bits, and the end."""
-    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    return np.frombuffer(unzipped(blob), "<u8").astype(np.int64)
 
 
 FORWARD = "part int, block long, piece long, uni binary, uni_n binary, bi binary, bi_n binary"
 RETURN = "block long, piece long, part int, uni_n binary, bi_n binary, n long, v long"
 
 
-def send(parts: int):
-    """From rows (block, __loc_row, held, text) in stored order to the keys of each part. A run of a block's rows in one task is a piece."""
+def send(parts: int, key: tuple[int, int]):
+    """From rows (window, block, __loc_row, held, text) in stored order to the keys of each part."""
 
-    def one(block, piece, batches):
-        table = pa.concat_tables(batches)
-        h, sizes = tokens(table["text"])
+    def work(block, piece, table):
+        h, sizes = tokens(table["text"], key)
         train = np.repeat(~table["held"].to_numpy(zero_copy_only=False), sizes)
-        cols, cuts = [], []
-        for keys, bits, width in ((h, 64, 8), (bigrams(h, sizes), 56, 7)):
+        sent: dict[int, list] = {}
+        for k, (keys, bits, width) in enumerate(((h, 64, 8), (bigrams(h, sizes), 56, 7))):
             keys, at = np.unique(keys, return_inverse=True)
             n = np.bincount(at, weights=train, minlength=len(keys))
-            cut = part_cuts(keys, bits, parts)
-            cols += [keys, n]
-            cuts.append((cut, width))
-        (uc, uw), (bc, bw) = cuts
-        rows = [p for p in range(parts) if uc[p] < uc[p + 1] or bc[p] < bc[p + 1]]
+            for p, a, z in part_runs(keys, bits, parts):
+                sent.setdefault(p, [b"", counts_blob(n[:0])] * 2)[2 * k : 2 * k + 2] = pack(keys[a:z], width), counts_blob(n[a:z])
+        rows = sorted(sent)
         return pa.table(
             {
                 "part": pa.array(rows, pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "piece": pa.array([piece] * len(rows), pa.int64()),
-                "uni": pa.array([pack(cols[0][uc[p] : uc[p + 1]], uw) for p in rows], pa.binary()), "uni_n": pa.array([counts_blob(cols[1][uc[p] : uc[p + 1]]) for p in rows], pa.binary()),
-                "bi": pa.array([pack(cols[2][bc[p] : bc[p + 1]], bw) for p in rows], pa.binary()), "bi_n": pa.array([counts_blob(cols[3][bc[p] : bc[p + 1]]) for p in rows], pa.binary()),
+                **{c: pa.array([sent[p][k] for p in rows], pa.binary()) for k, c in enumerate(("uni", "uni_n", "bi", "bi_n"))},
             }
-        ).to_batches()
+        )
 
-    def run(it):
-        now, held, piece = None, [], None
-        for batch in it:
-            block = batch.column("block").to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if held and block[a] != now:
-                    yield from one(now, piece, held)
-                    held = []
-                if not held:
-                    now, piece = int(block[a]), batch.column("__loc_row")[a].as_py()
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if held:
-            yield from one(now, piece, held)
-
-    return run
+    return by_piece(work)
 
 
 def total(table: pa.Table) -> pa.Table:
@@ -148,7 +123,7 @@ def level(ratio: np.ndarray) -> np.ndarray:
 SCORED = "kind int, doc_id long, held boolean, n_tokens long, n_known long, base_score double, blob binary, cells array<int>, cell_n array<long>"
 
 
-def look_up(n_all: int, v_all: int, parts: int):
+def look_up(n_all: int, v_all: int, key: tuple[int, int]):
     """Joins a block's rows with the totals of its keys: for each text its counts, for the block a table of held-out counts."""
     floor = 0.5 * (v_all + 1)
 
@@ -164,7 +139,7 @@ def look_up(n_all: int, v_all: int, parts: int):
         table = np.zeros(BUCKETS * STEPS * STEPS, np.int64)
         for piece, a, z in zip(starts, cuts, cuts[1:], strict=False):
             rows = left.slice(a, z - a)
-            h, sizes = tokens(rows["text"])
+            h, sizes = tokens(rows["text"], key)
             held = rows["held"].to_numpy(zero_copy_only=False)
             order = sorted(got[piece])
             known = []
@@ -197,7 +172,7 @@ def look_up(n_all: int, v_all: int, parts: int):
             }
         )
 
-    return run
+    return lean_groups(run)
 
 
 def weights(cells: np.ndarray, n: np.ndarray, v_all: int, rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -237,31 +212,34 @@ def score(lam: np.ndarray, n_all: int, v_all: int):
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    return run
+    return lean(run)
 
 
-def lm_score(docs: DataFrame, held_out=None, part_bytes: int = PART_BYTES) -> DataFrame:
+def lm_score(docs: DataFrame, held_out=None, part_bytes: int | None = None, task_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     held_out: a Boolean column of the documents that the model doesn't learn from. Null text counts as empty (one
     end mark); a null doc_id learns and stays null; repeated rows count each time. Without training rows every
     probability is 1 over the one unknown type. Empty table: empty result. Other columns are ignored.
+    part_bytes, task_bytes: text for one part of the keys and for one task of the exchange.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     if held_out is None:
         held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = with_locator(docs, scratch, ["doc_id", "text"]).select(
-        F.xxhash64("__loc_file", F.floor(F.col("__loc_row") / BLOCK_ROWS)).alias("block"), "__loc_row",
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+        *block_columns(F.octet_length(text), BLOCK_BYTES), "__loc_row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), text.alias("text")
+    )
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = int(max(16, size // part_bytes))
-    sent = rows.select("block", "__loc_row", "held", "text").mapInArrow(send(parts), FORWARD)
-    totals = scratch.table(sent.groupBy("part").applyInArrow(total, RETURN), "totals")
+    parts, tasks = (int(max(8, size // each)) for each in (part_bytes or PART_BYTES, task_bytes or TASK_BYTES))
+    by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
+    key = new_key()
+    sent = rows.select("window", "block", "__loc_row", "held", "text").mapInArrow(send(parts, key), FORWARD)
+    totals = scratch.table(sent.repartition(parts, "part").groupBy("part").applyInArrow(lean_groups(total), RETURN), "totals")
     n_all, v_all = (int(x or 0) for x in totals.filter("piece = -1").agg(F.sum("n"), F.sum("v")).first())
     counts = totals.filter("piece >= 0").select("block", "piece", "part", "uni_n", "bi_n")
-    joined = scratch.table(rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(look_up(n_all, v_all, parts), SCORED), "joined")
+    joined = scratch.table(by_block(rows.drop("window")).cogroup(by_block(counts)).applyInArrow(look_up(n_all, v_all, key), SCORED), "joined")
     scratch.drop("totals")
     table = joined.filter("kind = 1").select(F.explode(F.arrays_zip("cells", "cell_n")).alias("c")).groupBy("c.cells").agg(F.sum("c.cell_n").alias("n")).toPandas()
     lam = weights(table["cells"].to_numpy(np.int64), table["n"].to_numpy(np.float64), v_all)
