@@ -8,6 +8,7 @@ with the input, and the place of a piece depends on its group alone.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import mix, prefix_hash, span_hash
-from .scratch import Scratch
+from .bytesets import keyed_hash, new_key
+from .memory import lean, slices
+from .scratch import Scratch, with_locator
 
 LIMIT = 1024
 END_ID = 0
@@ -37,6 +39,9 @@ SHORT_FORMS = np.zeros(256, bool)
 SHORT_FORMS[list(b"stmdrvl")] = True
 #: Words that a worker remembers, and words handed to the library at once.
 CACHE, TOGETHER = 1_000_000, 200
+#: Longer texts are cut where one space stands between two letters; there the split pattern always begins a word.
+LONG = 1 << 20
+SEAM = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 _encoders: dict[str, "WordCache"] = {}
 
@@ -66,12 +71,15 @@ def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class HashIndex:
-    """Numbers of 64-bit keys, by open addressing in numpy; look-ups and additions take whole arrays."""
+    """Numbers of 64-bit keys, by open addressing in numpy; look-ups and additions take whole arrays. Never over half full."""
 
     def __init__(self, most: int):
-        self.bits = max(4, (2 * most - 1).bit_length())
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.zeros(1 << self.bits, np.int32)
+        self._empty(max(4, (2 * most - 1).bit_length()))
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.count = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, np.int32)
 
     def _place(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -90,6 +98,12 @@ class HashIndex:
 
     def add(self, h: np.ndarray, values: np.ndarray) -> None:
         """New keys, each once and not zero."""
+        if 2 * (self.count + len(h)) > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            old = self.keys[full], self.values[full]
+            self._empty((2 * (len(full) + len(h)) - 1).bit_length())
+            self.add(*old)
+        self.count += len(h)
         todo, place = np.arange(len(h)), self._place(h)
         while len(todo):
             free = np.flatnonzero(self.keys[place] == 0)
@@ -106,8 +120,8 @@ class WordCache:
     """Token ids of whole texts by the tokenizers library, each distinct word of a task encoded once.
 
     The vocabulary's split pattern cuts a text into words that encode alike wherever they stand, so ids are looked up
-    by word (by 64-bit hashes of bytes and length). Texts that the numpy form of the pattern doesn't cover go to the
-    library whole.
+    by word (by 64-bit hashes under a key that each worker draws for itself, so no text can be written for two of its
+    words to share one). Texts that the numpy form of the pattern doesn't cover go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -120,6 +134,7 @@ class WordCache:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.key = new_key()
         self.clear()
 
     def clear(self) -> None:
@@ -151,6 +166,13 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [seams(t) for t in texts]
+        chunks = [c for some in cut for c in some]
+        found = iter([ids for i, j in batches(chunks) for ids in self.short(chunks[i:j])])
+        return [b"".join([next(found) for _ in some]) for some in cut]
+
+    def short(self, texts: list[str]) -> list[bytes]:
+        """The ids of a bounded number of texts."""
         if self.words > CACHE:
             self.clear()
         raw = [t.encode() for t in texts]
@@ -165,8 +187,7 @@ class WordCache:
             off = np.concatenate([[0], np.cumsum([len(r) for r in own])])
             start = word_starts(data, off)
             end = np.append(start[1:], len(data))
-            h = prefix_hash(data)
-            key = mix(span_hash(h, start, end) + (end - start).astype(np.uint64)) | np.uint64(1)
+            key = keyed_hash(data, start, end, self.key) | np.uint64(1)
             word = self.index.find(key)
             new = np.flatnonzero(word < 0)
             if len(new):
@@ -183,6 +204,16 @@ class WordCache:
         return [next(found) if p else self.whole(t) if t else b"" for t, p in zip(texts, plain, strict=True)]
 
 
+def seams(text: str, most: int = LONG) -> list[str]:
+    """The text in parts of about `most` characters that encode alike alone; in one where it has no seam."""
+    out, at = [], 0
+    while len(text) - at > most and (m := SEAM.search(text, at + most)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    out.append(text[at:] if at else text)
+    return out
+
+
 def encoder(path: str) -> WordCache:
     """One per Python worker."""
     if path not in _encoders:
@@ -205,22 +236,21 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 
 
 def cut_pieces(path: str, limit: int = LIMIT, end_id: int = END_ID):
-    """A mapInArrow function from (doc_id, text) to the pieces of each document."""
+    """A mapInArrow function from (doc_id, text, deal) to the pieces of each document, each with its document's deal."""
     tail = np.array([end_id], "<u4").tobytes()
+    schema = PIECES.append(pa.field("deal", pa.int64()))
 
     def run(it):
         enc = encoder(path)
-        for batch in it:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in batches(texts):
-                rows = []
-                for doc, raw in zip(ids[i:j], enc.encode(texts[i:j]), strict=True):
-                    raw += tail
-                    n = len(raw) // 4
-                    rows += [(doc, s, min(limit, n - s), zlib.crc32(raw[4 * s : 4 * (s + limit)]), n) for s in range(0, n, limit)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
+        for batch in (part for whole in it for part in slices(whole, "text", LONG)):
+            rows = []
+            for doc, raw, deal in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), batch.column(2).to_pylist(), strict=True):
+                raw += tail
+                n = len(raw) // 4
+                rows += [(doc, s, min(limit, n - s), zlib.crc32(raw[4 * s : 4 * (s + limit)]), n, deal) for s in range(0, n, limit)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def first_fit(lengths: list[int], limit: int = LIMIT) -> tuple[list[int], list[int]]:
@@ -264,15 +294,17 @@ def pack(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = END_ID, g
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text has the end id alone. Rows that share a doc_id are documents of their own; a null doc_id
-    stays null. Empty table: empty result. Columns other than doc_id and text are ignored.
+    stays null. Documents are dealt to groups by the place where they are stored, so neither repeated rows nor rows
+    without an id meet in one group. Empty table: empty result. Columns other than doc_id and text are ignored.
     path: a vocabulary file of the tokenizers library that each executor has.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = scratch.table(cut.mapInArrow(cut_pieces(path, limit, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    rows = with_locator(docs, scratch, ["doc_id", "text"])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.substring_index("__loc_file", "/", -1), "__loc_row").alias("deal"))
+    pieces = scratch.table(rows.mapInArrow(cut_pieces(path, limit, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"), "pieces")
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(7)), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod("deal", F.lit(groups))).drop("deal").repartition(max(8, groups // 4), "g")
     return dealt.groupBy("g").applyInPandas(pack_group(limit), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
