@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesets import LOWER, flat, pieces
+from .memory import lean, slices
 from .scratch import Scratch
 
 #: Trigram buckets, counts in a message, and messages of one sum before they meet.
@@ -57,7 +58,7 @@ def count_grams(it):
         for lang in names.unique().to_pylist():
             data, off = flat(batch.column("text").filter(pc.equal(names, lang)))
             own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for i, j in pieces(off):
+            for i, j in pieces(off, 1 << 18):
                 own += np.bincount(grams(data[off[i] : off[j]], off[i : j + 1] - off[i])[0], minlength=BUCKETS)
     from pyspark import TaskContext
 
@@ -77,7 +78,7 @@ def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def learn(docs: DataFrame, training, scratch: Scratch) -> tuple[list[str], np.ndarray]:
     """The languages in order, and the log-probabilities (bucket, language). Size: 512 kB per language, whatever the corpus."""
     rows = docs.filter(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    sums = rows.mapInArrow(count_grams, "lang string, chunk int, salt int, counts binary")
+    sums = rows.mapInArrow(lean(count_grams), "lang string, chunk int, salt int, counts binary")
     sums = sums.groupBy("lang", "chunk", "salt").applyInPandas(add_up, "lang string, chunk int, counts binary")
     sums = scratch.table(sums.groupBy("lang", "chunk").applyInPandas(add_up, "lang string, chunk int, counts binary"), "grams").toPandas()
     langs = sorted(sums["lang"].unique())
@@ -132,12 +133,27 @@ def mixtures(like: np.ndarray, weight: np.ndarray, words: np.ndarray, rounds: in
     return share
 
 
+def has_letter(column) -> np.ndarray:
+    """Whether each text has a letter."""
+    data, off = flat(column)
+    out = np.zeros(len(off) - 1, bool)
+    for i, j in pieces(off):
+        own = i + np.flatnonzero(np.diff(off[i : j + 1]))
+        if len(own):
+            d = data[off[i] : off[j]]
+            out[own] = np.add.reduceat((((d | 32) >= 97) & ((d | 32) <= 122) & (d < 128)).astype(np.int32), off[own] - off[i]) > 0
+            for k in own[~out[own]].tolist():  # bytes above 127 can also be signs
+                out[k] = any(c.isalpha() for c in data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"))
+    return out
+
+
 def predict(column, langs: list[str], logp: np.ndarray):
     """Predicted language index (-1: und), its proportion, and all proportions of each text."""
+    letter = has_letter(column)
     data, off = flat(column)
     n = len(off) - 1
     pred, score, share = np.full(n, -1), np.zeros(n), np.zeros((n, len(langs)))
-    for i, j in pieces(off) if langs else []:
+    for i, j in pieces(off, 1 << 18) if langs else []:
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         bucket, start, words = grams(d, o)
         if not len(start):
@@ -149,10 +165,7 @@ def predict(column, langs: list[str], logp: np.ndarray):
         share[i + own] = mix
         pred[i + own] = mix.argmax(1)
         score[i + own] = np.minimum(mix.max(1), 1.0)
-        ascii_letters = np.add.reduceat(((d | 32) >= 97) & ((d | 32) <= 122) & (d < 128), o[own])
-        for k in (i + own[ascii_letters == 0]).tolist():  # bytes above 127 can also be signs
-            if not any(c.isalpha() for c in data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace")):
-                pred[k], score[k], share[k] = -1, 0.0, 0.0
+    pred[~letter], score[~letter], share[~letter] = -1, 0.0, 0.0
     return pred, score, share
 
 
@@ -174,7 +187,7 @@ def language_id(docs: DataFrame, held_out=None) -> DataFrame:
 
     def run(it):
         langs, logp = model.value
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, "text")):
             pred, score, share = predict(batch.column("text"), langs, logp)
             names = [langs[k] if k >= 0 else UNKNOWN for k in pred.tolist()]
             shares = [[(langs[k], float(row[k])) for k in np.flatnonzero(row > 1e-4).tolist()] for row in share]
@@ -184,21 +197,25 @@ def language_id(docs: DataFrame, held_out=None) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double, shares map<string,double>")
 
 
 def in_some_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text has a language: the pipeline's stage."""
+    """The rows of `docs`, with all their columns, whose text has a language: the pipeline's stage.
+
+    Only null texts and texts without a letter go. Where nothing could be learned (no row with a label, or all of them
+    held out) every text with a letter stays: not knowing its name is no reason to drop it.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learn(docs, ~held_out_fold(), Scratch(spark, "language")))
 
     def run(it):
         langs, logp = model.value
-        for batch in it:
-            pred = predict(batch.column("text"), langs, logp)[0]
-            yield batch.filter(pa.array(pred >= 0))
+        for batch in (part for whole in it for part in slices(whole, "text")):
+            keep = predict(batch.column("text"), langs, logp)[0] >= 0 if langs else has_letter(batch.column("text"))
+            yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
