@@ -1,10 +1,18 @@
 """BPE encoding and decoding (op10): a bounded-lookahead streaming transducer and an incremental decoder.
 
+A text comes in chunks. The transducer passes on what no later chunk can change: the text before a possible special
+token, before the last character that a combining mark could still change, the words before the last one, and inside a
+word the tokens that end before the merge list's lookahead.
+
 A merge list has a sufficient lookahead: appending text changes only tokens that end within so many bytes of the old
-end (`sufficient_lookahead`). The transducer tokenizes a bounded buffer, emits the tokens that end before that zone
-and goes on from the last emitted boundary; a boundary of the final result splits the input into parts that tokenize
-independently, so what is emitted never changes and memory stays constant. Words that end inside the buffer are
-final at once; a task merges all its new words together in numpy.
+end (`sufficient_lookahead`). An open word's buffer is tokenized, the tokens that end before that zone are emitted and
+the buffer goes on from the last emitted boundary; a boundary of the final result splits the input into parts that
+tokenize independently, so what is emitted never changes. What a text holds is a chunk, the buffer of its open word and
+a run of combining marks, whatever its length. Words that end inside a chunk are final at once; the texts of a batch
+take turns, a chunk each, and their new words are merged together in numpy.
+
+Decoding is a state machine over tokens: it holds the bytes of an unfinished character, or in the library's form whether
+a separator is due.
 """
 
 from __future__ import annotations
@@ -13,17 +21,22 @@ import codecs
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .packing import batches, vocabulary
+from .memory import lean, slices
+from .packing import vocabulary
 
 NO_RANK = np.int64(1 << 40)
 #: Words of at most so many bytes are merged together in numpy; longer ones go through the stream.
 SHORT = 64
 CACHE = 300_000
+#: Characters of a text that are taken at once, and of an unfinished word that goes on as a stream.
+CHUNK, OPEN = 1 << 16, 4096
 
 
 def byte_letters() -> list[str]:
@@ -145,21 +158,11 @@ class Merges:
         return out
 
     def stream(self, chunks):
-        """Token ids of one word that comes in chunks of bytes, each as soon as it is stable. Holds a few times the lookahead."""
-        held = b""
-        hold = 2 * self.lookahead + 64
+        """Token ids of one word that comes in chunks of bytes, each as soon as it is stable."""
+        word = WordStream(self)
         for chunk in chunks:
-            for k in range(0, len(chunk), hold):
-                held += chunk[k : k + hold]
-                if len(held) > 2 * hold:
-                    ids, ends = self.one(self.first[np.frombuffer(held, np.uint8)])
-                    sure = int(np.searchsorted(ends, len(held) - self.lookahead - 1, "right"))
-                    yield from ids[:sure].tolist()
-                    held = held[int(ends[sure - 1]) if sure else 0 :]
-        if held:
-            symbols = self.first[np.frombuffer(held, np.uint8)]
-            symbols[-1] = self.last[held[-1]]
-            yield from self.one(symbols)[0].tolist()
+            yield from word.feed(chunk).tolist()
+        yield from word.finish().tolist()
 
     def one(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of one row and where each ends. Merges every pair of the least rank at once, left to right."""
@@ -180,76 +183,210 @@ class Merges:
         return symbols, np.cumsum(size)
 
 
+class WordStream:
+    """One word that comes in chunks of bytes. Holds a few times the lookahead."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held = merges, b""
+        self.hold = 2 * merges.lookahead + 64
+
+    def feed(self, chunk: bytes) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for k in range(0, len(chunk), self.hold):
+            self.held += chunk[k : k + self.hold]
+            if len(self.held) > 2 * self.hold:
+                ids, ends = self.merges.one(self.merges.first[np.frombuffer(self.held, np.uint8)])
+                sure = int(np.searchsorted(ends, len(self.held) - self.merges.lookahead - 1, "right"))
+                out.append(ids[:sure])
+                self.held = self.held[int(ends[sure - 1]) if sure else 0 :]
+        return np.concatenate(out)
+
+    def finish(self) -> np.ndarray:
+        if not self.held:
+            return np.zeros(0, np.int64)
+        symbols = self.merges.first[np.frombuffer(self.held, np.uint8)]
+        symbols[-1] = self.merges.last[self.held[-1]]
+        return self.merges.one(symbols)[0]
+
+
 #: The vocabulary's split pattern, and the characters that its pattern takes as white space.
 SPACE = r"\t-\r \x85\xa0  -     　"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
+LETTERS, SIGNS = r"[\p{L}]+", rf"[^{SPACE}\p{{L}}\p{{N}}]+"
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTERS}|[\p{{N}}]|{SIGNS}"
+#: A match that ends so many characters before the end of what is known can't change (a short form has three).
+AHEAD = 3
+
+
+@cache
+def joining() -> frozenset[str]:
+    """Characters that composition can tie to the one before them: marks, and second halves of composed characters."""
+    out = {chr(c) for a, b in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for c in range(a, b)}  # vowels and finals of Hangul
+    for c in range(0x110000):
+        if unicodedata.combining(chr(c)):
+            out.add(chr(c))
+        parts = unicodedata.decomposition(chr(c)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return frozenset(out)
+
+
+class Transducer:
+    """A text in chunks to its parts: words as strings, finished ids as bytes."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.held = ""  # may begin a special token
+        self.raw = ""  # may be changed by a mark
+        self.tail = ""  # normalised, may belong to an unfinished word
+        self.open: WordStream | None = None
+        self.kind = ""
+
+    def feed(self, chunk: str, last: bool = False) -> list[str | bytes]:
+        out: list[str | bytes] = []
+        held, at = self.held + chunk, 0
+        if self.codec.special_at:
+            while m := self.codec.special_at(held, at):
+                self.plain(held[at : m.start()], True, out)
+                out.append(self.codec.packed([self.codec.merges.special[m.group()]]))
+                at = m.end()
+        keep = 0 if last else self.codec.unfinished_special(held, at)
+        self.held = held[len(held) - keep :]
+        self.plain(held[at : len(held) - keep], last, out)
+        return out
+
+    def plain(self, part: str, closed: bool, out: list) -> None:
+        """Text without special tokens; closed: the word before its end is finished."""
+        raw = self.raw + part
+        cut = len(raw)
+        if not closed and raw:
+            cut -= 1
+            while cut and not raw[cut].isascii() and raw[cut] in joining():
+                cut -= 1
+        now, self.raw = raw[:cut], raw[cut:]
+        if not now.isascii():
+            now = unicodedata.normalize("NFC", now).replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
+        tail = self.tail + now.lower()
+        self.tail = ""
+        if self.open:
+            m = self.codec.runs[self.kind](tail)
+            end = m.end() if m else 0
+            out.append(self.codec.packed(self.open.feed(tail[:end].encode())))
+            if end == len(tail) and not closed:
+                return
+            out.append(self.codec.packed(self.open.finish()))
+            self.open, tail = None, tail[end:]
+        if closed:
+            out += self.codec.find(tail)
+            return
+        rest = len(tail)
+        for m in self.codec.each(tail):
+            if m.end() > len(tail) - AHEAD:
+                rest = m.start()
+                break
+            out.append(m.group())
+        tail = tail[rest:]
+        if len(tail) > OPEN:
+            for kind, run in self.codec.runs.items():
+                m = run(tail)
+                if m and m.end() > OPEN - AHEAD:
+                    self.open, self.kind = WordStream(self.codec.merges), kind
+                    out.append(self.codec.packed(self.open.feed(m.group().encode())))
+                    tail = tail[m.end() :]
+                    if tail:
+                        out.append(self.codec.packed(self.open.finish()))
+                        self.open = None
+                    break
+        self.tail = tail
 
 
 class Codec:
-    """Encodes and decodes whole texts; keeps the tokens of up to CACHE words."""
+    """Encodes and decodes texts; keeps the tokens of up to CACHE words."""
 
     def __init__(self, path: str):
         import regex
 
         self.merges = Merges(path)
-        self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.merges.special, key=len, reverse=True))) + ")").split if self.merges.special else None
+        pattern = regex.compile(PATTERN)
+        self.find, self.each = pattern.findall, pattern.finditer
+        self.runs = {kind: regex.compile(kind).match for kind in (LETTERS, SIGNS)}
+        special = sorted(self.merges.special, key=len, reverse=True)
+        if any(a != b and b.startswith(a) for a in special for b in special):
+            raise ValueError("a special token begins another")
+        self.special_at = regex.compile("|".join(map(regex.escape, special))).search if special else None
+        self.beginnings = {t[:k] for t in special for k in range(1, len(t))}
+        self.longest = max(map(len, special), default=0)
         self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
         self.named = {i: t.encode() for i, t in self.merges.tokens.items()}
 
-    def split(self, text: str) -> list[str]:
-        """Words in order; a special token's string is a word of its own, marked by a leading NUL pair."""
-        parts = self.cut(text) if self.cut and "<|" in text else [text]
-        out = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append("\0\0" + part)
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
-                out += self.find(part.lower())
-        return out
+    @staticmethod
+    def packed(ids) -> bytes:
+        return np.asarray(ids).astype("<u4").tobytes()
+
+    def unfinished_special(self, text: str, at: int) -> int:
+        """Length of the longest end of text[at:] that begins a special token."""
+        return next((k for k in range(min(self.longest - 1, len(text) - at), 0, -1) if text[len(text) - k :] in self.beginnings), 0)
 
     def learn(self, words: list[str]) -> None:
-        for w in words:
-            if w.startswith("\0\0") and w[2:] in self.merges.special:
-                self.ids[w] = np.array([self.merges.special[w[2:]]], "<u4").tobytes()
-                self.text[w] = w[2:].encode()
-        words = [w for w in words if w not in self.ids]
         for w, ids in zip(words, self.merges.words([w.encode() for w in words]), strict=True):
-            self.ids[w] = ids.astype("<u4").tobytes()
-            self.text[w] = b" ".join([self.named[i] for i in ids.tolist()])
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and its words."""
-        if len(self.ids) > CACHE:
-            self.ids.clear()
-            self.text.clear()
-        split = [self.split(t) for t in texts]
-        self.learn(list({w for s in split for w in s if w not in self.ids}))
-        get = self.ids.__getitem__
-        return [(b"".join(map(get, s)), s) for s in split]
-
-    def library_text(self, ids: bytes) -> bytes:
-        """What the library's decode makes of ids where a file names no decoder: the tokens, joined by a space."""
-        return b" ".join([self.named[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
-    def texts(self, chunks):
-        """Readable text of ids that come in chunks, as soon as its bytes are complete: a state machine over UTF-8 bytes."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for chunk in chunks:
-            out = ""
-            for i in chunk:
-                if i in self.merges.bytes:
-                    out += state.decode(self.merges.bytes[i])
-                    if self.merges.suffix and self.merges.tokens[i].endswith(self.merges.suffix):
-                        out += state.decode(b" ")
-                else:
-                    out += state.decode(b"", True) + self.merges.tokens[i]
-                    state.reset()
-            yield out
-        yield state.decode(b"", True)
+            self.ids[w] = self.packed(ids)
+
+    def rounds(self, texts: list[str]) -> Iterator[list[tuple[int, bytes]]]:
+        """The texts take turns, a chunk each: (text, its next ids as little-endian unsigned 32-bit integers)."""
+        live = [(k, t, Transducer(self)) for k, t in enumerate(texts) if t]
+        at = 0
+        while live:
+            if len(self.ids) > CACHE:
+                self.ids.clear()
+            parts = [(k, d.feed(t[at : at + CHUNK], at + CHUNK >= len(t))) for k, t, d in live]
+            self.learn(list({w for _, p in parts for w in p if isinstance(w, str) and w not in self.ids}))
+            get = self.ids.__getitem__
+            yield [(k, b"".join([get(w) if isinstance(w, str) else w for w in p])) for k, p in parts]
+            at += CHUNK
+            live = [(k, t, d) for k, t, d in live if at < len(t)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for turn in self.rounds(texts):
+            for k, ids in turn:
+                out[k].append(ids)
+        return [b"".join(x) for x in out]
+
+
+class Decoder:
+    """Ids in pieces to text, each piece's as soon as its characters are complete."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids) -> str:
+        merges, out = self.codec.merges, []
+        for i in ids:
+            if i in merges.bytes:
+                out.append(self.bytes.decode(merges.bytes[i]))
+                if merges.suffix and merges.tokens[i].endswith(merges.suffix):
+                    out.append(self.bytes.decode(b" "))
+            else:
+                out.append(self.bytes.decode(b"", True) + merges.tokens[i])
+                self.bytes.reset()
+        return "".join(out)
+
+    def finish(self) -> str:
+        return self.bytes.decode(b"", True)
+
+
+class LibraryDecoder:
+    """Ids in pieces to the bytes of what the library's decode gives where a file names no decoder: the tokens' letters, with a space between."""
+
+    def __init__(self, codec: Codec):
+        self.named, self.due = codec.named, b""
+
+    def feed(self, ids: bytes) -> bytes:
+        if not ids:
+            return b""
+        before, self.due = self.due, b" "
+        return before + b" ".join([self.named[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 _codecs: dict[str, Codec] = {}
@@ -268,15 +405,18 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256"
 def digests(path: str):
     def run(it):
         c = codec(path)
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, "text")):
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in batches(texts):
-                rows = []
-                for doc, (ids, _) in zip(docs[i:j], c.encode(texts[i:j]), strict=True):
-                    rows.append((doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.library_text(ids)).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+            n, of_ids, of_text, decoders = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts], [LibraryDecoder(c) for _ in texts]
+            for turn in c.rounds(texts):
+                for k, ids in turn:
+                    n[k] += len(ids) // 4
+                    of_ids[k].update(ids)
+                    of_text[k].update(decoders[k].feed(ids))
+            cols = docs, n, [h.hexdigest() for h in of_ids], [h.hexdigest() for h in of_text]
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(cols, OUT, strict=True)], schema=OUT)
 
-    return run
+    return lean(run)
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -284,13 +424,11 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(it):
         c = codec(path)
-        for batch in it:
-            docs_, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in batches(texts):
-                ids = [np.frombuffer(b, "<u4").astype(np.int32) for b, _ in c.encode(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([docs_.slice(i, j - i).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        for batch in (part for whole in it for part in slices(whole, "text")):
+            ids = [np.frombuffer(b, "<u4").astype(np.int32) for b in c.encode([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -299,10 +437,13 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     def run(it):
         c = codec(path)
         for batch in it:
-            texts = ["".join(c.texts([ids or []])) for ids in batch.column(1).to_pylist()]
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                d = Decoder(c)
+                texts.append(d.feed(ids or []) + d.finish())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
