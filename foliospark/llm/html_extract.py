@@ -2,7 +2,7 @@
 
 A page is read into text blocks with their place in the element tree. Fixed log-odds of tags, class names, link density
 and length give each run of blocks of one container a cost for either label; the costs are the capacities to the two
-terminals. Runs that are adjacent, or near in the tree, are tied by smoothness edges. The maximum flow saturates the
+terminals. Names are evidence by degrees: only one whose every word is of boilerplate settles the matter. Runs that are adjacent, or near in the tree, are tied by smoothness edges. The maximum flow saturates the
 cheapest cut, and what stays connected to the source is content.
 """
 
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .memory import lean, slices
+
 #: Element names of the HTML standard by their part in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "svg", "math", "noscript"}
@@ -46,6 +48,16 @@ BAD = {
 GOOD = {"article", "content", "main", "post", "entry", "story", "body", "text", "prose"}
 HEADER = {"header", "topbar"}
 BESIDE = {"has", "with", "no", "without", "is"}
+#: Words of names that only say where a part stands or how it is built.
+PLACE = {
+    "site", "page", "global", "top", "bottom", "left", "right", "upper", "lower", "inner", "outer", "wrapper", "wrap", "container", "holder", "box", "bar", "block", "section", "area", "panel", "region", "zone", "row", "col",
+    "column", "grid", "list", "item", "items", "group", "set", "link", "links", "button", "buttons", "btn", "icon", "icons", "title", "heading", "label", "primary", "secondary", "fixed", "sticky", "slot", "unit", "posts",
+    "articles", "stories", "entries", "js", "wp",
+}
+#: Words that make a phrase of a name ("side by side", "alert free"): what stands beside them isn't what the element is.
+PHRASE = {"by", "free", "of", "to", "for", "in", "on", "and", "or", "non", "not", "less", "vs"} | BESIDE
+#: Log-odds of a name that is boilerplate in part: with two such words or as its last one, as another, and of weak evidence.
+MOST, PART, WEAK = -8.0, -6.0, -1.0
 
 TAG = re.compile(r"""<(?:!--(?:.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -63,6 +75,7 @@ class Element(NamedTuple):
     odds: float
     article: bool
     container: Element | None
+    named: int  # number of the outermost element around the text whose name is against it, 0 for none
 
 
 class Block(NamedTuple):
@@ -71,9 +84,34 @@ class Block(NamedTuple):
     linked: int
 
 
-def element_odds(tag: str, raw: str, parent: Element) -> float:
-    """Log-odds that an element adds to its text."""
-    odds = TAGS.get(tag, 0.0)
+def name_odds(words: list[str], soft: bool) -> float:
+    """Log-odds of one class name or id, from its words.
+
+    A name settles the matter only if all of its words are of boilerplate or of place; otherwise it is evidence that
+    text can outweigh. soft: a name of several words is weak evidence.
+    """
+    bad = [w in BAD for w in words]
+    if not any(bad):
+        return 2.0 if not GOOD.isdisjoint(words) else 0.0
+    if words[0] in BESIDE:  # "has-sidebar" and the like tell what stands beside an element, not what it is
+        return 0.0
+    if not PHRASE.isdisjoint(words):
+        return WEAK
+    rest = [w for w, b in zip(words, bad, strict=True) if not b and w not in PLACE and not w.isdigit() and len(w) > 2]
+    if not rest:
+        return WEAK if soft and len(words) > 1 else NEVER
+    if all(w in GOOD for w in rest):  # comment-body, article-footer, newsletter-article
+        return WEAK if soft else MOST
+    if words[-1] in GOOD:
+        return WEAK
+    if soft:
+        return WEAK
+    return MOST if sum(bad) > 1 or bad[-1] else PART
+
+
+def element_odds(tag: str, raw: str, parent: Element, soft: bool = False) -> tuple[float, bool]:
+    """Log-odds that an element adds to its text, and whether its name is against it."""
+    odds, against = TAGS.get(tag, 0.0), False
     if tag == "header" and not parent.article:
         odds = NEVER
     if raw and tag not in ("html", "body") and not raw.isspace():
@@ -81,25 +119,27 @@ def element_odds(tag: str, raw: str, parent: Element) -> float:
         for k, a, b, c in ATTRIBUTE.findall(raw):
             attributes.setdefault(k.lower(), a or b or c)
         if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
-            return NEVER
+            return NEVER, False
         if attributes.get("role", "").lower() in ROLES:
-            return NEVER
-        # "has-sidebar" and the like tell what stands beside an element, not what it is
-        words = [[n.lower() for n in NAMES(w)] for k in ("class", "id") for w in attributes.get(k, "").split()]
-        names = {n for w in words if w and w[0] not in BESIDE for n in w}
-        if names:
-            good = names & GOOD
-            if names & BAD and tag not in ("article", "main"):
-                return NEVER
-            if names & HEADER and not parent.article:
-                return NEVER
-            odds += 2.0 * bool(good)
-    return odds
-
-
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Missing and misplaced end tags are put right as far as text needs it."""
-    root = Element("", 0, 0, None, 0.0, False, None)
+            return NEVER, False
+        names = [[n.lower() for n in NAMES(w)] for k in ("class", "id") for w in attributes.get(k, "").split()]
+        evidence = [name_odds(n, soft) for n in names if n]
+        if evidence:
+            if any(n and HEADER.issuperset(w for w in n if w not in PLACE) and not HEADER.isdisjoint(n) for n in names) and not parent.article:
+                evidence.append(WEAK if soft else NEVER)
+            worst = min(evidence)
+            if worst < 0 and tag not in ("article", "main"):
+                odds, against = odds + worst, worst <= PART
+            odds += max(0.0, max(evidence))
+    return max(NEVER, odds), against
+
+
+def blocks(page: str, soft: frozenset[int] = frozenset()) -> list[Block]:
+    """Text blocks in page order. Missing and misplaced end tags are put right as far as text needs it.
+
+    soft: numbers of elements whose names are weak evidence.
+    """
+    root = Element("", 0, 0, None, 0.0, False, None, 0)
     root = root._replace(container=root)
     stack = [root]
     out: list[Block] = []
@@ -181,10 +221,11 @@ def blocks(page: str) -> list[Block]:
             state["links"] += 1
         parent = stack[-1]
         state["number"] += 1
-        e = Element(tag, state["number"], parent.depth + 1, parent, max(NEVER, parent.odds + element_odds(tag, m[3], parent)), parent.article or tag in ("article", "main"), None)
+        odds, against = element_odds(tag, m[3], parent, state["number"] in soft)
+        e = Element(tag, state["number"], parent.depth + 1, parent, max(NEVER, parent.odds + odds), parent.article or tag in ("article", "main"), None, parent.named or against * state["number"])
         stack.append(e._replace(container=parent.container) if tag in FLOW or tag in INLINE else e)
         if stack[-1].container is None:
-            stack[-1] = Element(*e[:6], e)
+            stack[-1] = e._replace(container=e)
     flush()
     return out
 
@@ -306,9 +347,22 @@ def label(found: list[Block]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text of a page: content blocks in page order, joined by a space. Empty for null, empty and textless pages."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, keep in zip(found, label(found), strict=True) if keep)
+    """The main text of a page: content blocks in page order, joined by a space. Empty for null, empty and textless pages.
+
+    Where nothing is content, the name of the element that holds most of the text, a quarter at least, is taken as weak
+    evidence and the cut is run again, so that no article is lost for the name of an element around it.
+    """
+    soft: set[int] = set()
+    while True:
+        found = blocks(page or "", frozenset(soft))
+        keep = label(found)
+        held: dict[int, int] = {}
+        for b in found:
+            if b.element.named and b.element.named not in soft:
+                held[b.element.named] = held.get(b.element.named, 0) + len(b.text)
+        if any(keep) or 4 * max(held.values(), default=0) < max(1, sum(len(b.text) for b in found)):
+            return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
+        soft.add(max(held, key=lambda n: (held[n], -n)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -318,12 +372,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
 
     def run(it):
-        for batch in it:
+        for batch in (part for whole in it for part in slices(whole, "html")):
             texts = [main_text(p) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
