@@ -148,9 +148,10 @@ def brute_cut(rows, length=50):
 
 def test_substring_against_brute_force(docs, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "TOGETHER", 500)
-    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 128 << 10)
+    monkeypatch.setattr(substring_dedup, "PIECE", 1000)
     want = brute_cut(rows)
-    got = substring_dedup.substring_dedup(docs, with_bytes=True).collect()
+    got = substring_dedup.substring_dedup(docs, with_bytes=True, part_bytes=10_000, task_bytes=10_000).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]

@@ -203,7 +203,7 @@ def test_lm_pieces_of_one_block(docs, monkeypatch):
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        monkeypatch.setattr(lm_score, "BLOCK_ROWS", 10)
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", 80 << 10)
         two = {r.doc_id: r.score for r in lm_score.lm_score(docs).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -229,10 +229,33 @@ def test_bpe_equals_the_library(codec, library, rows):
     rng = random.Random(5)
     pool = list("abcdefgthei '!?\n\t\x0b\x1c\x85\xa0ΣσςİßÉéÀ数字한국어🙂👍🏽0123456789٣ ́‍　$<|>") + ["<|endoftext|>", "<|startoftext|>", "the", "'s", "'LL", "ing", "ΑΣ "]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(2000)] + [t or "" for _, t, *_ in rows]
-    for text, (ids, _) in zip(texts, codec.encode(texts), strict=True):
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want
-        assert codec.library_text(ids).decode() == library.decode(want, skip_special_tokens=False)
+        assert bpe.LibraryDecoder(codec).feed(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("chunk, open_", [(1, 6), (2, 4), (3, 50), (7, 9), (64, 64)])
+def test_bpe_in_chunks_equals_the_library(codec, library, monkeypatch, chunk, open_):
+    """Whatever the chunks: special tokens, short forms, marks, Hangul and long words across their ends."""
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    monkeypatch.setattr(bpe, "OPEN", open_)
+    rng = random.Random(chunk)
+    pool = list("abe's '!?\n\t\xa0ΣσİßÉ数字한\u1112\u1161\u11ab🙂123\u0301\u0323\u200d$<|>") + ["<|endoftext|>", "<|startoftext|>", "<|endof", "'s", "'LL", "'re", "ing", "e\u0323\u0301", "ΑΣ ", "    ", "the the", "word" * 5, "!" * 9, "'" * 7]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(700)] + ["<|startoftext|", "'", "e", ""]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_bpe_holds_little(codec, library):
+    """A word without an end goes on as a stream: what is held doesn't grow with it."""
+    d, most, out = bpe.Transducer(codec), 0, b""
+    for k in range(60):
+        for w in d.feed("abcdefgh" * 2000, k == 59):
+            out += w if isinstance(w, bytes) else codec.packed(codec.merges.words([w.encode()])[0])
+        most = max(most, len(d.held) + len(d.raw) + len(d.tail) + (len(d.open.held) if d.open else 0))
+    assert most < 20_000
+    assert np.frombuffer(out, "<u4").tolist() == library.encode("abcdefgh" * 120_000, add_special_tokens=False).ids
 
 
 def test_bpe_stream_is_stable_whatever_the_chunks(codec, library):
@@ -295,9 +318,11 @@ def test_bpe_query_and_tables(spark, docs, rows, odd, empty, library):
 
 
 def test_decoder_state_machine(codec):
-    ids = np.frombuffer(codec.encode(["Ünïcode 数字 🙂"])[0][0], "<u4").tolist()
-    whole = "".join(codec.texts([ids]))
-    assert whole == "".join(codec.texts([[i] for i in ids])) == "ünïcode 数字 🙂 "
+    ids = np.frombuffer(codec.encode(["Ünïcode 数字 🙂"])[0], "<u4").tolist()
+    one, two = bpe.Decoder(codec), bpe.Decoder(codec)
+    assert one.feed(ids) + one.finish() == "".join([*(two.feed([i]) for i in ids), two.finish()]) == "ünïcode 数字 🙂 "
+    raw, joined, parts = np.array(ids, "<u4").tobytes(), bpe.LibraryDecoder(codec), bpe.LibraryDecoder(codec)
+    assert joined.feed(raw) == b"".join(parts.feed(raw[k : k + 4]) for k in range(0, len(raw), 4))
 
 
 def test_vocabulary_spec_is_checked(tmp_path):
