@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import cache
 from urllib.parse import parse_qsl, quote_plus, urlsplit
 
 import pandas as pd
@@ -22,9 +23,29 @@ HOSTS = {"youtube.com": {"si", "pp", "feature"}, "youtu.be": {"si", "t"}, "open.
 AMP_CACHE = ".cdn.ampproject.org"
 
 
-def _tracks(name: str, host: str) -> bool:
-    name = name.lower()
-    return name in TRACKING or name.startswith(PREFIXES) or name in HOSTS.get(host, ())
+@cache
+def tracker(host: str) -> re.Pattern:
+    """Names of query parameters that go on a host."""
+    names = sorted(TRACKING | HOSTS.get(host, set()))
+    return re.compile("|".join([*map(re.escape, names), *(re.escape(p) + ".*" for p in PREFIXES)]), re.I | re.S)
+
+
+def plain_path(path: str) -> str:
+    """A path without the marks of its accelerated form: a segment `amp` at the end, the first one inside, and the ending .amp."""
+    head, *parts = path.split("/")
+    is_amp = [p.lower() == "amp" for p in parts]
+    last = len(parts) - 1 if parts and parts[-1] else len(parts) - 2  # of the segments that have a name
+    if last >= 0 and is_amp[last]:
+        parts[last:], is_amp[last:] = [""], [False]
+    if True in is_amp[:-1]:
+        del parts[is_amp.index(True)]
+    if parts:
+        stem, dot, ending = parts[-1].rpartition(".")
+        if dot and ending.lower() in ("htm", "html") and stem.lower().endswith(".amp"):
+            parts[-1] = stem[: -len(".amp")] + dot + ending
+        elif parts[-1].lower().endswith(".amp"):
+            parts[-1] = parts[-1][: -len(".amp")]
+    return "/".join([head, *parts])
 
 
 def canonical_url(raw: str | None) -> str | None:
@@ -45,13 +66,12 @@ def canonical_url(raw: str | None) -> str | None:
     if cached:
         host, path = cached[1].lower(), cached[2] or "/"
     host = host.removeprefix("www.").removeprefix("amp.")
-    path = re.sub(r"(?i)/amp/?$", "/", path, count=1)
-    path = re.sub(r"(?i)/amp/", "/", path, count=1)
-    path = re.sub(r"(?i)\.amp(\.html?)?$", lambda m: m[1] or "", path, count=1)
+    path = plain_path(path)
     path = re.sub(r"[^!-~]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), path)
     if len(path) > 1:
         path = path.rstrip("/") or "/"
-    kept = sorted(((k, v) for k, v in parse_qsl(query, keep_blank_values=True) if not _tracks(k, host)), key=lambda x: x[0])
+    goes = tracker(host if host in HOSTS else "").fullmatch
+    kept = sorted(((k, v) for k, v in parse_qsl(query, keep_blank_values=True) if not goes(k)), key=lambda x: x[0])
     form = lambda x: quote_plus(x, safe="*").replace("~", "%7E")
     return f"https://{host}{path}" + ("?" + "&".join(f"{form(k)}={form(v)}" for k, v in kept) if kept else "")
 

@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import Store
+
+#: Rows of a page if none are asked for, and at most.
+PAGE, MOST_PAGE = 20, 100
+
 
 def top(df: DataFrame, key: Column | str, n: int, name: str = "key") -> DataFrame:
     """The n most frequent values, ties by value: partial counts, then a bounded top-k."""
@@ -41,6 +46,30 @@ def offset_page(df: DataFrame, order: Sequence[Column], page: int, size: int) ->
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def page_size(asked: int | None) -> int:
+    """Rows of a page: PAGE by default; more than MOST_PAGE or less than one isn't allowed."""
+    if asked is not None and not 1 <= asked <= MOST_PAGE:
+        raise ValueError(f"a page has 1 to {MOST_PAGE} rows")
+    return asked or PAGE
+
+
+def search_page(hits: DataFrame, docs: DataFrame, offset: int = 0, size: int | None = None, sort: str = "relevance") -> DataFrame:
+    """One page of search hits (id, score) with their documents (id, createdAt, ...), `total` and `next`.
+
+    The engine's order (score, then id) cuts the page; `sort` (relevance, asc, desc by creation) orders the rows inside
+    it, in `place`. next: the offset of the next page, null on the last one. Hits without a document are dropped after
+    the cut, as a page is cut from what the index holds.
+    """
+    n = page_size(size)
+    total = hits.agg(F.count(F.lit(1)).alias("total"))
+    page = hits.orderBy(F.desc("score"), "id").offset(offset).limit(n)
+    reached = page.agg((F.count(F.lit(1)) + offset).alias("reached"))
+    order = {"relevance": [F.desc("score"), F.asc("id")], "asc": [F.asc("createdAt"), F.asc("id")], "desc": [F.desc("createdAt"), F.asc("id")]}[sort]
+    rows = page.join(docs, "id").withColumn("place", F.row_number().over(Window.orderBy(*order)))  # a page is MOST_PAGE rows at most
+    edge = total.crossJoin(reached).select("total", F.when(F.col("reached") < F.col("total"), F.col("reached")).alias("next"))  # one row each
+    return rows.crossJoin(F.broadcast(edge))
+
+
 def first_per(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in the given order."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -93,15 +122,46 @@ def latency_histogram(df: DataFrame, value: str, buckets: Sequence[float]) -> Da
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def tree_paths(nodes: DataFrame, levels: int = 64) -> DataFrame:
-    """id, depth, path (names joined by /) of the nodes (id, parentId, name) under roots; cycles are never reached."""
-    nodes.createOrReplaceTempView("__tree")
-    return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE t (id, name, depth, path) MAX RECURSION LEVEL {levels} AS (
-              SELECT id, name, 0, name FROM __tree WHERE parentId IS NULL
-              UNION ALL SELECT c.id, c.name, t.depth + 1, concat(t.path, '/', c.name) FROM __tree c JOIN t ON c.parentId = t.id)
-            SELECT id, depth, path FROM t"""
-    )
+def climbed(nodes: DataFrame, store: Store) -> DataFrame:
+    """id, top (the ancestor that was reached) and steps for the nodes (id, parentId); top is null under a root.
+
+    Each round doubles the steps, so a tree of depth d takes log2(d) rounds. What still has a top when nothing changes
+    any more hangs below a missing parent; what still has one after as many rounds as the table allows is on a cycle or
+    below one.
+    """
+    have = nodes.select(F.col("id").alias("top"), F.lit(True).alias("there"))
+    now = store.table(nodes.select("id", F.col("parentId").alias("top"), F.when(F.col("parentId").isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    rounds = max(1, nodes.count()).bit_length() + 1
+    for _ in range(rounds):
+        if now.filter("top IS NOT NULL").join(have, "top", "left_semi").isEmpty():
+            break
+        up = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.lit(True).alias("there"))
+        far = F.col("there").isNotNull()
+        now = store.table(now.join(up, "top", "left").select("id", F.when(far, F.col("next")).otherwise(F.col("top")).alias("top"), (F.col("steps") + F.when(far, F.col("more")).otherwise(0)).alias("steps")))
+    return now
+
+
+def rooted(nodes: DataFrame, store: Store | None = None) -> DataFrame:
+    """The nodes (id, parentId, ...) with those as roots that no root reaches: on a cycle, below one, or below a missing parent."""
+    reached = climbed(nodes, store or Store(nodes.sparkSession, "tree")).select("id", F.col("top").isNull().alias("__reached"))
+    return nodes.join(reached, "id").withColumn("parentId", F.when(F.col("__reached"), F.col("parentId"))).drop("__reached").select(nodes.columns)
+
+
+def tree_paths(nodes: DataFrame, lost_to_root: bool = False) -> DataFrame:
+    """id, depth, path (names joined by /) of the nodes (id, parentId, name) under roots, at any depth.
+
+    Nodes that no root reaches (cycles, missing parents) are left out, or with lost_to_root each is a root itself.
+    """
+    store = Store(nodes.sparkSession, "tree")
+    if lost_to_root:
+        nodes = rooted(nodes, store)
+    good = climbed(nodes, store).filter("top IS NULL").select("id", "steps")
+    most = good.agg(F.max("steps")).first()[0] or 0
+    now = store.table(nodes.join(good, "id").select("id", F.col("parentId").alias("top"), F.array("name").alias("names"), "steps"))
+    for _ in range(int(most).bit_length()):
+        up = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("names").alias("before"))
+        now = store.table(now.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("before", F.array().cast("array<string>")), "names").alias("names"), "steps"))
+    return now.select("id", F.col("steps").cast("int").alias("depth"), F.array_join("names", "/").alias("path"))
 
 
 def stats(bookmarks: DataFrame, now) -> DataFrame:

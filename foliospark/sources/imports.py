@@ -141,7 +141,9 @@ def collection_json(spark: SparkSession, path: str) -> DataFrame:
     schema = "collections array<struct<id:long,name:string,parentId:long,links:array<struct<name:string,url:string,tags:array<struct<name:string>>,createdAt:string>>>>"
     found = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("collections").alias("c")).select("c.*")
     sep = "\x1f"
-    paths = tree_paths(found.select(F.col("id").cast("string").alias("id"), F.col("parentId").cast("string").alias("parentId"), F.translate("name", "/", sep).alias("name")))
+    known = found.select(F.col("id").alias("__up"))  # below a collection that the file doesn't have, a path begins
+    nodes = found.join(known, F.col("parentId") == F.col("__up"), "left").select(F.col("id").cast("string").alias("id"), F.col("__up").cast("string").alias("parentId"), F.translate("name", "/", sep).alias("name"))
+    paths = tree_paths(nodes, lost_to_root=True)
     paths = paths.select(F.col("id").cast("long").alias("id"), F.transform(F.split("path", "/"), lambda p: F.translate(p, sep, "/")).alias("path"))
     links = found.select("id", "name", F.explode("links").alias("l")).join(paths, "id", "left")
     at = F.array(F.coalesce("path", F.array("name")))
