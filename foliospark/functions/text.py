@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +29,12 @@ def without_hash(c: Column) -> Column:
     return F.regexp_replace(c, r"^#+", "")
 
 
+#: Signs of HTML and their references, in the order of replacement.
+ESCAPES = (("&", "&amp;"), ("'", "&#x27;"), ("`", "&#x60;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))
+
+
 def escape_html(c: Column) -> Column:
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for sign, name in ESCAPES:
         c = F.replace(c, F.lit(sign), F.lit(name))
     return c
 
@@ -59,13 +65,83 @@ def token_estimate(c: Column) -> Column:
 
 def truncate_to(text: str, budget: int) -> str:
     """The longest beginning whose token estimate stays within the budget."""
-    cost = 0.0
-    pattern = re.compile(CJK)
-    for k, ch in enumerate(text):
-        cost += 1.5 if pattern.match(ch) else 0.35
-        if -(-cost // 1) > budget + 1e-9:
-            return text[:k]
-    return text
+    dense = np.fromiter(map(bool, map(re.compile(CJK).match, text)), bool, len(text))
+    cost = np.ceil(np.cumsum(dense) * 1.5 + np.cumsum(~dense) * 0.35 - 1e-9)
+    return text[: int(np.searchsorted(cost, budget, "right"))]
+
+
+def truncated(c: Column, budget: int) -> Column:
+    """truncate_to as a column."""
+
+    @F.pandas_udf(T.StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else truncate_to(t, budget))
+
+    return cut(c)
+
+
+class _Plain(HTMLParser):
+    """Text of a page by blocks: paragraphs and headings apart by an empty line, list items and lines by one end; addresses of links in brackets."""
+
+    GAP = {"p": 2, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "blockquote": 2, "ul": 2, "ol": 2, "table": 2, "pre": 2, "div": 1, "li": 1, "tr": 1, "section": 1, "article": 1, "br": 1, "header": 1, "footer": 1, "main": 1, "nav": 1, "aside": 1}
+    SILENT = {"script", "style", "head", "title", "noscript", "template"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.gap, self.silent, self.space, self.links = 0, 0, False, []
+
+    def block(self, tag):
+        self.gap, self.space = max(self.gap, self.GAP[tag]), False
+
+    def say(self, text):
+        if self.gap and self.out:
+            self.out.append("\n" * self.gap)
+        elif self.space and self.out:
+            self.out.append(" ")
+        self.gap, self.space = 0, False
+        self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in self.SILENT
+        if tag in self.GAP:
+            self.block(tag)
+        if tag == "li":
+            self.say(" * ")
+        elif tag == "a":
+            self.links.append((dict(attrs).get("href") or "", len(self.out)))
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in self.SILENT and self.silent > 0
+        if tag == "a" and self.links:
+            href, at = self.links.pop()
+            if href and "".join(self.out[at:]).strip() not in ("", href):
+                self.space = True
+                self.say(f"[{href}]")
+        if tag in self.GAP and tag != "br":
+            self.block(tag)
+
+    def handle_data(self, data):
+        words = data.split()
+        if self.silent or not words:
+            self.space |= bool(data) and not self.silent
+            return
+        self.space |= data[0].isspace() and bool(self.out) and not self.out[-1].endswith(" ")
+        self.say(" ".join(words))
+        self.space = data[-1].isspace()
+
+
+def html_plain_text(page: str | None) -> str:
+    """Readable text of a page by its elements; images, scripts and styles have none."""
+    reader = _Plain()
+    reader.feed(page or "")
+    reader.close()
+    return "".join(reader.out).strip()
+
+
+@F.pandas_udf(T.StringType())
+def html_plain(c: pd.Series) -> pd.Series:
+    return c.map(html_plain_text)
 
 
 def string_hash(text: str) -> int:
@@ -182,26 +258,38 @@ def html_pieces(html: str, most: int) -> list[str]:
     return [*out, held] if held else out
 
 
-def robots_allow(rules: str, agent: str, path: str) -> bool:
-    """Whether a robots file lets an agent fetch a path: the longest matching rule of the agent's group, or of *, wins; allow on a tie."""
-    groups: dict[str, list[tuple[bool, str]]] = {}
-    current: list[str] = []
-    heads = False
-    for line in rules.splitlines():
-        name, colon, value = line.split("#", 1)[0].partition(":")
-        name, value = name.strip().lower(), value.strip()
-        if not colon:
-            continue
+def robots_rules(rules: str, agent: str) -> tuple[list[tuple[str, bool]], float | None]:
+    """The rules (path, allowed) and the crawl delay of an agent's group in a robots file, else of the group for all."""
+    lines = [line.split("#", 1)[0].partition(":") for line in (rules or "").splitlines()]
+    fields = [(name.strip().lower(), value.strip()) for name, colon, value in lines if colon]
+    found: dict[str, tuple[list, list]] = {}
+    heads: list[str] = []
+    for k, (name, value) in enumerate(fields):
         if name == "user-agent":
-            current = [*current, value.lower()] if heads else [value.lower()]
-            groups.setdefault(value.lower(), [])
-        elif name in ("allow", "disallow") and value:
-            for a in current:
-                groups[a].append((name == "allow", value))
-        heads = name == "user-agent"
-    own = groups.get(agent.lower(), groups.get("*", []))
-    best = max(((len(p), ok) for ok, p in own if path.startswith(p)), default=(0, True))
-    return best[1]
+            heads = [*(heads if k and fields[k - 1][0] == "user-agent" else []), value.lower()]
+            found.setdefault(value.lower(), ([], []))
+        for own, delays in (found[h] for h in heads):
+            if name in ("allow", "disallow") and value:
+                own.append((value, name == "allow"))
+            elif name == "crawl-delay" and re.fullmatch(r"\d+(\.\d+)?", value):
+                delays.append(float(value))
+    own, delays = found.get(agent.lower(), found.get("*", ([], [])))
+    return own, delays[-1] if delays else None
+
+
+def robots_allow(rules: str, agent: str, path: str) -> bool:
+    """Whether a robots file lets an agent fetch a path: the longest matching rule of its group wins; allow on a tie."""
+    return max(((len(p), ok) for p, ok in robots_rules(rules, agent)[0] if path.startswith(p)), default=(0, True))[1]
+
+
+def robots(rules: Column, path: Column, agent: str) -> Column:
+    """struct<allowed boolean, delay double> of a path under a robots file."""
+
+    @F.pandas_udf("allowed boolean, delay double")
+    def judge(files: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"allowed": [robots_allow(r or "", agent, p or "/") for r, p in zip(files, paths, strict=True)], "delay": [robots_rules(r or "", agent)[1] for r in files]}).astype({"delay": "float64"})
+
+    return judge(rules, path)
 
 
 def salvaged_objects(raw: str) -> list[dict]:
@@ -222,3 +310,111 @@ def salvaged_objects(raw: str) -> list[dict]:
             except ValueError:
                 continue
     return found
+
+
+#: Keys of an item of a batch answer.
+ITEM = ("title_ja", "summary_ja")
+
+
+def _digest(item) -> tuple[str, str | None] | None:
+    """(title, summary or None) of one answered item; None if a text is missing or the title is empty."""
+    texts = [item.get(k) for k in ITEM] if isinstance(item, dict) else [None]
+    if not all(isinstance(x, str) for x in texts):
+        return None
+    title, summary = (x.strip() for x in texts)
+    return (title, summary or None) if title else None
+
+
+def _number(item) -> int | None:
+    value = item.get("id") if isinstance(item, dict) else None
+    if isinstance(value, bool):
+        return None
+    return value if isinstance(value, int) else int(value) if isinstance(value, str) and value.strip().isdecimal() else None
+
+
+def _between(raw: str, first: str, last: str):
+    """The JSON value from the first to the last bracket of a kind, or None."""
+    a, z = raw.find(first), raw.rfind(last)
+    try:
+        return json.loads(raw[a : z + 1]) if 0 <= a < z else None
+    except ValueError:
+        return None
+
+
+def digests(raw: str | None) -> dict[int, tuple[str, str | None]]:
+    """Items of a batch answer by number: a list, an object with a list in it, an object by numbers, or what can be saved of a garbled one.
+
+    A list's items without a number count from 1; of a garbled answer only items with a number are taken.
+    """
+    raw = (raw or "").strip()
+    shapes = sorted((("{", "}"), ("[", "]")), key=lambda s: raw.find(s[0]) if s[0] in raw else len(raw))
+    value = next((v for v in (_between(raw, *s) for s in shapes) if v is not None), None)
+    while isinstance(value, dict) and (inner := next((v for v in value.values() if isinstance(v, list)), None)) is not None:
+        value = inner
+    if isinstance(value, list):
+        items = [(n if (n := _number(x)) is not None else k, x) for k, x in enumerate(value, 1)]
+    else:
+        items = [(int(k), v) for k, v in value.items() if k.isdecimal()] if isinstance(value, dict) else []
+    for found in (items, [(_number(x), x) for x in salvaged_objects(raw)]):
+        out = {n: d for n, x in found if n is not None and (d := _digest(x))}
+        if out:
+            return out
+    return {}
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("summary", T.StringType())])))
+def digest_items(c: pd.Series) -> pd.Series:
+    """digests as a column, by number."""
+    return c.map(lambda raw: [{"id": n, "title": t, "summary": s} for n, (t, s) in sorted(digests(raw).items())])
+
+
+def one_line(c: Column) -> Column:
+    """White space unified; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+
+
+def shortened_text(c: Column, most: int) -> Column:
+    """At most so many characters, the last one an ellipsis where something is cut."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("…")))
+
+
+#: Characters of an embedding text, of its content excerpt and of metadata.
+PROFILE_CHARS, EXCERPT_CHARS, METADATA_CHARS = 8000, 3000, 800
+
+
+def bookmark_profile(b: dict[str, Column], most: int = PROFILE_CHARS) -> Column:
+    """The text that a bookmark is embedded by: labelled lines of what is there, the content last, in paragraphs.
+
+    b: columns title, type, tags (array), summary, note; of links url, linkTitle, description, author, publisher,
+    published (a date), content; of texts sourceUrl, text; of assets sourceUrl, fileName, assetType, metadata (JSON), content.
+    Columns that aren't given count as null.
+    """
+    col = lambda n, t="string": b.get(n, F.lit(None)).cast(t)
+    is_ = lambda t: col("type") == t
+    labelled = lambda name, c: F.concat(F.lit(f"{name}: "), one_line(c))
+    host = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+)$", "$1/"), r"^\s+|\s+$", "")
+    pairs = F.map_entries(F.from_json(col("metadata"), "map<string,string>"))
+    simple = F.filter(pairs, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^[\[{]"))
+    fields = F.nullif(F.array_join(F.transform(simple, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; "), F.lit(""))
+    metadata = shortened_text(one_line(F.coalesce(fields, col("metadata"))), METADATA_CHARS)
+    budget = max(500, min(EXCERPT_CHARS, int(most * 0.4)))
+    content = F.when(is_("text"), col("text")).otherwise(col("content"))
+    tags = F.array_join(F.sort_array(b["tags"]), ", ") if "tags" in b else F.lit(None).cast("string")
+    other_title = F.when(~one_line(col("linkTitle")).eqNullSafe(one_line(col("title"))), col("linkTitle"))
+    parts = [
+        labelled("Title", col("title")), F.concat(F.lit("Type: "), col("type")), labelled("Tags", tags), labelled("Summary", col("summary")), labelled("Note", col("note")),
+        *[F.when(is_("link"), c) for c in (
+            labelled("Domain", host(col("url"))), labelled("URL", bare(col("url"))), labelled("Page title", other_title), labelled("Description", col("description")), labelled("Author", col("author")),
+            labelled("Publisher", col("publisher")), labelled("Published", F.date_format(col("published", "timestamp"), "yyyy-MM-dd")),
+        )],
+        *[F.when(~is_("link"), c) for c in (labelled("Source URL", bare(col("sourceUrl"))), labelled("Source domain", host(col("sourceUrl"))))],
+        *[F.when(is_("asset"), c) for c in (labelled("File name", col("fileName")), labelled("Asset type", col("assetType")), labelled("Metadata", metadata))],
+        F.concat(F.lit("Content excerpt: "), shortened_text(one_line(content), budget)),
+    ]
+    return F.substring(F.nullif(F.concat_ws("\n\n", *parts), F.lit("")), 1, most)
+
+
+def first_asset(assets: Column, kind: str) -> Column:
+    """Id of the first of a bookmark's assets (array<struct<id, assetType>>) of a kind, or null."""
+    return F.try_element_at(F.filter(assets, lambda a: a["assetType"] == kind), F.lit(1))["id"]

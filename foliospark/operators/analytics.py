@@ -123,41 +123,35 @@ def latency_histogram(df: DataFrame, value: str, buckets: Sequence[float]) -> Da
 
 
 def climbed(nodes: DataFrame, store: Store) -> DataFrame:
-    """id, top (the ancestor that was reached) and steps for the nodes (id, parentId); top is null under a root.
+    """id, top (the ancestor that was reached) and steps for the nodes (id, parentId); top is null for those under a root.
 
-    Each round doubles the steps, so a tree of depth d takes log2(d) rounds. What still has a top when nothing changes
-    any more hangs below a missing parent; what still has one after as many rounds as the table allows is on a cycle or
-    below one.
+    Each round doubles the steps, so a tree of depth d takes log2(d) rounds. Every depth above a node's is some node's,
+    so when a round brings no further node to a root, none will: what is left is on a cycle, below one, or below a
+    parent that doesn't exist.
     """
-    have = nodes.select(F.col("id").alias("top"), F.lit(True).alias("there"))
     now = store.table(nodes.select("id", F.col("parentId").alias("top"), F.when(F.col("parentId").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    rounds = max(1, nodes.count()).bit_length() + 1
-    for _ in range(rounds):
-        if now.filter("top IS NOT NULL").join(have, "top", "left_semi").isEmpty():
-            break
+    under = now.filter("top IS NULL").count()
+    while under:
         up = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.lit(True).alias("there"))
         far = F.col("there").isNotNull()
         now = store.table(now.join(up, "top", "left").select("id", F.when(far, F.col("next")).otherwise(F.col("top")).alias("top"), (F.col("steps") + F.when(far, F.col("more")).otherwise(0)).alias("steps")))
+        before, under = under, now.filter("top IS NULL").count()
+        if under == before:
+            break
     return now
 
 
-def rooted(nodes: DataFrame, store: Store | None = None) -> DataFrame:
-    """The nodes (id, parentId, ...) with those as roots that no root reaches: on a cycle, below one, or below a missing parent."""
-    reached = climbed(nodes, store or Store(nodes.sparkSession, "tree")).select("id", F.col("top").isNull().alias("__reached"))
-    return nodes.join(reached, "id").withColumn("parentId", F.when(F.col("__reached"), F.col("parentId"))).drop("__reached").select(nodes.columns)
-
-
 def tree_paths(nodes: DataFrame, lost_to_root: bool = False) -> DataFrame:
     """id, depth, path (names joined by /) of the nodes (id, parentId, name) under roots, at any depth.
 
     Nodes that no root reaches (cycles, missing parents) are left out, or with lost_to_root each is a root itself.
     """
     store = Store(nodes.sparkSession, "tree")
-    if lost_to_root:
-        nodes = rooted(nodes, store)
-    good = climbed(nodes, store).filter("top IS NULL").select("id", "steps")
-    most = good.agg(F.max("steps")).first()[0] or 0
-    now = store.table(nodes.join(good, "id").select("id", F.col("parentId").alias("top"), F.array("name").alias("names"), "steps"))
+    found = climbed(nodes, store)
+    reached = F.col("top").isNull()
+    found = found.select("id", reached.alias("reached"), F.when(reached, F.col("steps")).otherwise(0).alias("steps")) if lost_to_root else found.filter(reached).select("id", F.lit(True).alias("reached"), "steps")
+    now = store.table(nodes.join(found, "id").select("id", F.when(F.col("reached"), F.col("parentId")).alias("top"), F.array("name").alias("names"), "steps"))
+    most = now.agg(F.max("steps")).first()[0] or 0
     for _ in range(int(most).bit_length()):
         up = now.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("names").alias("before"))
         now = store.table(now.join(up, "top", "left").select("id", F.col("next").alias("top"), F.concat(F.coalesce("before", F.array().cast("array<string>")), "names").alias("names"), "steps"))

@@ -22,6 +22,12 @@ def retag(tags_on: DataFrame, found: DataFrame, tags: DataFrame, key) -> DataFra
     return stay.unionByName(new.join(stay, ["bookmarkId", "tagId"], "left_anti")).select("bookmarkId", "tagId", "attachedBy")
 
 
+def missing_tags(found: DataFrame, tags: DataFrame, key) -> DataFrame:
+    """Tags to create for a machine tagging (bookmarkId, name): names that match no tag by key, one for each key."""
+    new = found.select(key(F.col("name")).alias("k"), "name").filter("k <> ''").groupBy("k").agg(F.min("name").alias("name"))
+    return new.join(tags.select(key(F.col("name")).alias("k")), "k", "left_anti").select("name", "k")
+
+
 def missing_seeds(seeds: DataFrame, existing: DataFrame) -> DataFrame:
     """Seeds whose name is new; none at all for a user without sources."""
     return seeds.join(existing.select("name"), "name", "left_anti").join(existing.agg(F.count(F.lit(1)).alias("have")).filter("have > 0"), F.lit(True), "left_semi")
@@ -107,14 +113,15 @@ def metrics(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def profiles(samples: DataFrame, now: Column, half_life: float = 7.0, floor: float = 0.01) -> DataFrame:
-    """Profile vectors of (userId, positive, vector, occurredAt): stable, recent (decayed) and negative, at unit length."""
+    """Profile vectors of (userId, positive, vector, occurredAt): stable, recent (decayed) and negative, at unit length. A `weight` of the samples counts in all."""
     from ..functions.vectors import centroids, normalised
     from .recommend import decay, hours_between
 
+    own = F.col("weight") if "weight" in samples.columns else F.lit(1.0)
     kinds = {
-        "stable": (samples.filter("positive"), None),
-        "recent": (samples.filter("positive").withColumn("w", decay(hours_between(F.col("occurredAt"), now) / 24, half_life)).filter(F.col("w") >= floor), F.col("w")),
-        "negative": (samples.filter("NOT positive"), None),
+        "stable": (samples.filter("positive"), own),
+        "recent": (samples.filter("positive").withColumn("w", decay(hours_between(F.col("occurredAt"), now) / 24, half_life)).filter(F.col("w") >= floor), F.col("w") * own),
+        "negative": (samples.filter("NOT positive"), own),
     }
     out = samples.select("userId").distinct()
     for name, (df, w) in kinds.items():

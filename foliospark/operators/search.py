@@ -1,7 +1,9 @@
 """Matcher trees compiled to one plan: every leaf is a Boolean column of the caller's bookmarks.
 
-Facts of other tables (tags, lists, feeds, assets) come in as de-duplicated ids by one left join per leaf, so ids never
-reach the driver and Catalyst sees the whole tree. A leaf that isn't known counts as false.
+Facts of other tables (tags, lists, feeds, assets) are sets of ids. What every result must meet (a lone leaf, the parts of
+an `and` at the top) becomes a semi or anti join with its set; below an `or` a set comes in as a Boolean column by one
+left join with its de-duplicated ids. Ids never reach the driver and Catalyst sees the whole tree. A leaf that isn't
+known counts as false.
 """
 
 from __future__ import annotations
@@ -62,17 +64,52 @@ class Compiler:
         self.frame = self.frame.join(links, self.frame["id"] == links[f"__link{self.made}"], "left")
         return [F.col(f"__link{self.made}"), *map(F.col, names)]
 
+    def _set(self, m: Leaf) -> tuple[DataFrame, bool] | None:
+        """The ids that a leaf asks of another table, and whether they are those that don't match; None for other leaves."""
+        no, lib = m.negated, self.lib
+        if m.kind == "tag":
+            own = lib.tags.filter(F.col("name") == m.value).select(F.col("id").alias("tagId"))
+            return lib.tags_on.join(own, "tagId", "left_semi").select("bookmarkId"), no
+        if m.kind == "tagged":
+            return lib.tags_on.select("bookmarkId"), no
+        if m.kind == "in_list":
+            return lib.in_lists.select("bookmarkId"), no
+        if m.kind == "feed":
+            own = lib.feeds.filter(F.col("name") == m.value).select(F.col("id").alias("rssFeedId"))
+            return lib.feed_imports.join(own, "rssFeedId", "left_semi").select("bookmarkId"), no
+        if m.kind == "url":  # of links and of assets; a text bookmark matches neither this nor its opposite
+            there = lambda c: ~contains(F.col(c), m.value) if no else contains(F.col(c), m.value)
+            ids = lib.links.filter(there("url")).select("id")
+            return (ids if lib.assets is None else ids.union(lib.assets.filter(there("sourceUrl")).select("id"))), False
+        return None
+
     def _named_lists(self, name: str, no: bool) -> Column:
-        """Every list of the name: manual members, and what smart lists find. No list of the name: nothing, negated or not."""
-        found = self.lib.lists.filter(F.col("name") == name).select("id", "type", "query").collect()
-        if not found:
+        """Every list of the name: manual members, and what smart lists find. No list of the name: nothing, negated or not.
+
+        Only the queries of smart lists come to the driver, where they are parsed.
+        """
+        named = self.lib.lists.filter(F.col("name") == name)
+        if named.isEmpty():
             return F.lit(False)
-        manual = [r.id for r in found if r.type != "smart"]
-        inside = [self._fact(self.lib.in_lists.filter(F.col("listId").isin(manual)).select("bookmarkId"))] if manual else []
-        inside += [self.smart(r.id, r.query) for r in found if r.type == "smart"]
-        any_ = reduce(Column.__or__, inside, F.lit(False))
+        manual = named.filter("type <> 'smart'").select(F.col("id").alias("listId"))
+        inside = [self._fact(self.lib.in_lists.join(manual, "listId", "left_semi").select("bookmarkId"))]
+        inside += [self.smart(r.id, r.query) for r in named.filter("type = 'smart'").select("id", "query").limit(MOST_LISTS + 1).collect()]
+        any_ = reduce(Column.__or__, inside)
         return ~any_ if no else any_
 
+    def required(self, m: Leaf | Both) -> Column | None:
+        """Cuts the frame to what a matcher at the top finds; returns what is left to filter by."""
+        if isinstance(m, Both) and m.op == "and":
+            rest = [c for c in map(self.required, m.parts) if c is not None]
+            return reduce(Column.__and__, rest) if rest else None
+        found = self._set(m) if isinstance(m, Leaf) else None
+        if found is None:
+            return self.column(m)
+        self.made += 1
+        ids = found[0].toDF(f"__set{self.made}")
+        self.frame = self.frame.join(ids, self.frame["id"] == ids[f"__set{self.made}"], "left_anti" if found[1] else "left_semi")
+        return None
+
     def smart(self, list_id, query: str) -> Column:
         """A saved query. One that is being visited already adds nothing; text without a matcher finds nothing."""
         if list_id in self.visited or len(self.visited) >= MOST_LISTS:
@@ -94,7 +131,7 @@ class Compiler:
         return F.coalesce(self._leaf(m), F.lit(False))
 
     def _leaf(self, m: Leaf) -> Column:
-        no, lib = m.negated, self.lib
+        no = m.negated
         flip = lambda c: ~c if no else c
         if m.kind in ("archived", "favourited"):
             return F.col(m.kind) == F.lit(not no)
@@ -110,23 +147,11 @@ class Compiler:
             age: Age = m.value
             limit = F.lit(age_limit(age, self.now))
             return F.col("createdAt") >= limit if age.newer else F.col("createdAt") < limit
-        if m.kind == "tag":
-            own = lib.tags.filter(F.col("name") == m.value).select(F.col("id").alias("tagId"))
-            return flip(self._fact(lib.tags_on.join(own, "tagId", "left_semi").select("bookmarkId")))
-        if m.kind == "tagged":
-            return flip(self._fact(lib.tags_on.select("bookmarkId")))
-        if m.kind == "in_list":
-            return flip(self._fact(lib.in_lists.select("bookmarkId")))
         if m.kind == "list":
             return self._named_lists(m.value, no)
-        if m.kind == "feed":
-            own = lib.feeds.filter(F.col("name") == m.value).select(F.col("id").alias("rssFeedId"))
-            return flip(self._fact(lib.feed_imports.join(own, "rssFeedId", "left_semi").select("bookmarkId")))
-        if m.kind == "url":  # of links and of assets; a text bookmark matches neither this nor its opposite
-            ids = lib.links.filter(flip(contains(F.col("url"), m.value))).select("id")
-            if lib.assets is not None:
-                ids = ids.union(lib.assets.filter(flip(contains(F.col("sourceUrl"), m.value))).select("id"))
-            return self._fact(ids)
+        if (found := self._set(m)) is not None:
+            there = self._fact(found[0])
+            return ~there if found[1] else there
         if m.kind == "title":
             _, title = self._link("title")
             own, linked = contains(F.col("title"), m.value), contains(title, m.value)
@@ -144,8 +169,8 @@ class Compiler:
 def matching(lib: Library, matcher: Leaf | Both, now: datetime | None = None) -> DataFrame:
     """The ids of the bookmarks that a matcher finds."""
     compiler = Compiler(lib, now)
-    found = compiler.column(matcher)
-    return compiler.frame.filter(found).select("id")
+    found = compiler.required(matcher)
+    return (compiler.frame if found is None else compiler.frame.filter(found)).select("id")
 
 
 def find(lib: Library, query: str, now: datetime | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import queries_library, queries_maintain, queries_recommend
+from . import queries_exchange, queries_library, queries_maintain, queries_recommend, queries_rest
+
+MODULES = (queries_library, queries_recommend, queries_maintain, queries_exchange, queries_rest)
 
 
 def queries() -> dict:
-    return queries_library.Q | queries_recommend.Q | queries_maintain.Q
+    return {name: f for m in MODULES for name, f in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_library.S | queries_recommend.S | queries_maintain.S
+    return {name: sql for m in MODULES for name, sql in m.S.items()}

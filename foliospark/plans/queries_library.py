@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import analytics as A
+from ..operators import maintenance as M
 from ..operators import search
 from ..sources.tables import Tables, with_tables
 
@@ -30,12 +31,13 @@ def query(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-def library(t: Tables) -> search.Library:
-    titled = t.bookmarks.join(t.tags.select(F.col("id").alias("p"), F.col("name").alias("title")), F.col("p") == F.col("id") + 1, "left").drop("p")
+def library(t: Tables, titles: bool = True) -> search.Library:
+    """The search's tables. titles: with the bookmarks' own titles, which need a join."""
+    named = t.tags.select(F.col("id").alias("p"), F.col("name").alias("title"))
+    titled = t.bookmarks.join(named, F.col("p") == F.col("id") + 1, "left").drop("p") if titles else t.bookmarks.withColumn("title", F.lit(None).cast("string"))
     feeds = t.raw("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     imports = t.bookmarks.join(t.users.select(F.col("id").alias("u"), "nation"), F.col("u") == F.col("userId")).select(F.col("id").alias("bookmarkId"), F.col("nation").alias("rssFeedId"))
-    assets = t.links.select("id", F.col("url").alias("sourceUrl")).limit(0)
-    return search.Library(titled, t.links, assets, t.tags, t.tags_on, t.lists, t.in_lists, feeds, imports)
+    return search.Library(titled, t.links, t.assets, t.tags, t.tags_on, t.lists, t.in_lists, feeds, imports)
 
 
 @query("s01_table_scan", "SELECT r_regionkey, r_name FROM region")
@@ -141,9 +143,10 @@ def _(t):
     return A.tag_list(t.tags, t.tags_on)
 
 
-@query("a17_tags_by_machine_only", "SELECT t.id FROM tags t JOIN tags_on o ON o.tagId = t.id GROUP BY 1 HAVING count(*) FILTER (o.attachedBy = 'human') = 0", "tags", "tags_on")
+@query("a17_tags_by_machine_only", "SELECT t.id FROM tags t JOIN tags_on o ON o.tagId = t.id JOIN bookmarks b ON b.id = o.bookmarkId WHERE b.favourited AND extract(year FROM b.createdAt) = 1996 GROUP BY 1 HAVING count(*) FILTER (o.attachedBy = 'human') = 0", "tags", "tags_on", "bookmarks")
 def _(t):
-    return A.tag_list(t.tags, t.tags_on).filter("ai > 0 AND human = 0").select("id")
+    liked = t.bookmarks.filter(F.col("favourited") & (F.year("createdAt") == 1996)).select(F.col("id").alias("bookmarkId"))
+    return A.tag_list(t.tags, t.tags_on.join(liked, "bookmarkId")).filter("ai > 0 AND human = 0").select("id")
 
 
 @query("a18_tag_stats", "SELECT tagId, count(*) FILTER (attachedBy = 'ai') AS ai, count(*) FILTER (attachedBy = 'human') AS human FROM tags_on GROUP BY tagId", "tags_on")
@@ -230,7 +233,7 @@ def _(t):
     return t.links.join(t.bookmarks, "id").select("id", "url", "archived")
 
 
-@query("j02_three_way", "SELECT b.userId, t.name, count(*) AS n FROM tags t JOIN tags_on o ON o.tagId = t.id JOIN bookmarks b ON b.id = o.bookmarkId WHERE t.id < 50 GROUP BY 1, 2", "tags", "tags_on", "bookmarks")
+@query("j02_three_way", "SELECT b.userId, t.name, count(*) AS n FROM tags t JOIN tags_on o ON o.tagId = t.id JOIN bookmarks b ON b.id = o.bookmarkId GROUP BY 1, 2", "tags", "tags_on", "bookmarks")
 def _(t):
     return t.tags.join(t.tags_on, F.col("id") == F.col("tagId")).drop("id").join(t.bookmarks.select("id", "userId"), F.col("id") == F.col("bookmarkId")).groupBy("userId", "name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -248,7 +251,7 @@ def _(t):
 
 @query("j05_nested_documents", """SELECT b.id, coalesce(t.tags, '') AS tags, coalesce(l.n, 0) AS lists FROM bookmarks b
     LEFT JOIN (SELECT bookmarkId, string_agg(name, '|' ORDER BY name) AS tags FROM (SELECT DISTINCT bookmarkId, tagId FROM tags_on) d JOIN tags ON id = d.tagId GROUP BY 1) t ON t.bookmarkId = b.id
-    LEFT JOIN (SELECT bookmarkId, count(*) AS n FROM in_lists GROUP BY 1) l ON l.bookmarkId = b.id WHERE b.id < 2000""", "bookmarks", "tags", "tags_on", "in_lists")
+    LEFT JOIN (SELECT bookmarkId, count(*) AS n FROM in_lists GROUP BY 1) l ON l.bookmarkId = b.id""", "bookmarks", "tags", "tags_on", "in_lists")
 def _(t):
     docs = A.documents(t.bookmarks, t.tags, t.tags_on, t.in_lists)
     return docs.select("id", F.array_join(F.sort_array(F.transform("tags", lambda x: x["name"])), "|").alias("tags"), F.size("lists").cast("long").alias("lists"))
@@ -259,14 +262,15 @@ def _(t):
     return t.bookmarks.join(t.tags_on.filter("attachedBy = 'ai'"), F.col("id") == F.col("bookmarkId"), "left_semi").select("id")
 
 
-@query("j07_anti", "SELECT id FROM tags t WHERE NOT EXISTS (SELECT 1 FROM tags_on o WHERE o.tagId = t.id)", "tags", "tags_on")
+@query("j07_anti", "SELECT id FROM tags t WHERE NOT EXISTS (SELECT 1 FROM tags_on o JOIN bookmarks b ON b.id = o.bookmarkId WHERE o.tagId = t.id AND b.favourited AND extract(year FROM b.createdAt) = 1996)", "tags", "tags_on", "bookmarks")
 def _(t):
-    return t.tags.join(t.tags_on, F.col("id") == F.col("tagId"), "left_anti").select("id")
+    liked = t.bookmarks.filter(F.col("favourited") & (F.year("createdAt") == 1996)).select(F.col("id").alias("bookmarkId"))
+    return t.tags.join(t.tags_on.join(liked, "bookmarkId"), F.col("id") == F.col("tagId"), "left_anti").select("id")
 
 
-@query("j08_purge_unless_used", "SELECT id FROM bookmarks b WHERE createdAt < TIMESTAMP '1993-01-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id AND m.listId < 20)", "bookmarks", "in_lists")
+@query("j08_purge_unless_used", "SELECT id FROM bookmarks b WHERE createdAt < TIMESTAMP '1996-01-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id AND m.listId < 20)", "bookmarks", "in_lists")
 def _(t):
-    old = t.bookmarks.filter("createdAt < timestamp_ntz'1993-01-01 00:00:00'")
+    old = t.bookmarks.filter("createdAt < timestamp_ntz'1996-01-01 00:00:00'")
     return old.join(t.in_lists.filter("listId < 20"), F.col("id") == F.col("bookmarkId"), "left_anti").select("id")
 
 
@@ -275,7 +279,7 @@ def _(t):
     return t.bookmarks.join(t.users.filter("nation = 3").select(F.col("id").alias("userId")), "userId", "left_semi").select("id", "size")
 
 
-@query("j10_two_keys", "SELECT o.bookmarkId, o.tagId, m.listId FROM tags_on o LEFT JOIN in_lists m ON m.bookmarkId = o.bookmarkId AND m.listId = o.tagId WHERE o.tagId < 100", "tags_on", "in_lists")
+@query("j10_two_keys", "SELECT o.bookmarkId, o.tagId, m.listId FROM tags_on o LEFT JOIN in_lists m ON m.bookmarkId = o.bookmarkId AND m.listId = o.tagId", "tags_on", "in_lists")
 def _(t):
     m = t.in_lists.withColumnRenamed("bookmarkId", "b")
     return t.tags_on.join(m, (F.col("b") == F.col("bookmarkId")) & (F.col("listId") == F.col("tagId")), "left").select("bookmarkId", "tagId", "listId")
@@ -309,7 +313,7 @@ def _(t):
     return t.pages.select("page_id").join(t.raw("embeddings").select(F.col("label").cast("long").alias("page_id")), "page_id", "left_anti").distinct()
 
 
-@query("u05_merge_ignore_conflicts", "SELECT DISTINCT bookmarkId, CASE WHEN tagId IN (1, 2, 3, 4) THEN 1 ELSE tagId END AS tagId FROM tags_on WHERE tagId < 10", "tags_on")
+@query("u05_merge_ignore_conflicts", "SELECT DISTINCT bookmarkId, CASE WHEN tagId IN (1, 2, 3, 4) THEN 1 ELSE tagId END AS tagId FROM tags_on", "tags_on")
 def _(t):
     return t.tags_on.select("bookmarkId", F.when(F.col("tagId").isin(1, 2, 3, 4), 1).otherwise(F.col("tagId")).alias("tagId")).dropDuplicates(["bookmarkId", "tagId"])
 
@@ -338,10 +342,10 @@ def _(t):
     return A.offset_page(t.tags, [F.col("name"), F.col("id")], 2, 25)
 
 
-@query("t06_tag_relevance", "SELECT id, name FROM tags WHERE name LIKE '%green%' ORDER BY CASE WHEN name = 'green' THEN 2 WHEN name LIKE 'green%' THEN 1 ELSE 0 END DESC, length(name), name, id LIMIT 20", "tags")
+@query("t06_tag_relevance", "SELECT id, name FROM tags WHERE name LIKE '%hot%' ORDER BY CASE WHEN name = 'hot' THEN 2 WHEN name LIKE 'hot%' THEN 1 ELSE 0 END DESC, length(name), name, id LIMIT 20", "tags")
 def _(t):
-    rank = F.when(F.col("name") == "green", 2).when(F.col("name").startswith("green"), 1).otherwise(0)
-    return t.tags.filter(F.col("name").contains("green")).orderBy(F.desc(rank), F.length("name"), "name", "id").limit(20)
+    rank = F.when(F.col("name") == "hot", 2).when(F.col("name").startswith("hot"), 1).otherwise(0)
+    return t.tags.filter(F.col("name").contains("hot")).orderBy(F.desc(rank), F.length("name"), "name", "id").limit(20)
 
 
 @query("t09_largest", "SELECT id, size FROM bookmarks ORDER BY size DESC, id LIMIT 50", "bookmarks")
@@ -349,10 +353,13 @@ def _(t):
     return t.bookmarks.select("id", "size").orderBy(F.desc("size"), "id").limit(50)
 
 
-@query("t10_fair_batch", "SELECT b.id FROM bookmarks b JOIN (SELECT userId, max(createdAt) AS last FROM bookmarks WHERE archived GROUP BY 1) s ON s.userId = b.userId WHERE NOT b.archived ORDER BY s.last NULLS FIRST, b.createdAt, b.id LIMIT 10", "bookmarks")
+@query("t10_fair_batch", """SELECT id FROM (SELECT b.id, row_number() OVER (ORDER BY s.last NULLS FIRST, b.createdAt, b.id) AS rn FROM bookmarks b JOIN (SELECT userId, max(createdAt) FILTER (archived) AS last FROM bookmarks GROUP BY 1) s ON s.userId = b.userId
+    WHERE NOT b.archived AND b.userId NOT IN (7, 8)) WHERE rn <= 10 AND rn + (SELECT count(*) FROM bookmarks WHERE userId IN (7, 8) AND NOT archived) <= 20""", "bookmarks")
 def _(t):
-    last = t.bookmarks.filter("archived").groupBy("userId").agg(F.max("createdAt").alias("last"))
-    return t.bookmarks.filter("NOT archived").join(last, "userId").orderBy(F.asc_nulls_first("last"), "createdAt", "id").select("id").limit(10)
+    state = F.when(F.col("archived"), "completed").when(F.col("userId").isin(7, 8), "processing").otherwise("pending")
+    items = t.bookmarks.select("id", F.col("userId").alias("sessionId"), state.alias("status"), "createdAt")
+    sessions = t.bookmarks.groupBy(F.col("userId").alias("id")).agg(F.max(F.when(F.col("archived"), F.col("createdAt"))).alias("lastProcessedAt"))
+    return M.claim(items, sessions, in_flight=20).select("id")
 
 
 @query("t12_best_unselected", "SELECT id, size FROM bookmarks b WHERE NOT EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id AND m.listId < 50) ORDER BY size DESC, id LIMIT 100", "bookmarks", "in_lists")
@@ -382,7 +389,7 @@ def _(t):
 
 
 def _search(name: str, text_: str, sql: str, *tables: str):
-    query(name, sql, *tables)(lambda t: search.find(library(t), text_, NOW))
+    query(name, sql, *tables)(lambda t: search.find(library(t, "title:" in text_), text_, NOW))
 
 
 _search("p09_favourited", "is:fav", "SELECT id FROM bookmarks WHERE favourited", "bookmarks")
@@ -390,9 +397,14 @@ _search("p02_tagged", "-is:tagged", "SELECT id FROM bookmarks b WHERE NOT EXISTS
 _search("p03_list", "list:Supplier#000000001", "SELECT id FROM bookmarks WHERE id IN (SELECT bookmarkId FROM in_lists JOIN lists ON lists.id = listId WHERE name = 'Supplier#000000001')", "bookmarks", "in_lists", "lists")
 _search("p03_missing_list_negated", "-list:missing", "SELECT id FROM bookmarks WHERE false", "bookmarks")
 _search("p04_in_list", "is:inlist", "SELECT id FROM bookmarks b WHERE EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id)", "bookmarks", "in_lists")
-_search("p05_feed", "-feed:CHINA", "SELECT b.id FROM bookmarks b JOIN users u ON u.id = b.userId JOIN nation ON n_nationkey = u.nation WHERE n_name <> 'CHINA'", "bookmarks", "users")
+_search("p05_feed", "-feed:NATION_3", "SELECT b.id FROM bookmarks b JOIN users u ON u.id = b.userId JOIN nation ON n_nationkey = u.nation WHERE n_name <> 'NATION_3'", "bookmarks", "users")
 _search("p06_archived", "-is:archived", "SELECT id FROM bookmarks WHERE NOT archived", "bookmarks")
-_search("p07_url", "url:example.com", "SELECT b.id FROM bookmarks b JOIN links l ON l.id = b.id WHERE l.url ILIKE '%example.com%'", "bookmarks", "links")
+_search("p07_url", "url:example.com/en", "SELECT id FROM links WHERE url ILIKE '%example.com/en%' UNION SELECT id FROM assets WHERE sourceUrl ILIKE '%example.com/en%'", "links", "assets")
+_search("p07_url_negated", "-url:example.com/en", "SELECT id FROM links WHERE NOT url ILIKE '%example.com/en%' UNION SELECT id FROM assets WHERE NOT sourceUrl ILIKE '%example.com/en%'", "links", "assets")
+_search("p03_smart_list", "list:Supplier#000000010", "SELECT id FROM bookmarks WHERE favourited AND NOT archived", "bookmarks")
+_search("p03_smart_list_negated", "is:link -list:Supplier#000000010", "SELECT id FROM bookmarks WHERE type = 'link' AND NOT (favourited AND NOT archived)", "bookmarks")
+_search("p17_sets_below_or", "(is:inlist or url:example.com/en) and (-is:tagged or feed:NATION_3)", """SELECT b.id FROM bookmarks b WHERE (EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id) OR b.id IN (SELECT id FROM links WHERE url ILIKE '%example.com/en%') OR b.id IN (SELECT id FROM assets WHERE sourceUrl ILIKE '%example.com/en%'))
+    AND (NOT EXISTS (SELECT 1 FROM tags_on o WHERE o.bookmarkId = b.id) OR b.userId IN (SELECT id FROM users WHERE nation = 3))""", "bookmarks", "in_lists", "links", "assets", "tags_on", "users")
 _search("p08_title", "title:en", "SELECT b.id FROM bookmarks b LEFT JOIN tags t ON t.id = b.id + 1 LEFT JOIN links l ON l.id = b.id WHERE t.name ILIKE '%en%' OR l.title ILIKE '%en%'", "bookmarks", "tags", "links")
 _search("p10_after", "after:1996-05-01", "SELECT id FROM bookmarks WHERE createdAt >= TIMESTAMP '1996-05-01 00:00:00'", "bookmarks")
 _search("p11_before_negated", "-before:1996-05-01", "SELECT id FROM bookmarks WHERE createdAt > TIMESTAMP '1996-05-01 00:00:00'", "bookmarks")
@@ -408,14 +420,14 @@ _search("p17_or_and", "(is:fav or is:archived) and -is:text and is:inlist", "SEL
 def _(t):
     from ..plans.query_language import Leaf
 
-    return search.matching(library(t), Leaf("tag", t.tags.agg(F.min("name")).first()[0]))
+    return search.matching(library(t, False), Leaf("tag", t.tags.agg(F.min("name")).first()[0]))
 
 
 @query("p15_source_negated", "SELECT id FROM bookmarks WHERE source IS NULL OR source <> '1-URGENT'", "bookmarks")
 def _(t):
     from ..plans.query_language import Leaf
 
-    return search.matching(library(t), Leaf("source", "1-URGENT", True))
+    return search.matching(library(t, False), Leaf("source", "1-URGENT", True))
 
 
 @query("p18_broken_report", "SELECT l.id, l.url, l.crawlStatusCode AS code, l.crawlStatus = 'failure' AS failed FROM links l WHERE l.crawlStatus = 'failure' OR l.crawlStatusCode NOT BETWEEN 200 AND 299", "links")
@@ -430,10 +442,10 @@ def _(t):
     return t.pages.select("page_id", urls.light(F.col("url")).alias("u")).join(some, "u", "left_semi").select("page_id")
 
 
-@query("p20_same_url", "SELECT page_id FROM pages p WHERE EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id < p.page_id)")
+@query("p20_same_url", "SELECT id FROM links l WHERE EXISTS (SELECT 1 FROM links q WHERE q.url = l.url AND q.id < l.id)", "links")
 def _(t):
-    first = t.pages.groupBy("url").agg(F.min("page_id").alias("first"))
-    return t.pages.join(first, "url").filter("page_id > first").select("page_id")
+    first = t.links.groupBy("url").agg(F.min("id").alias("first"))
+    return t.links.join(first, "url").filter("id > first").select("id")
 
 
 @query("p21_highlight_search", "SELECT conv_id, turn FROM conversations WHERE text ILIKE '%the%' OR role ILIKE '%user%' ORDER BY conv_id, turn LIMIT 51")
@@ -459,9 +471,13 @@ def _(t):
     return t.users.join(own, F.col("id") == F.col("userId"), "left").select("id", (F.coalesce("c", F.lit(0)) >= 10).alias("full_"), (F.round(F.coalesce("s", F.lit(0.0)), 2) + 1000 > 1_000_000).alias("over_"))
 
 
-@query("v13_full_text", "SELECT doc_id AS id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), 'with')")
+@query("v13_full_text", """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+    c AS (SELECT doc_id, CAST(len(w) AS DOUBLE) AS l, CAST(len(list_filter(w, lambda x: x = 'the')) AS DOUBLE) AS a, CAST(len(list_filter(w, lambda x: x = 'with')) AS DOUBLE) AS b FROM d),
+    s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l) AS m, CAST(count(*) FILTER (a > 0) AS DOUBLE) AS da, CAST(count(*) FILTER (b > 0) AS DOUBLE) AS db FROM c)
+    SELECT doc_id AS id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m)), 6) AS score
+    FROM c, s WHERE a > 0 AND b > 0""")
 def _(t):
-    return search.full_text(t.raw("documents"), "the with", "doc_id").select("id")
+    return search.full_text(t.raw("documents"), "the with", "doc_id").select("id", F.round("score", 6).alias("score"))
 
 
 # --- maintenance as rewrites
@@ -472,9 +488,26 @@ def _(t):
     return t.tags.join(t.tags_on, F.col("id") == F.col("tagId"), "left_semi")
 
 
-@query("d03_retag", "SELECT DISTINCT bookmarkId, tagId, attachedBy FROM tags_on WHERE attachedBy = 'human' UNION SELECT DISTINCT bookmarkId, 1, 'ai' FROM tags_on WHERE bookmarkId % 10 = 0", "tags_on")
+def machine_tags(t):
+    """What a machine says of every tenth bookmark: the name of a tag in capitals, and a name that may be new."""
+    tenth = t.bookmarks.filter("id % 10 = 0").select(F.col("id").alias("bookmarkId"), (F.col("id") % 50 + 1).alias("id"))
+    named = tenth.join(t.tags, "id").select("bookmarkId", F.upper("name").alias("name"))
+    return named.unionByName(tenth.select("bookmarkId", F.concat(F.lit("New-tag "), (F.col("bookmarkId") % 3).cast("string")).alias("name")))
+
+
+MACHINE = f"""found AS (SELECT b.id AS bookmarkId, upper(t.name) AS name FROM bookmarks b JOIN tags t ON t.id = b.id % 50 + 1 WHERE b.id % 10 = 0 UNION ALL SELECT id, 'New-tag ' || (id % 3) FROM bookmarks WHERE id % 10 = 0)"""
+
+
+@query("d03_retag", f"""SELECT bookmarkId, tagId, attachedBy FROM tags_on WHERE NOT (attachedBy = 'ai' AND bookmarkId % 10 = 0)
+    UNION ALL SELECT n.bookmarkId, n.tagId, 'ai' FROM (WITH {MACHINE} SELECT DISTINCT f.bookmarkId, k.tagId FROM found f JOIN (SELECT lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) AS k, min(id) AS tagId FROM tags GROUP BY 1) k ON k.k = lower(replace(replace(replace(f.name, ' ', ''), '-', ''), '_', ''))) n
+    WHERE NOT EXISTS (SELECT 1 FROM tags_on o WHERE o.bookmarkId = n.bookmarkId AND o.tagId = n.tagId AND o.attachedBy <> 'ai')""", "tags_on", "tags", "bookmarks")
+def _(t):
+    return M.retag(t.tags_on, machine_tags(t), t.tags, text.tag_key)
+
+
+@query("d03_new_tags", f"SELECT min(name) AS name, lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) AS k FROM (WITH {MACHINE} SELECT * FROM found) WHERE lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) NOT IN (SELECT lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) FROM tags) GROUP BY 2", "tags", "bookmarks")
 def _(t):
-    return t.tags_on.filter("attachedBy = 'human'").union(t.tags_on.filter("bookmarkId % 10 = 0").select("bookmarkId", F.lit(1).cast("long"), F.lit("ai"))).distinct()
+    return M.missing_tags(machine_tags(t), t.tags, text.tag_key)
 
 
 @query("d10_cache_hits", "SELECT a.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id AND a.label = b.label AND len(a.embedding) = len(b.embedding) WHERE b.vec_id % 2 = 0")
@@ -483,10 +516,10 @@ def _(t):
     return e.join(e.filter("vec_id % 2 = 0"), ["vec_id", "label", "dim"], "left_semi").select("vec_id")
 
 
-@query("st13_purge", "SELECT id FROM bookmarks b WHERE NOT (createdAt < TIMESTAMP '1994-01-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id AND m.listId < 10))", "bookmarks", "in_lists")
+@query("st13_purge", "SELECT id FROM bookmarks b WHERE NOT (createdAt < TIMESTAMP '1997-01-01 00:00:00' AND NOT EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id AND m.listId < 10))", "bookmarks", "in_lists")
 def _(t):
     used = t.in_lists.filter("listId < 10")
-    old = t.bookmarks.filter("createdAt < timestamp_ntz'1994-01-01 00:00:00'").join(used, F.col("id") == F.col("bookmarkId"), "left_anti").select("id")
+    old = t.bookmarks.filter("createdAt < timestamp_ntz'1997-01-01 00:00:00'").join(used, F.col("id") == F.col("bookmarkId"), "left_anti").select("id")
     return t.bookmarks.select("id").join(old, "id", "left_anti")
 
 
@@ -500,21 +533,22 @@ def _(t):
     return t.tags.select("id", text.tag_key(F.col("name")).alias("key"))
 
 
-@query("f11_edit_distance", "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+@query("f11_edit_distance", """SELECT a, b, levenshtein(a, b) AS d FROM (SELECT key AS a, lead(key) OVER (PARTITION BY userId ORDER BY key, id) AS b FROM (SELECT DISTINCT userId, tagId AS id, lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) AS key
+    FROM tags_on JOIN bookmarks ON bookmarks.id = bookmarkId JOIN tags ON tags.id = tagId)) WHERE b IS NOT NULL""", "tags_on", "bookmarks", "tags")
 def _(t):
     rows = t.user_tags.select("userId", "id", text.tag_key(F.col("name")).alias("a"))
     after = rows.withColumn("b", F.lead("a").over(Window.partitionBy("userId").orderBy("a", "id"))).filter("b IS NOT NULL")
     return after.select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
 
 
-@query("f14_escape", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM pages")
+@query("f14_escape", """SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '''', '&#x27;'), '`', '&#x60;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages""")
 def _(t):
     return t.pages.select("page_id", text.escape_html(F.col("html")).alias("html"))
 
 
-@query("f15_hrefs", "SELECT page_id, len(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS n FROM pages")
+@query("f15_hrefs", "SELECT page_id, array_to_string(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), ' ') AS links FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.size(text.hrefs(F.col("html"))).cast("long").alias("n"))
+    return t.pages.select("page_id", F.array_join(text.hrefs(F.col("html")), " ").alias("links"))
 
 
 @query("f02_url_hash", "SELECT page_id, substr(sha256(url), 1, 32) AS hash FROM pages")
@@ -527,17 +561,7 @@ def _(t):
     return t.pages.select("page_id", urls.allowed(F.col("url")).alias("allowed"))
 
 
-@query("f21_token_estimate", "SELECT doc_id, CAST(ceil(length(text) * 0.35 - 1e-9) AS BIGINT) AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]')")
+@query("f21_token_estimate", "SELECT doc_id, CAST(ceil((length(text) - n) * 1.5 + n * 0.35 - 1e-9) AS BIGINT) AS tokens FROM (SELECT doc_id, text, length(regexp_replace(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]', '', 'g')) AS n FROM documents)")
 def _(t):
     n = text.cjk_count(F.col("text"))
     return t.raw("documents").select("doc_id", F.ceil(n * F.lit(1.5) + (F.length("text") - n) * F.lit(0.35) - 1e-9).alias("tokens"))
-
-
-@query("f01_canonical_url")
-def _(t):
-    return t.pages.select("page_id", urls.canonical(F.col("url")).alias("url")).withColumn("hash", urls.url_hash(F.col("url"))).withColumn("domain", urls.domain(F.col("url")))
-
-
-@query("f03_title_hash")
-def _(t):
-    return t.tags.select("id", urls.title_hash(F.col("name")).alias("hash"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +13,7 @@ from ..operators import recommend as R
 from ..sources import imports as I
 from .queries_library import NOW, NOW_SQL
 from ..sources.tables import Tables, with_tables
+from ..streaming import keyed
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -38,28 +37,36 @@ def host(c="url"):
 # --- rewrites
 
 
-@query("d02_merge_tags", "SELECT bookmarkId, CASE WHEN tagId BETWEEN 2 AND 20 THEN 1 ELSE tagId END AS tagId, max(attachedBy) AS attachedBy FROM tags_on WHERE tagId < 60 GROUP BY 1, 2", "tags_on")
+@query("d02_merge_tags", "SELECT bookmarkId, CASE WHEN tagId BETWEEN 2 AND 20 THEN 1 ELSE tagId END AS tagId, max(attachedBy) AS attachedBy FROM tags_on GROUP BY 1, 2", "tags_on")
 def _(t):
     mapping = t.tags.filter("id BETWEEN 2 AND 20").select(F.col("id").alias("source"), F.lit(1).cast("long").alias("target"))
     return M.merge_tags(t.tags, t.tags_on, mapping)[1]
 
 
-@query("d04_merge_lists", "SELECT DISTINCT bookmarkId, CASE WHEN listId IN (2, 3) THEN 1 ELSE listId END AS listId FROM in_lists WHERE listId < 9", "in_lists")
+@query("d04_merge_lists", "SELECT DISTINCT bookmarkId, CASE WHEN listId IN (2, 3) THEN 1 ELSE listId END AS listId FROM in_lists", "in_lists")
 def _(t):
     ids = t.lists.filter("id IN (2, 3)").select(F.col("id").alias("old"), F.lit(1).cast("long").alias("new"))
     return M.remap(t.in_lists, ids, "listId").select("bookmarkId", "listId").distinct()
 
 
-@query("d05_archived_sessions", f"SELECT userId AS id, count(*) FILTER (type = 'link') AS link, count(*) FILTER (type = 'text') AS text, count(*) FILTER (type = 'asset') AS asset FROM bookmarks GROUP BY 1 HAVING max(createdAt) <= {NOW_SQL} - INTERVAL 30 DAY", "bookmarks")
+@query("d05_archived_sessions", f"""SELECT u.id, strftime(f.last, '%Y-%m-%d') AS finished, count(b.id) FILTER (type = 'text') AS pending, count(b.id) FILTER (type = 'asset') AS processing, count(b.id) FILTER (type = 'link' AND NOT b.archived) AS completed, count(b.id) FILTER (type = 'link' AND b.archived) AS failed
+    FROM users u JOIN (SELECT userId, max(createdAt) AS last FROM bookmarks GROUP BY 1) f ON f.userId = u.id LEFT JOIN bookmarks b ON b.userId = u.id AND b.favourited WHERE f.last <= {NOW_SQL} + INTERVAL 2 YEAR GROUP BY 1, 2""", "users", "bookmarks")
 def _(t):
-    last = t.bookmarks.groupBy("userId").agg(F.max("createdAt").alias("last")).filter(F.col("last") <= F.lit(NOW) - F.expr("INTERVAL 30 DAYS"))
-    return t.bookmarks.join(last, "userId").groupBy(F.col("userId").alias("id")).pivot("type", ["link", "text", "asset"]).count().na.fill(0)
+    sessions = t.users.select("id").join(t.bookmarks.groupBy(F.col("userId").alias("id")).agg(F.max("createdAt").alias("finishedAt")), "id")
+    state = F.when(F.col("type") == "text", "pending").when(F.col("type") == "asset", "processing").when(F.col("archived"), "failed").otherwise("completed")
+    items = t.bookmarks.filter("favourited").select(F.col("userId").alias("sessionId"), state.alias("status"))
+    out = M.archive_sessions(sessions, items, F.lit(NOW) + F.expr("INTERVAL 2 YEARS") + F.expr("INTERVAL 30 DAYS"))
+    return out.select("id", F.date_format("finishedAt", "yyyy-MM-dd").alias("finished"), "pending", "processing", "completed", "failed")
 
 
-@query("d08_list_tree", "SELECT r_name || '/' || n_name AS path FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name FROM region")
+@query("d08_list_tree", """SELECT CASE WHEN n_regionkey = 4 THEN n_name ELSE r_name || '/' || n_name END AS path FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name FROM region WHERE r_regionkey <> 4
+    UNION ALL SELECT 'Loop ' || r_regionkey FROM region""")
 def _(t):
-    nodes = t.raw("region").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("parentId"), F.col("r_name").alias("name")).union(t.raw("nation").select("n_nationkey", F.col("n_regionkey") + 1000, "n_name"))
-    return A.tree_paths(nodes).select("path")
+    """Regions and their nations, without the fourth region; and lists that are below each other in a circle."""
+    nodes = t.raw("region").filter("r_regionkey <> 4").select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("parentId"), F.col("r_name").alias("name"))
+    nodes = nodes.union(t.raw("nation").select("n_nationkey", F.col("n_regionkey") + 1000, "n_name"))
+    loop = t.raw("region").select((F.col("r_regionkey") + 2000).alias("id"), ((F.col("r_regionkey") + 1) % 5 + 2000).alias("parentId"), F.concat(F.lit("Loop "), F.col("r_regionkey").cast("string")).alias("name"))
+    return A.tree_paths(nodes.union(loop), lost_to_root=True).select("path")
 
 
 @query("d09_rerun_keeps_feedback", "SELECT id FROM bookmarks WHERE id % 2 = 0 AND (id % 4 = 0 OR archived) UNION SELECT id FROM bookmarks WHERE id % 3 = 0", "bookmarks")
@@ -151,26 +158,13 @@ def _(t):
     return nearest(e.filter("id <> 5"), e.filter("id = 5").first().vector, 10).agg(F.round(F.avg("score"), 5).alias("mean"))
 
 
-@query("r07_profiles")
-def _(t):
-    s = t.raw("embeddings").select((F.col("vec_id") % 5).alias("userId"), (F.col("label") % 2 == 0).alias("positive"), F.col("embedding").alias("vector"), F.timestamp_seconds(F.lit(1_706_745_600) - F.col("vec_id") * 7200).alias("occurredAt"))
-    out = M.profiles(s, F.expr("timestamp'2024-02-01 00:00:00'"))
-    return out.select("userId", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("stable", "recent", "negative")])
-
-
-@query("v12_neighbour_tags")
-def _(t):
-    e = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return M.neighbour_tags(e, e.filter("id = 3").first().vector, 3, t.tags_on, t.tags, least=0.1, budget=200)
-
-
 @query("wf10_representatives", "SELECT label, arg_min(vec_id, (vec_id % 7, vec_id)) AS id FROM embeddings GROUP BY 1")
 def _(t):
     rows = t.raw("embeddings").select("label", F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("published"))
     return A.first_per(rows, ["label"], [F.asc_nulls_last("published"), F.asc("id")]).select("label", "id")
 
 
-@query("r16_labels", "SELECT user_id AS impressionId, NOT bool_or(event_type IN ('purchase', 'signup')) AND bool_or(event_type = 'click') AS weak FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+@query("r16_labels", "SELECT user_id AS impressionId, NOT bool_or(event_type IN ('purchase', 'signup')) AND bool_or(event_type = 'click') AS weak FROM events GROUP BY 1")
 def _(t):
     kinds = F.create_map(*[F.lit(x) for x in ("view", "viewed", "click", "clicked", "purchase", "saved", "signup", "liked", "error", "dismissed")])
     return R.rewards(t.events.select(F.col("user_id").alias("impressionId"), F.element_at(kinds, F.col("event_type")).alias("type"))).select("impressionId", "weak")
@@ -187,12 +181,6 @@ def _(t):
 # --- content, imports, exports
 
 
-@query("f16_page_signals")
-def _(t):
-    s = text.page_signals(F.col("html"), host())
-    return t.pages.select("page_id", *[c.alias(k) for k, c in s.items()]).withColumn("reason", text.quality_reason(F.col("text_length"), F.col("outbound_ratio"), F.col("ad_scripts")))
-
-
 @query("f17_blocked_hosts", f"SELECT page_id, lower({HOST_SQL}) LIKE '%.example.org' OR lower({HOST_SQL}) = 'example.org' AS blocked FROM pages")
 def _(t):
     return t.pages.select("page_id", text.on_list(host(), ["example.org"]).alias("blocked"))
@@ -204,12 +192,7 @@ def _(t):
     return t.events.groupBy("user_id").agg((F.count_if(F.col("ts") >= since) >= 3).alias("active"))
 
 
-@query("f23_embedding_text")
-def _(t):
-    return t.raw("documents").select("doc_id", text.embedding_text(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
-
-
-@query("f24_cjk_share", "SELECT doc_id, CAST(0 AS BIGINT) AS n FROM documents WHERE NOT regexp_matches(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]')")
+@query("f24_cjk_share", "SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[\\x{3040}-\\x{30FF}\\x{3400}-\\x{9FFF}\\x{AC00}-\\x{D7AF}\\x{FF00}-\\x{FFEF}]', '', 'g')) AS BIGINT) AS n FROM documents")
 def _(t):
     return t.raw("documents").select("doc_id", text.cjk_count(F.col("text")).cast("long").alias("n"))
 
@@ -228,15 +211,11 @@ def _(t):
     return t.links.select("id", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"))
 
 
-@query("f31_jitter")
+@query("a34_merge_by_url", f"""SELECT {HOST_SQL} AS url, count(*) AS n, min(page_id) AS first, bool_or(page_id % 2 = 0) AS archived, arg_min('t' || page_id, page_id) FILTER (page_id % 3 <> 0) AS title, string_agg('n' || page_id, chr(10) || '---' || chr(10) ORDER BY page_id) AS notes FROM pages GROUP BY 1""")
 def _(t):
-    return t.raw("nation").select("n_nationkey", text.jitter_minutes(F.col("n_name")).alias("minute"))
-
-
-@query("a34_merge_by_url", f"SELECT {HOST_SQL} AS url, count(*) AS n, min(page_id) AS first, bool_or(page_id % 2 = 0) AS archived FROM pages GROUP BY 1")
-def _(t):
-    rows = t.pages.select(*I.row(title=F.col("page_id").cast("string"), contentType=F.lit("link"), url=host(), tags=F.array(F.col("page_id").cast("string")), addDate=F.col("page_id"), archived=F.col("page_id") % 2 == 0))
-    return I.merge_by_url(rows).select("url", F.size("tags").cast("long").alias("n"), F.col("addDate").cast("long").alias("first"), "archived")
+    number = F.col("page_id").cast("string")
+    rows = t.pages.select(*I.row(title=F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("t"), number)), contentType=F.lit("link"), url=host(), tags=F.array(number), notes=F.concat(F.lit("n"), number), addDate=F.col("page_id"), archived=F.col("page_id") % 2 == 0), F.col("page_id").alias("place"))
+    return I.merge_by_url(rows, "place").select("url", F.size("tags").cast("long").alias("n"), F.col("addDate").cast("long").alias("first"), "archived", "title", "notes")
 
 
 @query("k01_native_records", "SELECT CAST(epoch(createdAt) AS DOUBLE) AS createdAt, id, CASE WHEN type IN ('link', 'text') THEN type END AS kind FROM bookmarks", "bookmarks")
@@ -246,15 +225,25 @@ def _(t):
     return I.native_records(docs).select("createdAt", F.col("title").cast("long").alias("id"), F.col("content.type").alias("kind"))
 
 
-@query("k03_browser_lines", "SELECT count(*) AS n FROM pages WHERE url LIKE 'http%://%'")
+@query("k03_browser_lines", """SELECT '    <DT><A HREF="' || replace(replace(url, '&', '&amp;'), '''', '&#x27;') || '" ADD_DATE="' || page_id || '"' || CASE WHEN page_id % 2 = 0 THEN ' TAGS="a,b &amp; c"' ELSE '' END || '>' || CASE WHEN page_id % 3 = 0 THEN replace(replace(url, '&', '&amp;'), '''', '&#x27;') ELSE '&lt;t&gt; ' || page_id END || '</A>' AS value FROM pages WHERE page_id % 7 <> 0 AND url ILIKE 'http%://%'""")
 def _(t):
-    docs = t.pages.select(F.lit(0.0).alias("createdAt"), F.lit("t").alias("title"), F.array().cast("array<string>").alias("tags"), F.lit("link").alias("type"), "url")
-    return I.browser_lines(docs).agg(F.count(F.lit(1)).alias("n"))
+    tags = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("a"), F.lit("b & c"))).otherwise(F.array().cast("array<string>"))
+    url = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("javascript:"), "url")).otherwise(F.col("url"))
+    title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<t> "), F.col("page_id").cast("string")))
+    return I.browser_lines(t.pages.select(F.col("page_id").cast("double").alias("createdAt"), title.alias("title"), tags.alias("tags"), F.lit("link").alias("type"), url.alias("url")))
 
 
-@query("k06_index_changes", "SELECT user_id, arg_max(event_type, event_id) AS op FROM events GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+@query("k06_index_changes", """WITH o AS (SELECT CAST(user_id % 4 AS VARCHAR) AS buffer, event_id AS seq, epoch_us(ts) / 1e6 AS "at", user_id AS id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'add' END AS op FROM events),
+    p AS (SELECT *, row_number() OVER (PARTITION BY buffer ORDER BY "at", seq) AS rn FROM o),
+    b AS (WITH RECURSIVE r AS (SELECT buffer, rn, "at", seq, "at" AS first, 1 AS held, 0 AS batch FROM p WHERE rn = 1
+        UNION ALL SELECT p.buffer, p.rn, p."at", p.seq, CASE WHEN r.held = 50 OR p."at" >= r.first + 7200 THEN p."at" ELSE r.first END, CASE WHEN r.held = 50 OR p."at" >= r.first + 7200 THEN 1 ELSE r.held + 1 END, CASE WHEN r.held = 50 OR p."at" >= r.first + 7200 THEN r.batch + 1 ELSE r.batch END
+        FROM r JOIN p ON p.buffer = r.buffer AND p.rn = r.rn + 1) SELECT buffer, seq, batch FROM r),
+    l AS (SELECT b.buffer, CAST(b.batch AS BIGINT) AS batch, o.id, o.op, o.seq, row_number() OVER (PARTITION BY b.buffer, b.batch, o.id ORDER BY o.seq DESC) AS n FROM b JOIN o ON o.seq = b.seq)
+    SELECT buffer, batch, id, op, row_number() OVER (PARTITION BY buffer, batch ORDER BY CASE WHEN op = 'delete' THEN 0 ELSE 1 END, seq) AS turn FROM l WHERE n = 1""")
 def _(t):
-    return A.last_operation(t.events, "user_id", "event_id").filter("event_type <> 'error'").select("user_id", F.col("event_type").alias("op"))
+    ops = t.events.select((F.col("user_id") % 4).cast("string").alias("buffer"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("user_id").alias("id"), F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("op"))
+    flushed = keyed.batches(ops, 50, 7200.0).select("buffer", "seq", "batch").join(ops.drop("at"), ["buffer", "seq"])
+    return keyed.flush_order(flushed).select("buffer", "batch", "id", "op", F.col("turn").cast("long").alias("turn"))
 
 
 @query("k10_metrics", "SELECT 'bookmarks' AS metric, type AS label, CAST(count(*) AS DOUBLE) AS value FROM bookmarks GROUP BY 2 UNION ALL SELECT 'users', NULL, CAST(count(*) AS DOUBLE) FROM customer", "bookmarks")
@@ -263,10 +252,11 @@ def _(t):
     return M.metrics(frames).select("metric", F.try_element_at("labels", F.lit("type")).alias("label"), "value")
 
 
-@query("t07_rescored_hits", "SELECT doc_id AS id, n_chars FROM documents ORDER BY n_chars DESC, id LIMIT 20")
+@query("t07_rescored_hits", "SELECT doc_id AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place, (SELECT count(*) FROM documents) AS total, 60 AS next FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
 def _(t):
-    hits = t.raw("documents").select(F.col("doc_id").alias("id"), "n_chars").orderBy(F.desc("n_chars"), "id").limit(20)
-    return hits.join(t.raw("documents").select(F.col("doc_id").alias("id")), "id").orderBy(F.desc("n_chars"), "id").select("id", "n_chars")
+    hits = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
+    docs = t.raw("documents").select(F.col("doc_id").alias("id"), "n_chars", F.lit(None).cast("timestamp").alias("createdAt"))
+    return A.search_page(hits, docs, 40).select("id", "n_chars", (F.col("place") + 40).cast("long").alias("place"), "total", "next")
 
 
 @query("t11_people_first", "SELECT bookmarkId, tagId FROM (SELECT *, row_number() OVER (PARTITION BY bookmarkId ORDER BY attachedBy DESC, tagId) AS rn FROM (SELECT DISTINCT * FROM tags_on)) WHERE rn = 1", "tags_on")
@@ -274,8 +264,18 @@ def _(t):
     return A.first_per(t.tags_on.distinct(), ["bookmarkId"], [F.desc("attachedBy"), F.asc("tagId")]).select("bookmarkId", "tagId")
 
 
-@query("q_d_relative_dates", "SELECT TIMESTAMP '1998-08-01 00:00:00' - INTERVAL 3 DAY = TIMESTAMP '1998-07-29 00:00:00' AS ok")
+AGES = {"<3d": "INTERVAL 3 DAY", ">2w": "INTERVAL 14 DAY", "<5m": "INTERVAL 5 MONTH", ">1y": "INTERVAL 1 YEAR", "<14m": "INTERVAL 14 MONTH"}
+
+
+@query("q_d_relative_dates", " UNION ALL ".join(f"SELECT '{age}' AS age, strftime({NOW_SQL} - {back}, '%Y-%m-%d %H:%M:%S') AS since, (SELECT count(*) FROM bookmarks WHERE createdAt {'>=' if age[0] == '<' else '<'} {NOW_SQL} - {back}) AS n" for age, back in AGES.items()), "bookmarks")
 def _(t):
     from .query_language import age_limit, parse_age
 
-    return t.spark.createDataFrame([(age_limit(parse_age("<3d"), NOW) == datetime(1998, 7, 29),)], "ok boolean")  # noqa: DTZ001
+    out = None
+    for age in AGES:
+        a = parse_age(age)
+        since = F.lit(age_limit(a, NOW))
+        found = t.bookmarks.filter(F.col("createdAt") >= since if a.newer else F.col("createdAt") < since)
+        one = found.agg(F.lit(age).alias("age"), F.lit(f"{age_limit(a, NOW):%Y-%m-%d %H:%M:%S}").alias("since"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

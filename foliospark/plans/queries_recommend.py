@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text, vectors
 from ..operators import analytics as A
 from ..operators import recommend as R
-from ..sources.tables import Tables
+from ..sources.stored import Store
+from ..sources.tables import Tables, with_tables
 from ..streaming import keyed
 
 Q: dict = {}
@@ -16,11 +17,11 @@ DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAS
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, *tables: str):
     def add(f):
         Q[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            S[name] = sql
+            S[name] = with_tables(sql, *tables) if tables else sql
         return f
 
     return add
@@ -51,26 +52,16 @@ def _(t):
     return embeddings(t).select("id", F.round(vectors.norm(F.col("vector")), 4).alias("norm"))
 
 
-@query("v05_shortened")
-def _(t):
-    return embeddings(t).select("id", F.transform(vectors.shortened(F.col("vector"), 16), lambda x: F.round(x, 5)).alias("vector"))
-
-
 @query("v11_vector_search", f"SELECT b.vec_id AS id FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.label = a.label AND {DOT} >= 0.3 ORDER BY {DOT} DESC, id LIMIT 10")
 def _(t):
     target = embeddings(t).filter("id = 3").first()
     return vectors.nearest(embeddings(t).filter(F.col("label") == target.label), target.vector, 10).filter("score >= 0.3").select("id")
 
 
-@query("a32_centroids")
-def _(t):
-    return vectors.centroids(embeddings(t), "label").select("label", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
-
-
 @query("v08_spherical_kmeans")
 def _(t):
-    e = embeddings(t).select("id", "vector")
-    return R.spherical_kmeans(e, R.cluster_count(e.count()), rounds=5)[1]
+    e = embeddings(t).select("id", vectors.normalised(F.col("vector")).alias("vector"))
+    return R.spherical_kmeans(e, R.cluster_count(e.count()))[1]
 
 
 @query("v10_near_copies")
@@ -104,7 +95,7 @@ def _(t):
 
 
 @query("j11_delayed_events", """SELECT i.event_id AS impressionId, e.event_type AS type, CAST(epoch_us(min(e.ts)) AS BIGINT) AS at FROM events i JOIN events e ON e.user_id = i.user_id AND e.ts >= i.ts AND e.ts < i.ts + INTERVAL 7 DAY
-    WHERE i.event_type = 'view' AND e.event_type <> 'view' AND i.event_id % 5 = 0 GROUP BY 1, 2""")
+    WHERE i.event_type = 'view' AND e.event_type <> 'view' GROUP BY 1, 2""")
 def _(t):
     shown = t.events.filter("event_type = 'view'").select(F.col("event_id").alias("impressionId"), F.col("user_id").alias("itemId"), F.col("ts").alias("shownAt"))
     later = t.events.filter("event_type <> 'view'").select(F.col("user_id").alias("itemId"), F.col("event_type").alias("type"), F.col("ts").alias("at"))
@@ -154,19 +145,6 @@ def candidates(t):
     return base.withColumns({"recent": F.col("stable"), "negative": null, "clusterPreference": F.lit(0.3), "clusterShown": F.col("label"), "domainMean": F.lit(0.25), "librarySimilarity": F.lit(0.4)})
 
 
-@query("r10_heuristic_score")
-def _(t):
-    scored = R.score(candidates(t), F.expr("timestamp'2024-02-01 00:00:00'"))
-    return scored.select("id", F.round("score", 6).alias("score"), F.round("uncertainty", 6).alias("uncertainty"), R.reasons(F.col("contributions")).alias("reasons"))
-
-
-@query("r13_slates")
-def _(t):
-    scored = R.score(candidates(t), F.expr("timestamp'2024-02-01 00:00:00'"))
-    rows = scored.select((F.col("id") % 3).alias("userId"), "id", "score", "uncertainty", F.col("label").cast("string").alias("clusterId"), (F.col("id") % 40).cast("string").alias("domainId"), (F.col("id") % 11 == 0).alias("trial"), (F.col("id") % 5 == 0).alias("independent"))
-    return R.slates(rows, 20, 42).select("userId", "id", "arm", "rank", F.round("propensity", 9).alias("propensity"))
-
-
 @query("r14_intake", """WITH b AS (SELECT label AS id, count(*) AS avail, label % 3 = 0 AS ind, greatest(0.01, (label + 1) / 10.0) AS w FROM embeddings GROUP BY label),
     seat AS (SELECT id, ind, CAST(w AS DOUBLE) / k AS q, k FROM b, range(1, 101) r(k) WHERE k <= least(avail, 100)),
     one AS (SELECT *, row_number() OVER (PARTITION BY ind ORDER BY q DESC, id) AS rn FROM seat),
@@ -193,13 +171,24 @@ def _(t):
     return t.events.groupBy("user_id").agg(R.upper_median(F.collect_list("value")).alias("median"))
 
 
-@query("a30_domain_votes")
+@query("a30_domain_votes", """WITH n AS (SELECT max(page_id) + 1 AS n FROM pages), p AS (SELECT page_id AS id, regexp_extract(url, '^https?://(?:www\\.)?([^/:?#]+)', 1) AS host, url FROM pages),
+    v AS (SELECT DISTINCT a.id, b.host AS domain, greatest(0, a.id % 3 - 0.5) AS reward FROM p a, n JOIN p b ON b.id IN (a.id, (a.id * 7) % n, (a.id + 1) % n, (a.id * a.id) % n) WHERE b.host <> a.host)
+    SELECT domain, CAST(sum(reward) AS DOUBLE) AS weight, count(*) AS articles, array_to_string(list_sort(list(id))[1:5], ',') AS evidence FROM v GROUP BY 1""")
 def _(t):
+    """Every page links to itself, to two others in a fixed way and to a third by its square."""
     host = F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1)
-    return R.domain_votes(t.pages.select(F.col("page_id").alias("id"), host.alias("host"), text.hrefs(F.col("html")).alias("links"), (F.col("page_id") % 3 - 0.5).alias("reward")))
-
-
-@query("wf11_close_tags")
+    n = t.pages.agg((F.max("page_id") + 1).alias("n"))
+    to = F.explode(F.array("page_id", F.col("page_id") * 7 % F.col("n"), (F.col("page_id") + 1) % F.col("n"), F.col("page_id") * F.col("page_id") % F.col("n")))
+    links = t.pages.select("page_id").crossJoin(F.broadcast(n)).select("page_id", to.alias("to")).join(t.pages.select(F.col("page_id").alias("to"), "url"), "to")  # n is one row
+    links = links.groupBy("page_id").agg(F.collect_list("url").alias("links"))
+    votes = R.domain_votes(t.pages.join(links, "page_id").select(F.col("page_id").alias("id"), host.alias("host"), "links", (F.col("page_id") % 3 - 0.5).alias("reward")))
+    return votes.select("domain", "weight", "articles", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("wf11_close_tags", """WITH k AS (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY key, id) AS rn FROM (SELECT DISTINCT userId, tagId AS id, lower(replace(replace(replace(name, ' ', ''), '-', ''), '_', '')) AS key FROM tags_on JOIN bookmarks ON bookmarks.id = bookmarkId JOIN tags ON tags.id = tagId)),
+    h AS (WITH RECURSIVE r AS (SELECT userId, id, key, rn, id AS head, key AS head_key FROM k WHERE rn = 1
+        UNION ALL SELECT k.userId, k.id, k.key, k.rn, CASE WHEN levenshtein(r.head_key, k.key) <= 1 THEN r.head ELSE k.id END, CASE WHEN levenshtein(r.head_key, k.key) <= 1 THEN r.head_key ELSE k.key END FROM r JOIN k ON k.userId = r.userId AND k.rn = r.rn + 1) SELECT * FROM r)
+    SELECT userId, id, head FROM h""", "tags_on", "bookmarks", "tags")
 def _(t):
     return R.close_tags(t.user_tags.select("userId", "id", text.tag_key(F.col("name")).alias("key")))
 
@@ -208,19 +197,47 @@ def hits(t):
     return t.events.select(F.col("user_id").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
-@query("st01_fixed_window")
+def streamed(t, decide):
+    """Decisions of a stream over the stored hits, all of them in one trigger: it reads a folder of files and writes one."""
+    store = Store(t.spark, "limits")
+    path = store.path()
+    hits(t).write.parquet(path)
+    out, checkpoint = store.path(), store.path()
+    stream = t.spark.readStream.schema("key string, at double").parquet(path)
+    decide(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(keyed.OUT).parquet(out)
+
+
+def windows_sql(limit: int, seconds: int) -> str:
+    """Windows that open with the first hit after the last one's end, and the place of each hit in its window."""
+    return f"""WITH h AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+        w AS (WITH RECURSIVE r AS (SELECT key, "at", rn, "at" AS opened FROM h WHERE rn = 1
+            UNION ALL SELECT h.key, h."at", h.rn, CASE WHEN h."at" > r.opened + {seconds}000000 THEN h."at" ELSE r.opened END FROM r JOIN h ON h.key = r.key AND h.rn = r.rn + 1) SELECT * FROM r),
+        p AS (SELECT key, "at", row_number() OVER (PARTITION BY key, opened ORDER BY rn) AS n FROM w)
+        SELECT key, "at", n <= {limit} AS allowed, CAST({limit} - least(n, {limit}) AS BIGINT) AS "left" FROM p"""
+
+
+def rounded(df):
+    """Times as whole microseconds."""
+    return df.select("key", F.round(F.col("at") * 1e6).cast("long").alias("at"), "allowed", "left")
+
+
+@query("st01_fixed_window", windows_sql(5, 86400))
 def _(t):
-    return keyed.limited_batch(hits(t), 5, 86_400.0)
+    return rounded(streamed(t, lambda s: keyed.limited(s, 5, 86_400.0)))
 
 
-@query("st02_sliding_log")
+@query("st02_sliding_log", """WITH h AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+    w AS (WITH RECURSIVE r AS (SELECT key, "at", rn, ["at"] AS log, true AS allowed FROM h WHERE rn = 1
+        UNION ALL SELECT key, "at", rn, CASE WHEN len(kept) < 5 THEN list_append(kept, "at") ELSE kept END, len(kept) < 5 FROM (SELECT h.key, h."at", h.rn, list_filter(r.log, lambda x: x > h."at" - 86400000000) AS kept FROM r JOIN h ON h.key = r.key AND h.rn = r.rn + 1)) SELECT * FROM r)
+    SELECT key, "at", allowed, CAST(5 - len(log) AS BIGINT) AS "left" FROM w""")
 def _(t):
-    return keyed.limited_batch(hits(t), 5, 86_400.0, True)
+    return rounded(streamed(t, lambda s: keyed.limited(s, 5, 86_400.0, True)))
 
 
-@query("st03_once_in_ten_minutes")
+@query("st03_once_in_ten_minutes", f'SELECT key, "at" FROM ({windows_sql(1, 600)}) WHERE allowed')
 def _(t):
-    return keyed.limited_batch(hits(t), 1, 600.0).filter("allowed").select("key", "at")
+    return rounded(streamed(t, lambda s: keyed.limited(s, 1, 600.0))).filter("allowed").select("key", "at")
 
 
 @query("st04_idempotency", "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(event_id) AS first FROM events GROUP BY 1, 2")

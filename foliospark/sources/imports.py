@@ -5,14 +5,15 @@ Every import reader gives the columns of ROW. Times are seconds since 1970, null
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROW = "title string, contentType string, url string, text string, tags array<string>, addDate double, notes string, archived boolean, paths array<array<string>>, listExternalIds array<string>"
 NO_TAGS, NO_PATHS = "array<string>", "array<array<string>>"
@@ -190,18 +191,24 @@ def read_import(spark: SparkSession, source: str, path: str) -> DataFrame:
     return READERS[source](spark, path)
 
 
-def merge_by_url(rows: DataFrame, order: str = "addDate") -> DataFrame:
-    """One row per URL: tags and paths united, the earliest date, notes joined, archived if one is, the first title. Texts stay apart."""
-    links, rest = rows.filter("url IS NOT NULL"), rows.filter("url IS NULL")
+def merge_by_url(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per URL: tags and paths united, the earliest date, notes joined, archived if one is, the first title. Texts stay apart.
+
+    order: the column with a row's place in its file (it is left out of the result). Without one, rows count as ordered
+    by their values: date, title, notes. Either way the result doesn't depend on how the rows are partitioned.
+    """
+    place = F.col(order) if order else F.struct(*[F.col(c).isNull() if k % 2 else F.col(c) for c in ("addDate", "title", "notes") for k in (1, 0)], F.col("tags").cast("string"))
+    names = [c for c in rows.columns if c != order]
+    links, rest = rows.filter("url IS NOT NULL"), rows.filter("url IS NULL").select(names)
     empty = {"tags": NO_TAGS, "paths": NO_PATHS, "listExternalIds": NO_TAGS}
-    placed = links.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in empty.items()}).withColumn("n", F.monotonically_increasing_id())
-    seq = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda s: s[c])
+    placed = links.withColumn("n", place).withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in empty.items()})
+    seq = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("n", c))), lambda s: s[c])
     merged = placed.groupBy("url").agg(
         F.min_by("title", F.when(F.col("title").isNotNull(), F.col("n"))).alias("title"), F.min_by("contentType", "n").alias("contentType"), F.min_by("text", "n").alias("text"),
         F.array_distinct(F.flatten(seq("tags"))).alias("tags"), F.min("addDate").alias("addDate"), F.nullif(F.array_join(F.array_distinct(seq("notes")), "\n---\n"), F.lit("")).alias("notes"),
         F.bool_or("archived").alias("archived"), F.flatten(seq("paths")).alias("paths"), F.nullif(F.array_distinct(F.flatten(seq("listExternalIds"))), F.array().cast(NO_TAGS)).alias("listExternalIds"),
     )
-    return merged.select(*rows.columns).unionByName(rest)
+    return merged.select(names).unionByName(rest)
 
 
 # --- feeds and captured answers
@@ -220,6 +227,18 @@ def since(items: DataFrame, when: Column, limit: int) -> DataFrame:
     return items.filter(F.col("published").isNull() | (F.col("published") > when)).orderBy(F.desc_nulls_last("published"), "guid").limit(limit)
 
 
+def paper_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a paper archive's Atom answer: url (https), title, summary without tags, authors joined by a comma, published. Entries without an id are left out."""
+    from ..functions.text import html_text
+
+    schema = "id string, title string, summary string, published string, author array<struct<name:string>>"
+    items = spark.read.format("xml").option("rowTag", "entry").option("ignoreNamespace", True).schema(schema).load(path)
+    names = F.filter(F.transform(F.coalesce("author", F.array().cast("array<struct<name:string>>")), lambda a: F.trim(a["name"])), lambda n: n != "")
+    one_space = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    url = F.regexp_replace(filled("id"), "^http://", "https://")
+    return items.filter(filled("id").isNotNull()).select(url.alias("url"), one_space(F.col("title")).alias("title"), one_space(html_text(F.col("summary"))).alias("summary"), F.nullif(F.array_join(names, ", "), F.lit("")).alias("author"), F.try_to_timestamp("published").alias("published"))
+
+
 def new_items(items: DataFrame, ledger: DataFrame) -> DataFrame:
     """Items whose guid isn't in the ledger (guid), each once."""
     return items.dropDuplicates(["guid"]).join(ledger.select("guid"), "guid", "left_anti")
@@ -237,11 +256,62 @@ def repository_items(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.col("i.html_url").alias("url"), F.col("i.full_name").alias("title"), F.coalesce(F.try_to_timestamp("i.pushed_at"), F.try_to_timestamp("i.created_at")).alias("published"), F.col("i.stargazers_count").alias("stars"))
 
 
+#: Where a site without announced feeds often has one.
+FEED_PATHS = ("/feed", "/feed.xml", "/rss.xml", "/atom.xml", "/index.xml", "/feed/", "/rss")
+
+
 def feed_links(page: Column) -> Column:
     """Feeds that a page announces by alternate links."""
     links = F.regexp_extract_all(page, F.lit(r"(?i)(<link\b[^>]*>)"), F.lit(1))
-    feeds = F.filter(links, lambda x: x.rlike(r"(?i)rel\s*=\s*[\"']alternate") & x.rlike(r"(?i)type\s*=\s*[\"']application/(rss|atom)\+xml"))
-    return F.transform(feeds, lambda x: F.regexp_extract(x, r"(?i)href\s*=\s*[\"']([^\"']+)", 1))
+    feeds = F.filter(links, lambda x: x.rlike(r"(?i)rel\s*=\s*[\"']?alternate") & x.rlike(r"(?i)type\s*=\s*[\"']?application/(rss|atom)\+xml"))
+    return F.filter(F.transform(feeds, lambda x: F.regexp_extract(x, r"(?i)href\s*=\s*[\"']([^\"']+)", 1)), lambda x: x != "")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def resolved(base: pd.Series, links: pd.Series) -> pd.Series:
+    """Links of a page as absolute http(s) addresses, each once, in order; what can't be resolved is left out."""
+
+    def one(b, found):
+        out = []
+        for x in found if found is not None else ():
+            try:
+                full = urljoin(b or "", x)
+                ok = urlsplit(full).scheme in ("http", "https")
+            except ValueError:
+                continue
+            out += [full] if ok else []
+        return list(dict.fromkeys(out))
+
+    return pd.Series([one(b, x) for b, x in zip(base, links, strict=True)])
+
+
+def feed_candidates(url: Column, page: Column) -> Column:
+    """Feeds to try for a page: those it announces, else the conventional places of its site."""
+    own = resolved(url, feed_links(F.coalesce(page, F.lit(""))))
+    root = F.regexp_extract(url, r"^(?i:https?://[^/?#]+)", 0)
+    usual = F.when(root != "", F.transform(F.array(*map(F.lit, FEED_PATHS)), lambda p: F.concat(root, p))).otherwise(F.array().cast(NO_TAGS))
+    return F.when(F.size(own) > 0, own).otherwise(usual)
+
+
+#: Sources that a poll reads: kind and function (spark, config) to items (url, title, published).
+def _feed(spark: SparkSession, config: dict) -> DataFrame:
+    return feed_items(spark, config["path"], config.get("row_tag", "item")).select(F.col("link").alias("url"), "title", "published")
+
+
+ADAPTERS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {
+    "feed": _feed,
+    "news": lambda spark, config: news_hits(spark, config["path"]).select("url", "title", "published"),
+    "papers": lambda spark, config: paper_entries(spark, config["path"]).select("url", "title", "published"),
+    "repositories": lambda spark, config: repository_items(spark, config["path"]).select("url", "title", "published"),
+}
+
+
+def fetch_items(spark: SparkSession, kind: str, config: dict, after: Column | None = None, limit: int = 100) -> DataFrame:
+    """Items of one source through its adapter: with a URL, after a moment or without a date, newest first, at most `limit`."""
+    if kind not in ADAPTERS:
+        raise ValueError(f"no adapter for {kind}")
+    items = ADAPTERS[kind](spark, config).filter("url IS NOT NULL")
+    return since(items.withColumn("guid", F.col("url")), F.lit("1970-01-01").cast("timestamp") if after is None else after, limit).drop("guid")
 
 
 # --- exports
@@ -262,11 +332,3 @@ def browser_lines(docs: DataFrame) -> DataFrame:
     tags = F.when(F.size("tags") > 0, F.concat(F.lit(' TAGS="'), escape_html(F.array_join("tags", ",")), F.lit('"'))).otherwise("")
     line = F.concat(F.lit('    <DT><A HREF="'), escape_html(F.col("url")), F.lit('" ADD_DATE="'), F.col("createdAt").cast("long").cast("string"), F.lit('"'), tags, F.lit(">"), escape_html(F.coalesce("title", "url")), F.lit("</A>"))
     return links.select(line.alias("value"))
-
-
-def feed_xml(docs: DataFrame, path: str, title: str) -> None:
-    """An RSS file of the links with an http(s) URL."""
-    from ..functions.urls import allowed
-
-    rows = docs.filter(allowed(F.col("url"))).select(F.coalesce("title", "url").alias("title"), F.col("url").alias("link"), F.col("url").alias("guid"))
-    rows.write.format("xml").option("rootTag", f"channel title='{html.escape(title, quote=True)}'").option("rowTag", "item").mode("overwrite").save(path)

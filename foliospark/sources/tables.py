@@ -50,7 +50,7 @@ class Tables:
 
     @cached_property
     def lists(self) -> DataFrame:
-        return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("manual").alias("type"), F.lit(None).cast("string").alias("query"))
+        return self.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 10 == 0, "smart").otherwise("manual").alias("type"), F.when(F.col("s_suppkey") % 10 == 0, "is:fav -is:archived").alias("query"))
 
     @cached_property
     def in_lists(self) -> DataFrame:
@@ -75,6 +75,16 @@ class Tables:
         return numbered.join(pages, "page_id").select("id", "url", F.regexp_extract("url", r"//[^/]+/(\w+)", 1).alias("title"), F.when(code >= 500, "failure").otherwise("success").alias("crawlStatus"), code.alias("crawlStatusCode"))
 
 
+    @cached_property
+    def assets(self) -> DataFrame:
+        """Every third bookmark is a file; the even ones were saved from the page of their number."""
+        file = self.bookmarks.filter("type = 'asset'")
+        pages = self.pages.select("page_id", F.col("url").alias("sourceUrl"))
+        n = pages.agg((F.max("page_id") + 1).alias("n"))
+        numbered = file.crossJoin(F.broadcast(n)).select("id", F.when(F.col("id") % 2 == 0, F.pmod("id", "n")).alias("page_id"))  # n is one row
+        return numbered.join(pages, "page_id", "left").select("id", "sourceUrl")
+
+
 #: The same tables in SQL.
 SQL = {
     "bookmarks": """SELECT o_orderkey AS id, o_custkey AS userId, o_orderdate AS createdAt, o_orderstatus = 'F' AS archived, o_orderpriority = '1-URGENT' AS favourited,
@@ -82,7 +92,8 @@ SQL = {
     "users": "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS tier, c_acctbal AS balance, c_nationkey AS nation FROM customer",
     "tags": "SELECT p_partkey AS id, p_name AS name FROM part",
     "tags_on": "SELECT l_orderkey AS bookmarkId, l_partkey AS tagId, CASE WHEN l_returnflag = 'A' THEN 'ai' ELSE 'human' END AS attachedBy FROM lineitem",
-    "lists": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
+    "lists": "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 10 = 0 THEN 'smart' ELSE 'manual' END AS type FROM supplier",
+    "assets": "SELECT o_orderkey AS id, url AS sourceUrl FROM orders LEFT JOIN pages ON o_orderkey % 2 = 0 AND page_id = o_orderkey % (SELECT max(page_id) + 1 FROM pages) WHERE o_orderkey % 3 = 2",
     "in_lists": "SELECT DISTINCT l_orderkey AS bookmarkId, l_suppkey AS listId FROM lineitem",
     "links": """SELECT id, url, regexp_extract(url, '//[^/]+/(\\w+)', 1) AS title, CASE WHEN code >= 500 THEN 'failure' ELSE 'success' END AS crawlStatus, code AS crawlStatusCode FROM (
         SELECT o_orderkey AS id, url, CAST(floor(o_totalprice) AS BIGINT) % 6 * 100 + 1 AS code FROM orders JOIN pages ON page_id = o_orderkey % (SELECT max(page_id) + 1 FROM pages) WHERE o_orderkey % 3 = 0)""",
@@ -91,4 +102,5 @@ SQL = {
 
 def with_tables(sql: str, *names: str) -> str:
     """The SQL with the named logical tables in front."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + sql
+    own = ", " + sql.removeprefix("WITH ") if sql.startswith("WITH ") else " " + sql
+    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + own

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -79,6 +79,45 @@ def failure_runs(events: DataFrame, limit: int = 5) -> DataFrame:
     return events.select("key", "at", "failed").groupBy("key").applyInPandas(run, "key string, at double, run long, off boolean")
 
 
+def batches(ops: DataFrame, count: int, seconds: float) -> DataFrame:
+    """Adds `batch` to operations (seq, at seconds): a batch is closed by its count-th operation, or when one comes `seconds` after its first.
+
+    Equal to a buffer that is flushed by size or by a timer. A stream does the same with a trigger of `seconds` and a
+    limit on the rows of a trigger; this form is for tables and for one micro-batch, whose operations share one buffer.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "seq"], ignore_index=True)
+        batch, held, first, out = 0, 0, 0.0, []
+        for at in pdf["at"]:
+            if held and (held == count or at >= first + seconds):
+                batch, held = batch + 1, 0
+            first = at if not held else first
+            held += 1
+            out.append(batch)
+        return pdf.assign(batch=out)[["buffer", "seq", "at", "batch"]]
+
+    return ops.select("buffer", "seq", F.col("at").cast("double").alias("at")).groupBy("buffer").applyInPandas(run, "buffer string, seq long, at double, batch long")
+
+
+def flush_order(ops: DataFrame) -> DataFrame:
+    """What a flush of (buffer, batch, seq, id, op) does, in `turn`: the last operation of each document, deletions before additions."""
+    own = Window.partitionBy("buffer", "batch", "id").orderBy(F.desc("seq"))
+    last = ops.withColumn("__n", F.row_number().over(own)).filter("__n = 1").drop("__n")
+    turn = Window.partitionBy("buffer", "batch").orderBy(F.when(F.col("op") == "delete", 0).otherwise(1), "seq")
+    return last.withColumn("turn", F.row_number().over(turn))
+
+
+def polls(feeds: DataFrame, now: Column, period: int = 60) -> DataFrame:
+    """Jobs of an hourly poll: each feed (id, userId) in its own minute; one that has passed is meant for the next hour. key: the same within an hour."""
+    from ..functions.text import jitter_minutes
+
+    minute = jitter_minutes(F.col("id").cast("string"), period)
+    hour = F.date_trunc("hour", now)
+    wait = F.pmod(minute - F.minute(now), F.lit(period))
+    return feeds.select("id", "userId", F.concat_ws("-", F.col("id").cast("string"), F.date_format(hour, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("key"), minute.alias("minute"), wait.alias("wait"))
+
+
 # --- rules
 
 
