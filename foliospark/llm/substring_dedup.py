@@ -15,6 +15,9 @@ common extension of two suffixes, and neighbours that count as equal are verifie
 
 Copies of a whole text are not sent: all but the one with the least doc_id go without a window being looked at.
 
+The windows of an anchor that very many blocks have are sent by themselves, each to the part of its own hash, so that no
+part gets all that stands around a line which a third of all documents share.
+
 A message holds the keys of one block for one part, so there are at most as many messages as keys, and only parts that
 a block has keys for are visited. The numbers of parts and tasks follow the size of the text.
 """
@@ -29,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesets import BASE_INV, flat, mix, pack, pieces, powers, prefix_hash, span_hash, unpack
+from .bytesets import BASE, BASE_INV, TABLE, flat, mix, pack, pieces, powers, prefix_hash, span_hash, unpack
 from .exchange import block_columns, by_piece, part_runs, unzipped, zipped
 from .memory import lean_groups
 from .scratch import Scratch, with_locator
@@ -42,6 +45,8 @@ PIECE = 1 << 18
 #: Windows sorted at once in a task, unless a single anchor has more.
 TOGETHER = 250_000
 KEY_BYTES = 6
+#: Pieces of blocks that have an anchor from which on it is frequent.
+FREQUENT = 128
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -134,8 +139,11 @@ def send_anchors(parts: int, length: int, seed: int):
     return by_piece(work)
 
 
-def find_repeats(table: pa.Table) -> pa.Table:
-    """One bit per sent key: more than one document can have it. Pieces hold different rows, so a key of two pieces counts."""
+def find_repeats(table: pa.Table, frequent: int | None = None) -> pa.Table:
+    """Two bits per sent key, one list after the other: more than one document can have it, and it is frequent.
+
+    Pieces hold different rows, so a key of two pieces counts as repeated. Frequent ones are those of many pieces.
+    """
     blobs = table["keys"].to_pylist()
     lens = [len(b) // KEY_BYTES for b in blobs]
     _, at, n = np.unique(np.concatenate([unpack(b, KEY_BYTES) for b in blobs]), return_inverse=True, return_counts=True)
@@ -144,10 +152,10 @@ def find_repeats(table: pa.Table) -> pa.Table:
     inside = np.zeros(len(n), bool)
     inside[at[several]] = True
     yes |= inside[at]
+    often = (n >= (frequent or FREQUENT))[at]
     ends = np.cumsum(lens)
-    return pa.table(
-        {"block": table["block"], "piece": table["piece"], "part": table["part"], "repeats": pa.array([zipped(np.packbits(yes[e - k : e]).tobytes()) for e, k in zip(ends, lens, strict=True)], pa.binary())}
-    )
+    bits = [zipped(np.packbits(yes[e - k : e]).tobytes() + np.packbits(often[e - k : e]).tobytes()) for e, k in zip(ends, lens, strict=True)]
+    return pa.table({"block": table["block"], "piece": table["piece"], "part": table["part"], "repeats": pa.array(bits, pa.binary())})
 
 
 # --- 2: windows around repeated anchors ----------------------------------------------------------------------------
@@ -167,8 +175,19 @@ def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray)
     return same
 
 
+def window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), 4096):
+        out[a : a + 4096] = (TABLE[data[start[a : a + 4096, None] + np.arange(length)]] * powers(BASE, length)).sum(1, dtype=np.uint64)
+    return mix(out)
+
+
 class Block:
-    """A block's rows in stored order, its anchor runs and which of them repeat. Two readings give the same."""
+    """A block's rows in stored order, its anchor runs and which of them repeat. Two readings give the same.
+
+    The windows of a frequent anchor are runs of their own, under the hash of the window instead of the anchor's: what
+    stands around a line that a third of all documents share differs, and so does the part that it goes to.
+    """
 
     def __init__(self, left: pa.Table, right: pa.Table, parts: int, length: int, seed: int):
         self.rows = left.sort_by("__loc_row")
@@ -188,19 +207,28 @@ class Block:
             for r, (a, z) in enumerate(zip(self.off.tolist(), self.off[1:].tolist(), strict=False)):
                 self.copy[r] = self.ids[r] > least.get(hashlib.sha256(self.data[a:z]).digest(), self.ids[r])
         keys = short_keys(g)
-        repeats = np.zeros(len(keys), bool)
+        repeats, frequent = np.zeros((2, len(keys)), bool)
         starts = sorted(got)
         cuts = [*np.searchsorted(at, starts).tolist(), len(at)]
         for piece, a, z in zip(starts, cuts, cuts[1:], strict=False):
             lo, hi = np.searchsorted(text, [a, z])
             own, inverse = np.unique(keys[lo:hi], return_inverse=True)
-            flags = np.zeros(len(own), bool)
+            flags = np.zeros((2, len(own)), bool)
             for part, i, j in part_runs(own, 8 * KEY_BYTES, parts):
-                flags[i:j] = np.unpackbits(np.frombuffer(unzipped(got[piece][part]), np.uint8), count=j - i).astype(bool)
-            repeats[lo:hi] = flags[inverse]
+                bits = np.frombuffer(unzipped(got[piece][part]), np.uint8).reshape(2, -1)
+                flags[:, i:j] = np.unpackbits(bits, axis=1, count=j - i)
+            repeats[lo:hi], frequent[lo:hi] = flags[:, inverse]
         repeats &= ~self.copy[text] if len(text) else repeats
-        self.text, self.start, self.count, self.place, self.g, same = (x[repeats] for x in (text, start, count, place, g, same))
-        del text, start, count, place, g, keys
+        cols = [x[repeats & ~frequent] for x in (text, start, count, place, g, same)]
+        often = np.flatnonzero(repeats & frequent)
+        if len(often):
+            n = count[often].astype(np.int64)
+            at = (np.repeat(start[often] - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
+            window = window_hashes(self.data, at, length)
+            alone = [np.repeat(text[often], n), at, np.ones(len(at), np.uint8), at, mix(window + np.uint64(length)), window]
+            cols = [np.concatenate(c) for c in zip(cols, alone, strict=True)]
+        self.text, self.start, self.count, self.place, self.g, same = cols
+        del text, start, count, place, g, keys, cols
         # equal contexts of a block are one entry, with the least doc_id
         lead = self.place - self.start
         order = np.lexsort((self.ids[self.text] if len(self.text) else self.text, same, lead, self.count, self.g))
@@ -456,12 +484,12 @@ def cut_text(parts: int, length: int, seed: int, with_bytes: bool, with_text: bo
 
 
 def substring_dedup(
-    docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, with_text: bool = False, part_bytes: int | None = None, task_bytes: int | None = None, carry: tuple[str, ...] = ()
+    docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_bytes: bool = False, with_text: bool = False, part_bytes: int | None = None, task_bytes: int | None = None, frequent: int = FREQUENT, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text, and `carry` (columns of docs) as a struct `rest`.
 
     kept (with_bytes) has the remaining bytes; kept_text (with_text) is the text without the characters that go whole.
-    part_bytes, task_bytes: text for one part of the keys and for one task of the exchange.
+    part_bytes, task_bytes: text for one part of the keys and for one task of the exchange. frequent: see FREQUENT.
 
     Texts are whole UTF-8 byte strings, null counts as empty; no match crosses documents. A byte goes when a string of
     `length` bytes over it also starts in a document with a smaller doc_id. Rows that share a doc_id are no reason for
@@ -489,7 +517,7 @@ def substring_dedup(
     by_part = lambda df: df.repartition(parts, "part").groupBy("part")
     by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
     sent = rows.select("window", "block", "__loc_row", "doc_id", "text").mapInArrow(send_anchors(parts, length, seed), ANCHORS)
-    repeats = by_part(sent).applyInArrow(lean_groups(find_repeats), REPEATS).withColumn("copies", F.lit(None).cast(copies.schema["copies"].dataType))
+    repeats = by_part(sent).applyInArrow(lean_groups(lambda table: find_repeats(table, frequent)), REPEATS).withColumn("copies", F.lit(None).cast(copies.schema["copies"].dataType))
     told = scratch.table(repeats.unionByName(copies), "told")
     scratch.drop("marked")
     entries = by_block(rows.select("block", "__loc_row", "doc_id", "text")).cogroup(by_block(told)).applyInArrow(send_entries(parts, length, seed), ENTRIES)

@@ -152,7 +152,8 @@ def test_substring_against_brute_force(docs, rows, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 1000)
     want = brute_cut(rows)
     got = substring_dedup.substring_dedup(docs, with_bytes=True, part_bytes=10_000, task_bytes=10_000).collect()
-    assert len(got) == len(rows)
+    got += substring_dedup.substring_dedup(docs, with_bytes=True, part_bytes=10_000, frequent=2).collect()  # every repeated anchor is frequent
+    assert len(got) == 2 * len(rows)
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
     assert sum(w[1] for w in want.values()) > 10_000
