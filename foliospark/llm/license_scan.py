@@ -1,7 +1,7 @@
 """License scans (op5): passages of a text compared with licence templates by the Dice coefficient of word bigrams.
 
-Passages are the lines, the paragraphs (runs of lines without a blank one), the whole text and all other runs of
-consecutive lines, blank ones skipped. Both sides are normalised: lower case, punctuation dropped, copyright phrases
+Passages are the lines, the sentences of a line, the paragraphs (runs of lines without a blank one), the whole text and
+all other runs of consecutive sentences, whatever lines they stand on. Both sides are normalised: lower case, punctuation dropped, copyright phrases
 dropped, white space unified. A template of b bigrams can reach a score of t only against passages of t/(2-t) b to
 (2-t)/t b bigrams, of which at most 2b (1-t)/t are not its own; other templates are not compared. Of runs that overlap,
 the best counts.
@@ -97,6 +97,8 @@ for _file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambd
     TEMPLATES[_file.name.removesuffix(".txt")].insert(0, _file.read_text(encoding="utf-8"))
 
 WORD = re.compile(r"[^\W_]+")
+#: Where a sentence of a line ends and the next begins.
+SENTENCE_END = re.compile(r"(?<=[.;:!?])[\"')\]]*\s+(?=\S)")
 WORDS = WORD.findall
 #: From the mark to the end of the sentence or line; a bare "copyright" can be prose.
 COPYRIGHT = re.compile(r"^[^\w\n]*(?:copyright[ \t]*(?:\(c\)|©|(?=[<\[]?(?:19|20)\d\d))|\(c\)[ \t]*(?:copyright\b|(?=(?:19|20)\d\d))|©)[^\n]*?(?:[.;](?=[ \t]+\S)|$)", re.I | re.M)
@@ -155,18 +157,22 @@ class Scanner:
         return (tokens[k][0] if k < len(tokens) else 0), words[k:]
 
     def scan(self, text: str) -> list[tuple[str, int, int, str, float]]:
-        """(kind, start, end, licence, score) of every line, paragraph of several lines and text of several lines that matches, and of the best other runs."""
+        """(kind, start, end, licence, score) of every line, sentence, paragraph of several lines and text of several lines that matches, and of the best other runs of sentences."""
         out: list[tuple] = []
         spans: list[tuple] = []
-        lines: list[tuple] = []
+        parts: list[tuple] = []
         whole = Passage()
         paragraph = Passage()
         at, several = 0, False
 
+        def enter(kind: str, start: int, end: int, first: int, last: int, grams: set) -> None:
+            if grams & self.known and (found := self.best(grams)):
+                out.append((kind, start, end, *found))
+                spans.append((first, last))
+
         def close(p: Passage, kind: str) -> None:
-            if p.lines > 1 and (found := self.best(p.grams)):
-                out.append((kind, p.start, p.end, *found))
-                spans.append((p.first, p.first + p.lines - 1))
+            if p.lines > 1:
+                enter(kind, p.start, p.end, p.first, p.final, p.grams)
 
         for line, low in zip(text.split("\n"), text.lower().split("\n"), strict=True):
             end, start = at + len(line), at
@@ -174,15 +180,25 @@ class Scanner:
                 skip, words = self.kept(line)
                 start += skip
             else:
-                words = WORDS(low)
+                skip, words = 0, WORDS(low)
             if words:
                 grams = set(zip(words, words[1:], strict=False))
-                if grams & self.known and (found := self.best(grams)):
-                    out.append(("line", start, end, *found))
-                    spans.append((len(lines), len(lines)))
-                whole.add(words, grams, start, end, len(lines))
-                paragraph.add(words, grams, start, end, len(lines))
-                lines.append((start, end, words, grams))
+                first = len(parts)
+                # no passage begins or ends inside a line without a bigram of a template
+                cuts = [m.end() for m in SENTENCE_END.finditer(line, skip)] if grams & self.known else []
+                if cuts:
+                    for a, z in zip([skip, *cuts], [*cuts, len(line)], strict=True):
+                        if own := WORDS(line[a:z].lower()):
+                            parts.append((at + a, at + len(line[:z].rstrip()), own, set(zip(own, own[1:], strict=False))))
+                if len(parts) - first > 1:
+                    for k in range(first, len(parts)):
+                        enter("sentence", *parts[k][:2], k, k, parts[k][3])
+                else:
+                    del parts[first:]
+                    parts.append((start, end, words, grams))
+                enter("line", start, end, first, len(parts) - 1, grams)
+                for p in (whole, paragraph):
+                    p.add(words, grams, start, end, first, len(parts) - 1)
             elif not line.strip() and paragraph.lines:
                 close(paragraph, "paragraph")
                 paragraph, several = Passage(), True
@@ -190,10 +206,10 @@ class Scanner:
         if several:  # a text of one paragraph is compared once
             close(paragraph, "paragraph")
         close(whole, "text")
-        return out + self.runs(lines, whole.grams, out, spans) if len(lines) > 1 else out
+        return out + self.runs(parts, whole.grams, out, spans) if len(parts) > 1 else out
 
     def runs(self, lines: list[tuple], every: set, out: list[tuple], spans: list[tuple]) -> list[tuple]:
-        """The best runs of lines that don't overlap. A passage of `out` with the same licence, or over half of the words, stands for runs that score no better."""
+        """The best runs of `lines` (sentences) that don't overlap. A passage of `out` with the same licence, or over half of the words, stands for runs that score no better."""
         t = self.threshold
         counts = Counter(k for g in every & self.known for k in self.owners[g])
         able = {k for k, n in counts.items() if n >= self.sizes[k] * t / (2 - t) - 1e-9}
@@ -252,19 +268,19 @@ class Scanner:
 
 
 class Passage:
-    """Consecutive lines and their word bigrams, those across line ends included."""
+    """Consecutive lines and their word bigrams, those across line ends included; `first` to `final` are its sentences."""
 
     def __init__(self):
         self.grams: set = set()
-        self.lines, self.first, self.start, self.end, self.last = 0, 0, 0, 0, None
+        self.lines, self.first, self.final, self.start, self.end, self.last = 0, 0, 0, 0, 0, None
 
-    def add(self, words: list[str], grams: set, start: int, end: int, line: int) -> None:
+    def add(self, words: list[str], grams: set, start: int, end: int, first: int, final: int) -> None:
         self.grams |= grams
         if self.last is not None:
             self.grams.add((self.last, words[0]))
         else:
-            self.start, self.first = start, line
-        self.last, self.end = words[-1], end
+            self.start, self.first = start, first
+        self.last, self.end, self.final = words[-1], end, final
         self.lines += 1
 
 

@@ -50,3 +50,22 @@ def test_best_run_is_the_best_of_all_runs():
         assert got == pytest.approx(want)
         hits += want > 0
     assert hits > 50
+
+
+@pytest.mark.parametrize("sentence, name", [("Licensed under the MIT License.", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")])
+def test_sentence_inside_a_long_line(sentence, name):
+    line = f"The garden was quiet that day, and nobody had watered it. {sentence} Then it rained! And so on; it went."
+    (found,) = L.Scanner(L.TEMPLATES, L.THRESHOLD).scan(line)
+    assert found[0] == "sentence" and found[3] == name and line[found[1] : found[2]].strip() == sentence
+
+
+def test_sentences_across_lines():
+    a = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    b = L.TEMPLATES["ISC"][-1][L.TEMPLATES["ISC"][-1].index("THE SOFTWARE IS") :]
+    text = f"It was late. {a}\n{b} And then the story went on, as stories do. {PROSE}"
+    assert names(text) == {"ISC"}
+
+
+def test_one_very_long_line():
+    line = "The garden was quiet that day, and nobody had watered it. " * 20_000 + "Licensed under the MIT License."
+    assert names(line) == {"MIT"}
