@@ -257,7 +257,7 @@ def _(t, store):
     return t.pages.select("page_id", F.array_join(I.feed_candidates(F.col("url"), F.concat(head, F.col("html"))), " ").alias("feeds"))
 
 
-@query("s22_keyset_iteration", "SELECT count(*) AS n, sum(id) AS total, max(id) AS last FROM bookmarks", "bookmarks")
+@query("s22_keyset_iteration", "SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS total, max(id) AS last FROM bookmarks", "bookmarks")
 def _(t, store):
     """A whole table: partitions take the place of pages by key."""
     return t.bookmarks.select("id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"), F.max("id").alias("last"))

@@ -252,7 +252,7 @@ def _(t):
     return M.metrics(frames).select("metric", F.try_element_at("labels", F.lit("type")).alias("label"), "value")
 
 
-@query("t07_rescored_hits", "SELECT doc_id AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place, (SELECT count(*) FROM documents) AS total, 60 AS next FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
+@query("t07_rescored_hits", "SELECT doc_id AS id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place, (SELECT count(*) FROM documents) AS total, CAST(60 AS BIGINT) AS next FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 40")
 def _(t):
     hits = t.raw("documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"))
     docs = t.raw("documents").select(F.col("doc_id").alias("id"), "n_chars", F.lit(None).cast("timestamp").alias("createdAt"))

@@ -67,16 +67,14 @@ def limited_batch(events: DataFrame, limit: int, window: float, sliding: bool =
 
 
 def failure_runs(events: DataFrame, limit: int = 5) -> DataFrame:
-    """For (key, at, failed): failures in a row after each event, and whether the key is switched off by then."""
+    """For (key, at, failed): failures in a row after each event, and whether the key is switched off by then. Of equal times successes come first.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", ignore_index=True)
-        ok = (~pdf["failed"]).cumsum()
-        pdf["run"] = pdf.groupby(ok)["failed"].cumsum().astype("int64")
-        pdf["off"] = (pdf["run"] >= limit).cummax()
-        return pdf[["key", "at", "run", "off"]]
-
-    return events.select("key", "at", "failed").groupBy("key").applyInPandas(run, "key string, at double, run long, off boolean")
+    Two window sums in one sort per key: the successes so far number the runs, the failures so far in a run count it.
+    """
+    so_far = lambda *by: Window.partitionBy(*by).orderBy("at", "failed").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = events.select("key", "at", "failed", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(so_far("key")).alias("__run"))
+    counted = numbered.withColumn("run", F.sum(F.col("failed").cast("long")).over(so_far("key", "__run")))
+    return counted.select("key", F.col("at").cast("double").alias("at"), "run", F.max(F.col("run") >= limit).over(so_far("key")).alias("off"))
 
 
 def batches(ops: DataFrame, count: int, seconds: float) -> DataFrame:

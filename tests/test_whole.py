@@ -24,7 +24,7 @@ def test_escape_whole_pages(run):
     html = ["<a href=\"x\">it's & so</a>" * 100, "short", "x" * 300 + "<"]
     want = []
     for i, h in enumerate(html):
-        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("`", "&#x60;")):
             h = h.replace(sign, name)
         want.append((i, h))
     assert run("f14_escape", pages=pd.DataFrame({"page_id": range(3), "url": "u", "html": html})) == want
