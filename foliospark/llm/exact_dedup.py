@@ -18,6 +18,8 @@ from .scratch import Scratch, with_locator
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest with more than 1/HEAVY of all rows is heavy: at most HEAVY of them exist, so their list can be broadcast.
 HEAVY, SALTS = 1000, 64
+#: Most files of a batch of updates for each core of the cluster.
+FILES_A_CORE = 4
 
 
 @contextmanager
@@ -28,6 +30,9 @@ def disk_state(spark: SparkSession):
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store reserves some MB of disk
+        # a batch adds one file of changes to a store instead of a snapshot; the file system has checksums of its own
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
@@ -47,6 +52,7 @@ def normalised(text):
 def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_per_batch: int) -> DataFrame:
     """Runs the stream over `keys` (digest, id, __loc_file, __loc_row): digest, keep (id, __loc_file, __loc_row), n."""
     updates = scratch.path("updates")
+    files = FILES_A_CORE * spark.sparkContext.defaultParallelism  # however many state stores there are
     keys.write.option("compression", "zstd").parquet(scratch.path("keys"))
     with disk_state(spark):
         query = (
@@ -57,7 +63,7 @@ def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_pe
             .agg(F.max(F.struct("id", "__loc_file", "__loc_row")).alias("keep"), F.count(F.lit(1)).alias("n"))
             .writeStream.outputMode("update")
             .option("checkpointLocation", scratch.path("state"))
-            .foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{updates}/batch={k}"))
+            .foreachBatch(lambda df, k: df.coalesce(files).write.mode("overwrite").parquet(f"{updates}/batch={k}"))
             .trigger(availableNow=True)
             .start()
         )
