@@ -401,8 +401,8 @@ _search("p05_feed", "-feed:NATION_3", "SELECT b.id FROM bookmarks b JOIN users u
 _search("p06_archived", "-is:archived", "SELECT id FROM bookmarks WHERE NOT archived", "bookmarks")
 _search("p07_url", "url:example.com/en", "SELECT id FROM links WHERE url ILIKE '%example.com/en%' UNION SELECT id FROM assets WHERE sourceUrl ILIKE '%example.com/en%'", "links", "assets")
 _search("p07_url_negated", "-url:example.com/en", "SELECT id FROM links WHERE NOT url ILIKE '%example.com/en%' UNION SELECT id FROM assets WHERE NOT sourceUrl ILIKE '%example.com/en%'", "links", "assets")
-_search("p03_smart_list", "list:Supplier#000000010", "SELECT id FROM bookmarks WHERE favourited AND NOT archived", "bookmarks")
-_search("p03_smart_list_negated", "is:link -list:Supplier#000000010", "SELECT id FROM bookmarks WHERE type = 'link' AND NOT (favourited AND NOT archived)", "bookmarks")
+_search("p03_smart_list", "list:Supplier#000000000", "SELECT id FROM bookmarks WHERE favourited AND NOT archived", "bookmarks")
+_search("p03_smart_list_negated", "is:link -list:Supplier#000000000", "SELECT id FROM bookmarks WHERE type = 'link' AND NOT (favourited AND NOT archived)", "bookmarks")
 _search("p17_sets_below_or", "(is:inlist or url:example.com/en) and (-is:tagged or feed:NATION_3)", """SELECT b.id FROM bookmarks b WHERE (EXISTS (SELECT 1 FROM in_lists m WHERE m.bookmarkId = b.id) OR b.id IN (SELECT id FROM links WHERE url ILIKE '%example.com/en%') OR b.id IN (SELECT id FROM assets WHERE sourceUrl ILIKE '%example.com/en%'))
     AND (NOT EXISTS (SELECT 1 FROM tags_on o WHERE o.bookmarkId = b.id) OR b.userId IN (SELECT id FROM users WHERE nation = 3))""", "bookmarks", "in_lists", "links", "assets", "tags_on", "users")
 _search("p08_title", "title:en", "SELECT b.id FROM bookmarks b LEFT JOIN tags t ON t.id = b.id + 1 LEFT JOIN links l ON l.id = b.id WHERE t.name ILIKE '%en%' OR l.title ILIKE '%en%'", "bookmarks", "tags", "links")

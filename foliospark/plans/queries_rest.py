@@ -108,7 +108,7 @@ def paragraphs_sql() -> str:
 @query("f16_page_signals", f"SELECT *, CASE WHEN text_length < 400 THEN 'short' WHEN outbound_ratio > 2.5 THEN 'links' WHEN ad_scripts > 20 THEN 'ads' END AS reason FROM ({paragraphs_sql()})")
 def _(t):
     s = text.page_signals(F.col("html"), F.regexp_extract("url", r"^https?://(?:www\.)?([^/:?#]+)", 1))
-    return t.pages.select("page_id", *[c.alias(k) for k, c in s.items()]).withColumn("reason", text.quality_reason(F.col("text_length"), F.col("outbound_ratio"), F.col("ad_scripts")))
+    return t.pages.select("page_id", *[(c if k == "outbound_ratio" else c.cast("long")).alias(k) for k, c in s.items()]).withColumn("reason", text.quality_reason(F.col("text_length"), F.col("outbound_ratio"), F.col("ad_scripts")))
 
 
 @query("f19_quality_reason", "SELECT event_id, CASE WHEN value * 20 < 400 THEN 'short' WHEN value / 10 > 2.5 THEN 'links' WHEN user_id % 40 > 20 THEN 'ads' END AS reason FROM events")
@@ -142,7 +142,7 @@ def _(t):
     return c.select("turn", "conv_id", F.array_join(text.chunk_problems(F.col("text"), out, False), ",").alias("problems"))
 
 
-@query("f27_robots", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN NOT regexp_matches(path, '^/en/') WHEN 1 THEN NOT regexp_matches(path, '^/(en|fr)/') OR regexp_matches(path, '^/fr/1') WHEN 2 THEN true ELSE false END AS allowed, CASE page_id % 4 WHEN 0 THEN 2.5 WHEN 3 THEN 7.0 END AS delay FROM (SELECT *, regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) AS path FROM pages)")
+@query("f27_robots", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN NOT regexp_matches(path, '^/en/') WHEN 1 THEN NOT regexp_matches(path, '^/(en|fr)/') OR regexp_matches(path, '^/fr/1') WHEN 2 THEN true ELSE false END AS allowed, CAST(CASE page_id % 4 WHEN 0 THEN 2.5 WHEN 3 THEN 7.0 END AS DOUBLE) AS delay FROM (SELECT *, regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) AS path FROM pages)")
 def _(t):
     files = [
         "User-agent: bot\nUser-agent: MyBot # two agents\nDisallow: /en/\nCrawl-delay: 2.5\n\nUser-agent: *\nDisallow: /",

@@ -68,7 +68,8 @@ def test_lines_and_unknown_source(spark, file):
 
 def test_merge_by_url(spark):
     data = [("A", "link", "u", None, ["x"], 200.0, "n1", False, [["p"]], None), (None, "link", "u", None, ["y", "x"], 100.0, "n2", True, [["q"]], ["l"]), ("T", "text", None, "words", [], 1.0, None, None, [], None), ("T", "text", None, "words", [], 1.0, None, None, [], None)]
-    got = I.merge_by_url(spark.createDataFrame(data, I.ROW).coalesce(1)).collect()
+    placed = spark.createDataFrame([(*r, k) for k, r in enumerate(data)], f"{I.ROW}, place long")
+    got = I.merge_by_url(placed.repartition(3), "place").collect()
     one = next(r for r in got if r.url == "u")
     assert len(got) == 3 and (one.title, one.tags, one.addDate, one.notes, one.archived, one.paths, one.listExternalIds) == ("A", ["x", "y"], 100.0, "n1\n---\nn2", True, [["p"], ["q"]], ["l"])
 
