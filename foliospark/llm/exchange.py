@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from .memory import lean
 
 
+def part_of(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+
+
 def part_runs(keys: np.ndarray, bits: int, parts: int) -> list[tuple[int, int, int]]:
     """(part, begin, end) of the parts that sorted keys of so many bits fall into."""
     if not len(keys):
         return []
-    part = ((keys >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
+    part = part_of(keys, bits, parts)
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return list(zip(part[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True))
 

@@ -222,3 +222,16 @@ def test_span_hash_is_independent_of_place():
     a, b = span_hash(h, np.array([2]), np.array([7])), span_hash(h, np.array([9]), np.array([14]))
     assert a == b and mix(a) == mix(b)
     assert pa.__version__
+
+
+def test_substring_in_rounds(docs, rows, monkeypatch):
+    """With little room for entries the parts are taken in rounds; entries are never a stored table, and nothing is lost."""
+    names, real = [], substring_dedup.Scratch.table
+    monkeypatch.setattr(substring_dedup.Scratch, "table", lambda self, df, name: names.append(name) or real(self, df, name))
+    want = brute_cut(rows)
+    for frequent in (substring_dedup.FREQUENT, 2):
+        names.clear()
+        got = substring_dedup.substring_dedup(docs, with_bytes=True, part_bytes=10_000, entry_bytes=20_000, frequent=frequent).collect()
+        assert len(got) == len(rows) and sum(n.startswith("bits") for n in names) > 2 and "entries" not in names
+        for r in got:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
