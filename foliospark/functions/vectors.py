@@ -21,9 +21,9 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays zero. The norm is bound as a lambda's variable: it is computed once a vector, not for each element."""
+    unit = lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return F.element_at(F.transform(F.array(norm(a)), unit), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -60,7 +60,7 @@ def _(t):
 
 @query("v08_spherical_kmeans")
 def _(t):
-    e = embeddings(t).select("id", vectors.normalised(F.col("vector")).alias("vector"))
+    e = Store(t.spark, "v08_spherical_kmeans").table(embeddings(t).select("id", vectors.normalised(F.col("vector")).alias("vector")))  # read again in each round
     return R.spherical_kmeans(e, R.cluster_count(e.count()))[1]
 
 
