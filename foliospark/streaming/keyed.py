@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.stored import Store
+
 OUT = "key string, at double, allowed boolean, left long"
 
 
@@ -77,25 +83,79 @@ def failure_runs(events: DataFrame, limit: int = 5) -> DataFrame:
     return counted.select("key", F.col("at").cast("double").alias("at"), "run", F.max(F.col("run") >= limit).over(so_far("key")).alias("off"))
 
 
-def batches(ops: DataFrame, count: int, seconds: float) -> DataFrame:
-    """Adds `batch` to operations (seq, at seconds): a batch is closed by its count-th operation, or when one comes `seconds` after its first.
+#: Operations in a chunk of a table, about.
+CHUNK = 200_000
+
+
+def following(at: np.ndarray, count: int, seconds: float) -> np.ndarray:
+    """For each operation, in order, where the batch that it opens has its end: the place of the next one's first. Without an end within `at`: len(at) or more."""
+    n, known = len(at), int(len(at) - np.isnan(at).sum())  # operations without a time come last and close no batch by it
+    own = np.arange(n)
+    late = np.maximum(np.searchsorted(at[:known], at + seconds), own + 1)
+    return np.minimum(own + count, np.where(late < known, late, n + count))
+
+
+def batches(ops: DataFrame, count: int, seconds: float, chunk: int | None = None) -> DataFrame:
+    """Adds `batch` to operations (buffer, seq, at seconds): a batch is closed by its count-th operation, or when one comes `seconds` after its first.
 
     Equal to a buffer that is flushed by size or by a timer. A stream does the same with a trigger of `seconds` and a
     limit on the rows of a trigger; this form is for tables and for one micro-batch, whose operations share one buffer.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq"], ignore_index=True)
-        batch, held, first, out = 0, 0, 0.0, []
-        for at in pdf["at"]:
-            if held and (held == count or at >= first + seconds):
-                batch, held = batch + 1, 0
-            first = at if not held else first
-            held += 1
-            out.append(batch)
-        return pdf.assign(batch=out)[["buffer", "seq", "at", "batch"]]
-
-    return ops.select("buffer", "seq", F.col("at").cast("double").alias("at")).groupBy("buffer").applyInPandas(run, "buffer string, seq long, at double, batch long")
+    A buffer is cut into chunks by time. A batch that is open at a chunk's begin ends within its first `count` operations,
+    so a chunk tells for each of these how it would be left if a batch began there; a pass over these short records, one
+    for each chunk, finds what is open at each begin, and every chunk numbers its own.
+    chunk: about so many operations are in a task's memory, and 10 * count at least.
+    """
+    store = Store(ops.sparkSession, "batches")
+    rows = ops.select(F.col("buffer").cast("string").alias("buffer"), "seq", F.col("at").cast("double").alias("at"))
+    parts = max(1, -(-rows.count() // max(chunk or CHUNK, 10 * count)))
+    rows = store.table(rows.repartitionByRange(parts, "buffer", F.asc_nulls_last("at"), "seq").withColumn("chunk", F.spark_partition_id()))
+    by = ["buffer", "chunk"]
+
+    def times(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.sort_by([("at", "ascending"), ("seq", "ascending")])
+        return table, pc.fill_null(table["at"], float("nan")).to_numpy()
+
+    def tell(table: pa.Table) -> pa.Table:
+        _, at = times(table)
+        n = len(at)
+        after = following(at, count, seconds)
+        to, made = np.where(after < n, after, np.arange(n)), (after < n).astype(np.int64)
+        while (to[to] != to).any():  # twice as far each time
+            made, to = made + made[to], to[to]
+        few = min(count, n)
+        own = [pa.array([x], t) for x, t in ((n, pa.int64()), (at[:few].tolist(), pa.list_(pa.float64())), (at[to[:few]].tolist(), pa.list_(pa.float64())), ((n - to[:few]).tolist(), pa.list_(pa.int64())), (made[:few].tolist(), pa.list_(pa.int64())))]
+        return pa.table([table["buffer"].slice(0, 1), table["chunk"].slice(0, 1), *own], names=["buffer", "chunk", "n", "head", "first", "held", "made"])
+
+    def open_at(table: pa.Table) -> pa.Table:
+        """The batch that is open before each chunk, -1 if none, and how many operations the chunk adds to it."""
+        table = table.sort_by("chunk")
+        batch, held, first, begins = 0, 0, math.nan, []
+        for n, head, firsts, helds, made in zip(*(table[c].to_pylist() for c in ("n", "head", "first", "held", "made")), strict=True):
+            late = next((k for k, x in enumerate(head) if x >= first + seconds), count)
+            own = min(count - held, late) if held else 0
+            begins.append((own, batch if held else -1))
+            if own >= n:
+                held += n
+                continue
+            batch += (held > 0) + made[own]
+            first, held = firsts[own], helds[own]
+        return pa.table([table["buffer"], table["chunk"], *(pa.array(list(x), pa.int64()) for x in zip(*begins, strict=True))], names=["buffer", "chunk", "own", "batch"])
+
+    def number(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, at = times(left)
+        own, batch = right["own"][0].as_py(), right["batch"][0].as_py()
+        after = following(at, count, seconds).tolist()
+        starts = np.zeros(len(at), np.int64)
+        k = own
+        while k < len(at):
+            starts[k] = 1
+            k = after[k]
+        return left.select(["buffer", "seq", "at"]).append_column("batch", pa.array(batch + np.cumsum(starts)))
+
+    told = rows.groupBy(by).applyInArrow(tell, "buffer string, chunk int, n long, head array<double>, first array<double>, held array<long>, made array<long>")
+    begins = told.groupBy("buffer").applyInArrow(open_at, "buffer string, chunk int, own long, batch long")
+    return rows.groupBy(by).cogroup(begins.groupBy(by)).applyInArrow(number, "buffer string, seq long, at double, batch long")
 
 
 def flush_order(ops: DataFrame) -> DataFrame:

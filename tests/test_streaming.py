@@ -90,3 +90,40 @@ def test_rules_on_events_and_streams(spark, tmp_path):
     q = keyed.actions(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), rules).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda d, _: got.extend(d.select(F.col("ruleId"), "bookmarkId", "action", "target").collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize(("count", "seconds", "chunk"), [(5, 40.0, 50), (3, 1e9, 30), (4, 0.0, 40), (20, 7.0, 200)])
+def test_batches_over_chunks(spark, count, seconds, chunk):
+    """One buffer of many chunks, short ones and times that are missing, against a plain loop."""
+    rng = random.Random(count)
+    rows = [("one", i, float(rng.randrange(3000))) for i in range(700)] + [("two", i, float(i // 3)) for i in range(9)] + [("three", 1, 5.0), ("three", 2, None), ("three", 0, None)]
+    rows += [("four", i, float(i) if i < 100 else None) for i in range(150)]
+    want, now = {}, {}
+    for b, q, at in sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0, r[1])):
+        n, held, first = now.get(b, (0, 0, None))
+        if held and (held == count or (at is not None and first is not None and at >= first + seconds)):
+            n, held = n + 1, 0
+        first = at if not held else first
+        now[b] = (n, held + 1, first)
+        want[b, q] = (at, n)
+    mixed = rng.sample(rows, len(rows))
+    got = keyed.batches(spark.createDataFrame(mixed, "buffer string, seq long, at double").repartition(5), count, seconds, chunk).collect()
+    assert len(got) == len(rows) and {(r.buffer, r.seq): (r.at, r.batch) for r in got} == want
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3])
+def test_batches_over_chunks_shorter_than_a_batch(spark, monkeypatch, cut):
+    """Chunks of a few operations: a batch goes through several of them."""
+    rows = [("b", i, float(i + 100 * (i // 17))) for i in range(60)]
+    real = type(spark.range(1)).repartitionByRange
+    parts = []
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda self, n, *by: parts.append(1) or real(self, 60 // cut, *by))
+    got = sorted((r.seq, r.batch) for r in keyed.batches(spark.createDataFrame(rows, "buffer string, seq long, at double"), 8, 50.0).collect())
+    want, batch, held, first = [], 0, 0, 0.0
+    for _, i, at in rows:
+        if held and (held == 8 or at >= first + 50):
+            batch, held = batch + 1, 0
+        first = at if not held else first
+        held += 1
+        want.append((i, batch))
+    assert got == want and parts
