@@ -70,6 +70,15 @@ def one_each(df, key, store, form="text"):
     return path
 
 
+#: Rows in a document that is read whole.
+FILE_ROWS = 10_000
+
+
+def file_count(df, least=1):
+    """Files for a table's rows, so that a file's size doesn't grow with the table."""
+    return max(least, -(-df.count() // FILE_ROWS))
+
+
 def csv(df, store):
     path = store.path()
     df.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -95,9 +104,14 @@ def _(t, store):
     none = F.array().cast("array<string>")
     docs = t.bookmarks.join(held, "id", "left").select((F.unix_micros(F.col("createdAt").cast("timestamp")) / 1e6).alias("createdAt"), F.col("id").cast("string").alias("title"), none.alias("tags"), F.coalesce("lists", none).alias("lists"), "type", names("https://x.org/", F.col("id").cast("string")).alias("url"), F.lit("words").alias("text"), F.lit(None).cast("string").alias("note"), "archived")
     records = X.native_records(docs).filter("content IS NOT NULL")
-    part = F.pmod(F.xxhash64("title"), F.lit(16))
-    lists = X.list_records(t.lists).agg(F.collect_list(F.struct("id", "name", "type")).alias("lists"))  # a user's lists
-    files = records.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*records.columns)).alias("bookmarks")).crossJoin(F.broadcast(lists))  # lists is one row
+    n = file_count(t.bookmarks, 16)
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).alias("part")
+    in_files = lambda df: df.repartition(n, "part").groupBy("part")  # noqa: E731  about a file in a task
+    lists = X.list_records(t.lists).select("id", "name", "type")
+    # a file has the lists that its bookmarks are in, and each list is in one more
+    used = records.select(part("title"), F.explode("lists").alias("id")).unionByName(lists.select(part("id"), "id")).distinct().join(lists, "id")
+    lists = in_files(used).agg(F.collect_list(F.struct("id", "name", "type")).alias("lists"))
+    files = in_files(records.withColumn("part", part("title"))).agg(F.collect_list(F.struct(*records.columns)).alias("bookmarks")).join(lists.hint("merge"), "part", "left")
     got = I.read_import(t.spark, "native-json", one_each(files, "part", store, "json"))
     return got.select("title", "contentType", "url", F.col("addDate").cast("long").alias("addDate"), "archived", F.array_join(F.sort_array("listExternalIds"), ",").alias("lists"))
 

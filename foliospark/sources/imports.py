@@ -174,9 +174,15 @@ NATIVE = "bookmarks array<struct<createdAt:double,title:string,tags:array<string
 def native_json(spark: SparkSession, path: str) -> DataFrame:
     """The library's own export; memberships of manual lists only."""
     file = spark.read.schema(NATIVE).option("multiLine", True).json(path)
-    manual = F.transform(F.filter("lists", lambda x: x["type"] == "manual"), lambda x: x["id"])
-    b = file.select(F.explode("bookmarks").alias("b"), manual.alias("manual"))
-    return b.select(*row(title=F.col("b.title"), contentType=F.col("b.content.type"), url=F.col("b.content.url"), text=F.col("b.content.text"), tags=F.col("b.tags"), addDate=F.col("b.createdAt"), notes=F.col("b.note"), archived=F.col("b.archived"), listExternalIds=F.array_intersect("b.lists", "manual")))
+    doc = F.struct("_metadata.file_path", F.xxhash64("bookmarks", "lists")).alias("doc")  # of equal documents any will do
+    file = file.select(doc, F.col("lists").isNotNull().alias("known"), "bookmarks", "lists")
+    b = file.select("doc", "known", F.posexplode("bookmarks").alias("place", "b"))
+    # a file's lists meet its memberships in a join; beside each bookmark they would be as many as both multiplied
+    manual = file.select("doc", F.explode("lists").alias("x")).filter("x.type = 'manual'").select("doc", F.col("x.id").alias("list")).distinct()
+    held = b.select("doc", "place", F.posexplode("b.lists").alias("n", "list")).join(manual, ["doc", "list"], "left_semi")
+    held = held.groupBy("doc", "place").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("n", "list"))), lambda s: s["list"])).alias("held"))
+    b = b.join(held, ["doc", "place"], "left").withColumn("held", F.when(F.col("known") & F.col("b.lists").isNotNull(), F.coalesce("held", F.array().cast(NO_TAGS))))
+    return b.select(*row(title=F.col("b.title"), contentType=F.col("b.content.type"), url=F.col("b.content.url"), text=F.col("b.content.text"), tags=F.col("b.tags"), addDate=F.col("b.createdAt"), notes=F.col("b.note"), archived=F.col("b.archived"), listExternalIds=F.col("held")))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -140,3 +140,23 @@ def test_edit_distance_of_neighbours(run):
     t, tags = users_tags()
     want = [(x[0], y[0], distance(x[0], y[0])) for rows in tags.values() for x, y in zip(rows, rows[1:], strict=False)]
     assert run("f11_edit_distance", **t) == sorted(want)
+
+
+def test_backup_in_bounded_files(spark, tmp_path, monkeypatch):
+    """A file has the lists of its own bookmarks, not all of them, and all memberships of manual lists come back."""
+    import json
+
+    from foliospark.plans import queries_exchange
+
+    monkeypatch.setattr(queries_exchange, "FILE_ROWS", 10)
+    written, real = [], queries_exchange.one_each
+    monkeypatch.setattr(queries_exchange, "one_each", lambda *a: written.append(real(*a)) or written[-1])
+    orders = pd.DataFrame([(i, 1, pd.Timestamp("2024-01-01"), "F", "1-URGENT", 5.0) for i in range(600)], columns=["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    items = pd.DataFrame([(i, 1, s, "A") for i in range(600) for s in (i % 300, (7 * i) % 300)], columns=["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag"])
+    lists = pd.DataFrame([(i, f"s{i}") for i in range(300)], columns=["s_suppkey", "s_name"])
+    for name, df in (("orders", orders), ("lineitem", items), ("supplier", lists)):
+        df.to_parquet(tmp_path / f"{name}.parquet", coerce_timestamps="us")
+    got = {r.title: r.lists for r in catalog.queries()["s05_native_json"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): ",".join(sorted({str(s) for s in (i % 300, (7 * i) % 300) if s % 10})) for i in range(600) if i % 3 < 2}
+    files = [json.loads(x.value) for x in spark.read.text(written[0]).collect()]
+    assert len(files) > 16 and max(len(f["lists"]) for f in files) < 150 and {x["id"] for f in files for x in f["lists"]} == {str(i) for i in range(300)}
