@@ -140,11 +140,13 @@ def _(t, store):
 
 @query("s08_session_json", "SELECT 't' || event_id AS title, 'https://e.org/' || event_id AS url, event_id AS addDate FROM events WHERE user_id % 13 = (SELECT max(user_id % 13) FROM events)")
 def _(t, store):
-    """Thirteen sessions of windows by kind of event; the one of the latest date counts."""
+    """Thirteen sessions of windows by kind of event, each dealt over the files; the one of the latest date counts."""
     tab = F.struct(names("https://e.org/", F.col("event_id").cast("string")).alias("url"), names("t", F.col("event_id").cast("string")).alias("title"), (F.col("event_id") * 1000.0).alias("lastAccessed"))
-    tabs = t.events.groupBy((F.col("user_id") % 13).cast("double").alias("date"), "event_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), tab))).alias("tabs"))
-    sessions = tabs.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "tabs"))).alias("windows"))
-    path = store.text(sessions.agg(F.to_json(F.collect_list(F.struct("date", "windows"))).alias("value")))
+    n = file_count(t.events)
+    dealt = t.events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(n))).repartition(n, "part")  # about a file in a task
+    tabs = dealt.groupBy("part", (F.col("user_id") % 13).cast("double").alias("date"), "event_type").agg(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), tab))).alias("tabs"))
+    sessions = tabs.groupBy("part", "date").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "tabs"))).alias("windows"))
+    path = one_each(sessions.groupBy("part").agg(F.to_json(F.collect_list(F.struct("date", "windows"))).alias("value")), "part", store)
     got = I.read_import(t.spark, "session-json", path)
     return got.select("title", "url", F.col("addDate").cast("long").alias("addDate"))
 

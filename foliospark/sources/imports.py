@@ -152,11 +152,14 @@ def collection_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def session_json(spark: SparkSession, path: str) -> DataFrame:
-    """Sessions of windows of tabs: the latest session only, of equal dates the later in the file."""
+    """Sessions of windows of tabs: the latest session only, of equal dates the later in the file. A session of several files is that of their latest date."""
     sessions = "array<struct<date:double,windows:map<string,map<string,struct<url:string,title:string,lastAccessed:double>>>>>"
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", sessions)))
-    last = rows.agg(F.max_by("col.windows", F.struct("col.date", "pos")).alias("w"))
-    tabs = last.select(F.explode(F.map_values("w")).alias("t")).select(F.explode(F.map_values("t")).alias("t"))
+    text = spark.read.text(path, wholetext=True)
+    latest = text.select(F.from_json("value", "array<struct<date:double>>").alias("s")).agg(F.max(F.array_max(F.transform("s", lambda x: x["date"]))).alias("latest"))
+    places = F.transform("s", lambda x, i: F.struct(x["date"].alias("date"), i.alias("pos")))
+    files = text.select(F.from_json("value", sessions).alias("s")).filter(F.size("s") > 0).select("s", F.array_max(places).alias("last"))
+    last = files.join(F.broadcast(latest), F.col("last.date").eqNullSafe(F.col("latest")))  # latest is one row
+    tabs = last.select(F.explode(F.map_values(F.get("s", F.col("last.pos"))["windows"])).alias("t")).select(F.explode(F.map_values("t")).alias("t"))
     return tabs.select(*row(title=F.col("t.title"), contentType=F.lit("link"), url=F.col("t.url"), addDate=F.col("t.lastAccessed") / 1000))
 
 

@@ -142,6 +142,21 @@ def test_edit_distance_of_neighbours(run):
     assert run("f11_edit_distance", **t) == sorted(want)
 
 
+def test_session_over_several_files(run, spark, tmp_path, monkeypatch):
+    """Files are bounded in rows; the tabs of the latest session come from all of them, of equal dates in a file the later ones."""
+    from foliospark.plans import queries_exchange
+    from foliospark.sources import imports as I
+
+    monkeypatch.setattr(queries_exchange, "FILE_ROWS", 40)
+    e = events()
+    assert run("s08_session_json", events=e) == sorted((f"t{r.event_id}", f"https://e.org/{r.event_id}", r.event_id) for r in e.itertuples() if r.user_id % 13 == max(e.user_id % 13))
+    (tmp_path / "s").mkdir()
+    for k, sessions in enumerate(([(9, "a"), (3, "b")], [(9, "c"), (9, "d")], [(4, "e")], [])):
+        body = ", ".join(f'{{"date": {d}, "windows": {{"w": {{"1": {{"url": "https://{x}.org"}}}}}}}}' for d, x in sessions)
+        (tmp_path / "s" / f"{k}.json").write_text(f"[{body}]")
+    assert sorted(r.url for r in I.read_import(spark, "session-json", str(tmp_path / "s")).collect()) == ["https://a.org", "https://d.org"]
+
+
 def test_backup_in_bounded_files(spark, tmp_path, monkeypatch):
     """A file has the lists of its own bookmarks, not all of them, and all memberships of manual lists come back."""
     import json
