@@ -22,13 +22,15 @@ A message holds the keys of one block for one part, so there are at most as many
 a block has keys for are visited. The numbers of parts and tasks follow the size of the text.
 
 The larger a corpus, the more of its anchors repeat, up to all of them, and what stands around anchors is several times
-the text. So step 2 goes round by round over ranges of parts; the answers in step 1 tell how many rounds keep the entries
-of a round within the size of the text, and they pass through the shuffle only.
+the text. So step 2 goes round by round over ranges of parts, and entries pass through the shuffle only. The answers in step
+1 tell about how many parts keep the entries of the first round within the size of the text; from then on the bytes that
+parts were sent tell it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ KEY_BYTES = 6
 FREQUENT = 128
 #: Bytes of an entry in the shuffle (41.6 measured over 0.1 GB), and windows of an anchor.
 ENTRY_BYTES, WINDOWS = 42, 16
+#: The first round, of which no bytes are known yet, has room for so many times what is expected: a key can have several entries in a block.
+ROOM = 3
 
 
 # --- anchors -------------------------------------------------------------------------------------------------------
@@ -168,7 +172,7 @@ def find_repeats(table: pa.Table, frequent: int | None = None) -> pa.Table:
 # --- 2: windows around repeated anchors ----------------------------------------------------------------------------
 
 ENTRIES = "part int, block long, n int, entries binary"
-BITS = "block long, part int, bits binary"
+BITS = "block long, part int, bits binary, sent long"
 
 
 def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -377,7 +381,7 @@ def equal_runs(data: np.ndarray, h: np.ndarray, starts: np.ndarray, group: np.nd
 
 
 def mark(length: int, together: int = TOGETHER):
-    """For each entry, a bit for each of its windows: a smaller document has it as well."""
+    """For each entry, a bit for each of its windows: a smaller document has it as well. sent: bytes of the message."""
 
     def run(table: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
@@ -427,7 +431,7 @@ def mark(length: int, together: int = TOGETHER):
             hit = docs > least
             np.bitwise_or.at(bits, some[own[sorted_[hit]]], np.uint32(1) << step[sorted_[hit]].astype(np.uint32))
         ends = np.cumsum(table["n"].to_numpy())
-        return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([zipped(bits[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), table["n"].to_pylist(), strict=True)], pa.binary())})
+        return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([zipped(bits[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends.tolist(), table["n"].to_pylist(), strict=True)], pa.binary()), "sent": pc.binary_length(table["entries"]).cast(pa.int64())})
 
     return lean_groups(run)
 
@@ -534,13 +538,18 @@ def substring_dedup(
     scratch.drop("marked")
     # whole copies send no entries, though their anchors repeat
     due = (told.agg(F.sum("due")).first()[0] or 0) * ENTRY_BYTES * once // max(1, total)
-    rounds = min(parts, max(1, -(-due // max(1, entry_bytes or total))))
     told = told.drop("due")
     both = told.withColumn("bits", F.lit(None).cast("binary"))
-    for k in range(rounds):
-        span = parts * k // rounds, parts * (k + 1) // rounds
+    most, a_part, k, end = max(1, entry_bytes or total), ROOM * due / parts, 0, 0
+    while end < parts:
+        left = parts - end
+        rounds = min(left, max(1, math.ceil(left * a_part / most)))  # of about equal size
+        span = end, end + -(-left // rounds) if k else end + left // rounds
         entries = by_block(rows.select("block", "__loc_row", "doc_id", "text")).cogroup(by_block(told)).applyInArrow(send_entries(parts, length, seed, span), ENTRIES)
         bits = scratch.table(by_part(entries, span[1] - span[0]).applyInArrow(mark(length), BITS), f"bits-{k}")
+        k, end = k + 1, span[1]
+        sent = (bits.agg(F.sum("sent")).first()[0] or 0) / (span[1] - span[0]) if end < parts else 0
+        a_part = sent if k == 1 else max(a_part, sent)
         both = both.unionByName(
             bits.select("block", F.lit(None).cast("long").alias("piece"), "part", F.lit(None).cast("binary").alias("repeats"), F.lit(None).cast(copies.schema["copies"].dataType).alias("copies"), "bits")
         )

@@ -235,3 +235,23 @@ def test_substring_in_rounds(docs, rows, monkeypatch):
         assert len(got) == len(rows) and sum(n.startswith("bits") for n in names) > 2 and "entries" not in names
         for r in got:
             assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
+
+
+def test_substring_rounds_follow_bytes_sent(docs, rows, monkeypatch):
+    """What is expected of the entries can be far too little: after the first round the bytes sent count."""
+    sent, real = [], substring_dedup.Scratch.table
+
+    def table(self, df, name):
+        out = real(self, df, name)
+        if name.startswith("bits"):
+            sent.append(out.agg(F.sum("sent")).first()[0] if "sent" in out.columns else None)
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "table", table)
+    monkeypatch.setattr(substring_dedup, "ENTRY_BYTES", 8)  # a fifth of the truth
+    got = substring_dedup.substring_dedup(docs, with_bytes=True, part_bytes=2_000, entry_bytes=20_000).collect()
+    want = brute_cut(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
+    assert len(sent) > 2 and max(x or 0 for x in sent[1:]) < 2 * 20_000
