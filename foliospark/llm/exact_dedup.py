@@ -13,13 +13,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, with_locator
+from .scratch import FILES_A_CORE, Scratch, with_locator
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A digest with more than 1/HEAVY of all rows is heavy: at most HEAVY of them exist, so their list can be broadcast.
 HEAVY, SALTS = 1000, 64
-#: Most files of a batch of updates for each core of the cluster.
-FILES_A_CORE = 4
 
 
 @contextmanager
@@ -72,7 +70,7 @@ def keyed_state(spark: SparkSession, keys: DataFrame, scratch: Scratch, files_pe
         return spark.createDataFrame([], "digest binary, keep struct<id:bigint,__loc_file:string,__loc_row:bigint>, n bigint")
     # the state of a digest only grows, so its last update is its largest
     last = spark.read.parquet(updates).groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n"))
-    return scratch.table(last, "final")
+    return scratch.few(last, "final")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=None, files_per_batch: int = 1000) -> DataFrame:

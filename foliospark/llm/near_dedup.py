@@ -242,18 +242,18 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Large-star and small-star in turn: each node's neighbours are tied to the least of them, until only stars are left.
     """
-    edges = scratch.table(links.select("a", "b").filter("a <> b"), f"{name}-0")
+    edges = scratch.few(links.select("a", "b").filter("a <> b"), f"{name}-0")
     k = 0
     while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = scratch.table(large, f"{name}-{k}-large")
+        large = scratch.few(large, f"{name}-{k}-large")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e"))
         k += 1
-        edges = scratch.table(small.select("e.*").filter("a <> b").distinct(), f"{name}-{k}")
+        edges = scratch.few(small.select("e.*").filter("a <> b").distinct(), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}", f"{name}-{k - 1}-large")
         # stars: every node points to one other, which points nowhere
         ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("b", F.lit(0), F.lit(1)))
@@ -269,13 +269,13 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
     classes = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
     )
-    classes = scratch.table(classes, "classes")
+    classes = scratch.few(classes, "classes")
     tokens = classes.select("class", F.posexplode("sig")).select("class", F.xxhash64("pos", "col").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(frequent, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).filter(F.size("t") >= T)
-    postings = scratch.table(shared.select("class", F.explode(F.slice("t", F.lit(1), F.size("t") - (T - 1))).alias("x")).select("class", F.col("x.token").alias("token")), "postings")
+    postings = scratch.few(shared.select("class", F.explode(F.slice("t", F.lit(1), F.size("t") - (T - 1))).alias("x")).select("class", F.col("x.token").alias("token")), "postings")
     texts = rows.join(postings.select("class").distinct().join(classes, "class").select("class", F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id").select("class", "text")
-    sets = scratch.table(texts.mapInArrow(full_sets, "class binary, n long, sketch array<long>, members binary").dropDuplicates(["class"]), "sets")
+    sets = scratch.few(texts.mapInArrow(full_sets, "class binary, n long, sketch array<long>, members binary").dropDuplicates(["class"]), "sets")
     known = sets.select("class", "n", "sketch")
 
     # each list ties its members to one of them
@@ -285,14 +285,14 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = pairs.join(ends[0], "a").join(ends[1], "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (BITS - differ >= AGREE)).select("a", "b")
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("members").alias("set_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("set_b")), "b")
-    links = scratch.table(full.mapInArrow(confirm(percent), "a binary, b binary"), "links-0")
+    links = scratch.few(full.mapInArrow(confirm(percent), "a binary, b binary"), "links-0")
     if links.isEmpty():
         comp = known.select(F.col("class").alias("node"), F.col("class").alias("comp"))
     else:
         comp = components(links, scratch, "comp-0")
         comp = known.select(F.col("class").alias("node")).join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
     sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    comp = scratch.table(comp.join(sizes, "comp").join(known.withColumnRenamed("class", "node"), "node"), "comp")
+    comp = scratch.few(comp.join(sizes, "comp").join(known.withColumnRenamed("class", "node"), "node"), "comp")
 
     # classes of different components that share a list
     lists = postings.groupBy("class").agg(F.collect_list("token").alias("tokens")).join(comp.withColumnRenamed("node", "class"), "class")
@@ -302,20 +302,20 @@ def linked(docs: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame,
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     lists = lists.select("token", F.least("own", "other").alias("cell_i"), F.greatest("own", "other").alias("cell_j"), "own", "class", "comp", "members", "n", "sketch", "tokens")
     visits = lists.groupBy("token", "cell_i", "cell_j").applyInArrow(meet(percent), "class binary, comp binary").distinct()
-    visits = scratch.table(visits, "visits")
+    visits = scratch.few(visits, "visits")
 
     # they meet the members of that component, in cells
     members = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("host_n"))
     guests = visits.join(known.select("class", "n"), "class").groupBy("comp").agg(F.count(F.lit(1)).alias("guests"), F.sum("n").alias("guest_n")).join(members, "comp")
     cells = lambda rows, n: F.ceil(F.greatest(F.col(rows) / CELL, F.col(n) / CELL_SHINGLES)).cast("int")
     guests = guests.select("comp", cells("guests", "guest_n").alias("columns"), cells("hosts", "host_n").alias("rows"))
-    guests = scratch.table(guests, "guests")
+    guests = scratch.few(guests, "guests")
     of = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hosts = comp.select("comp", F.col("node").alias("class")).join(guests, "comp").withColumn("i", of("rows")).withColumn("j", each("columns")).select("comp", "i", "j", "class", F.lit(False).alias("guest"))
     come = visits.select("comp", "class").join(guests, "comp").withColumn("j", of("columns")).withColumn("i", each("rows")).select("comp", "i", "j", "class", F.lit(True).alias("guest"))
     met = hosts.unionByName(come).join(sets, "class")
-    more = scratch.table(met.groupBy("comp", "i", "j").applyInArrow(visit(percent), "a binary, b binary"), "links-1")
+    more = scratch.few(met.groupBy("comp", "i", "j").applyInArrow(visit(percent), "a binary, b binary"), "links-1")
     if not more.isEmpty():
         links = links.union(more)
     elif links.isEmpty():
@@ -335,7 +335,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     signed, classes, comp = linked(docs, percent, scratch)
     if comp is not None:
-        comp = scratch.table(comp, "labels")
+        comp = scratch.few(comp, "labels")
         tied = comp.withColumnRenamed("node", "class").join(classes.select("class", "rep"), "class")
         least = tied.groupBy("comp").agg(F.min("rep").alias("component_id"))
         groups = tied.join(least, "comp").select("class", "component_id")
@@ -345,7 +345,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         groups = classes.filter("copies > 1").select("class", F.col("rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "class").join(groups, "class", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    out = scratch.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
+    out = scratch.few(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
     scratch.drop_all_but("result", "input")
     return out
 

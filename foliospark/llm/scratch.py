@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most files of a table that `few` writes, or of a batch of updates, for each core of the cluster.
+FILES_A_CORE = 4
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder. Only a plain local session without the setting gets a folder of its own."""
@@ -32,6 +35,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def few(self, df: DataFrame, name: str) -> DataFrame:
+        """`table` in FILES_A_CORE files a core at most, however many shuffle partitions there are.
+
+        A task of the last stage takes several of them, one after the other. That stage must not have a shuffled hash
+        join, whose tables would stay until the task's end.
+        """
+        return self.table(df.coalesce(FILES_A_CORE * self.spark.sparkContext.defaultParallelism), name)
+
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back. The shuffle files of the write go with its end."""
         path = self.path(name)

@@ -255,3 +255,28 @@ def test_substring_rounds_follow_bytes_sent(docs, rows, monkeypatch):
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) == want[r.doc_id]
     assert len(sent) > 2 and max(x or 0 for x in sent[1:]) < 2 * 20_000
+
+
+def test_tables_in_few_files(spark, docs, rows, monkeypatch):
+    """With a shuffle partition for every few rows, the tables of the near-copy join have no file for each."""
+    files, real = {}, near_dedup.Scratch.table
+
+    def table(self, df, name):
+        out = real(self, df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "table", table)
+    monkeypatch.setattr("foliospark.llm.scratch.FILES_A_CORE", 1)
+    keys = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    _, comp = brute_components(rows)
+    assert got == {d: comp[d] for d in got} and len(got) == len({d for d, *_ in rows})
+    assert max(files.values()) <= spark.sparkContext.defaultParallelism, files
